@@ -61,5 +61,5 @@ def natural_key(c) -> Column:
 
 
 def collation_key(c) -> Column:
-    """Sort form of a text: natural order, ignoring case and accents."""
+    """Sort form of a text: natural order, ignoring case and accents, by Unicode rules."""
     return F.collate(natural_key(c), "UNICODE_CI_AI")

@@ -12,6 +12,7 @@ from ..functions.text import collation_key
 from ..plans.ordering import rows_between
 
 PAGE_SIZES = (25, 50, 100, 200)
+SORT_KEY = "_sort_key"
 
 
 def filter_holdings(
@@ -39,21 +40,24 @@ def filter_holdings(
 
 def sort_order(
     df: DataFrame, key: str, desc: bool = False, tie: str = "id", key_expr: Column | None = None
-) -> list[Column]:
-    """Order by a column: nulls last, first when descending; text in natural order.
+) -> tuple[DataFrame, list[Column]]:
+    """The rows with their sort key as a column, and the order over it.
 
-    The tie column makes the order total, so equal keys can spread over range partitions.
-    ``key_expr`` replaces the comparison of the column.
+    Nulls come last, first when descending; text is in natural order. A sort would evaluate a
+    computed key at every comparison, hence the column. The tie column makes the order total, so
+    equal keys can spread over range partitions. ``key_expr`` replaces the value compared.
     """
     if key_expr is None:
         text = isinstance(df.schema[key].dataType, StringType)
         key_expr = collation_key(key) if text else F.col(key)
-    first = key_expr.desc_nulls_first() if desc else key_expr.asc_nulls_last()
-    return [first, F.col(tie).asc()]
+    first = F.col(SORT_KEY)
+    first = first.desc_nulls_first() if desc else first.asc_nulls_last()
+    return df.withColumn(SORT_KEY, key_expr), [first, F.col(tie).asc()]
 
 
 def sort_grid(df: DataFrame, key: str, desc: bool = False, tie: str = "id", key_expr=None):
-    return df.orderBy(*sort_order(df, key, desc, tie, key_expr))
+    keyed, order = sort_order(df, key, desc, tie, key_expr)
+    return keyed.orderBy(*order).drop(SORT_KEY)
 
 
 class Page(NamedTuple):
@@ -63,11 +67,21 @@ class Page(NamedTuple):
     page: int
 
 
-def paginate(df: DataFrame, order: list[Column], page: int = 1, size: int = 25) -> Page:
-    """One page of a table in a total order; a page past the end shows the last one."""
+def paginate(
+    df: DataFrame,
+    key: str,
+    page: int = 1,
+    size: int = 25,
+    desc: bool = False,
+    tie: str = "id",
+    key_expr: Column | None = None,
+) -> Page:
+    """One page of a sorted table; a page past the end shows the last one."""
     if size not in PAGE_SIZES:
         raise ValueError(f"page size must be one of {PAGE_SIZES}, got {size}")
     total = df.count()
     page_count = max(1, ceil(total / size))
     current = min(max(page, 1), page_count)
-    return Page(rows_between(df, order, (current - 1) * size, size), total, page_count, current)
+    keyed, order = sort_order(df, key, desc, tie, key_expr)
+    rows = rows_between(keyed, order, (current - 1) * size, size).drop(SORT_KEY)
+    return Page(rows, total, page_count, current)

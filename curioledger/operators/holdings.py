@@ -129,7 +129,7 @@ def patch_holdings(
         _last(F.col("price"), F.col("price").isNotNull()).alias("_price"),
     ]
     patches = valid.groupBy("id").agg(*folds, F.lit(True).alias("_patched"))
-    joined = lookup_join(holdings, patches, "id", "id")
+    joined = lookup_join(holdings, patches, "id", "id", bound=valid, unique=True)
     changed = {c: F.coalesce(f"_{c}", c) for c in ("card_name", "set_code", "price")}
     changed |= {
         c: F.when(F.col("_patched"), F.col(f"_{c}")).otherwise(F.col(c))
@@ -155,7 +155,8 @@ def refresh_status(
         asked = holdings.withColumn("_asked", F.lit(True))
     else:
         wanted = ids.select("id").distinct().withColumn("_asked", F.lit(True))
-        asked = lookup_join(holdings, wanted, "id", "id")
+        bound = ids.select("id")
+        asked = lookup_join(holdings, wanted, "id", "id", bound=bound, unique=True)
     key = F.when(F.col("_asked"), row_key("set_code", "card_number", "card_name"))
     matched = match_feed(asked.withColumn("_key", key), "_key", feed)
     hit = F.col("feed_hit")

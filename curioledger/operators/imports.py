@@ -28,20 +28,26 @@ CARD_NAME_BLANK = "card_name_blank"
 LOOKUP_FAILED = "feed_lookup_failed"
 
 
-def _matching_names(grid: DataFrame) -> DataFrame:
+def matching_names(grid: DataFrame) -> DataFrame:
+    """Sheets whose header row carries the expected titles.
+
+    Settled at once: the list is short and the grid, which may be huge, is then read only once
+    for it, whether it is measured, broadcast or used again.
+    """
     titled = F.col("row_no") == HEADER_ROW
     for letter, title in HEADER_TITLES.items():
         titled = titled & (F.lower(cell_trim(letter)) == title)
-    return grid.filter(titled).select("sheet").distinct()
+    return settle(grid.filter(titled).select("sheet").distinct())
 
 
 def _is_data_row():
     return (F.col("row_no") >= FIRST_DATA_ROW) & ~(is_blank("b") & is_blank("c"))
 
 
-def matching_sheets(grid: DataFrame) -> DataFrame:
-    """Rows of the sheets whose header row carries the expected titles."""
-    return lookup_join(grid, _matching_names(grid), "sheet", "sheet", how="left_semi")
+def matching_sheets(grid: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Rows of the sheets named, by default those with the expected header row."""
+    names = matching_names(grid) if names is None else names
+    return lookup_join(grid, names, "sheet", "sheet", "left_semi")
 
 
 def data_rows(grid: DataFrame) -> DataFrame:
@@ -73,7 +79,8 @@ def resolve_set(rows: DataFrame, sets: DataFrame) -> DataFrame:
         .groupBy(norm("set_name").alias("_name"))
         .agg(F.max("set_code").alias("set_code"))
     )
-    return lookup_join(rows, by_name, "set_key", "_name")
+    bound = sets.select("set_name", "set_code")
+    return lookup_join(rows, by_name, "set_key", "_name", bound=bound)
 
 
 def build_match_keys(rows: DataFrame) -> DataFrame:
@@ -129,9 +136,11 @@ def enrich(rows: DataFrame, feed: DataFrame | None) -> DataFrame:
     )
 
 
-def resolve_grid(grid: DataFrame, sets: DataFrame, feed: DataFrame | None) -> DataFrame:
+def resolve_grid(
+    grid: DataFrame, sets: DataFrame, feed: DataFrame | None, names: DataFrame | None = None
+) -> DataFrame:
     """The whole chain from raw grid to classified rows."""
-    rows = normalize_grid(data_rows(matching_sheets(grid)))
+    rows = normalize_grid(data_rows(matching_sheets(grid, names)))
     return enrich(build_match_keys(resolve_set(rows, sets)), feed)
 
 
@@ -203,14 +212,16 @@ def insert_import(holdings: DataFrame, stored: DataFrame) -> DataFrame:
     return holdings.select(HOLDINGS.names).unionByName(added.select(HOLDINGS.names))
 
 
-def enriched_grid(grid: DataFrame, resolved: DataFrame) -> DataFrame:
+def enriched_grid(
+    grid: DataFrame, resolved: DataFrame, names: DataFrame | None = None
+) -> DataFrame:
     """The grid with type and price replaced where they were resolved.
 
     Resolved rows carry their whole grid row, so they are put back beside the rows the import
     passed over; the grid is not joined to them.
     """
-    names = _matching_names(grid).withColumn("_imported", F.lit(True))
-    flagged = lookup_join(grid, names, "sheet", "sheet")
+    names = matching_names(grid) if names is None else names
+    flagged = lookup_join(grid, names.withColumn("_imported", F.lit(True)), "sheet", "sheet")
     imported = F.coalesce("_imported", F.lit(False)) & _is_data_row()
     passed_over = flagged.filter(~imported).select(GRID.names)
 
@@ -255,11 +266,12 @@ def import_grid(
     """
     if sets_feed is not None and sets.isEmpty():
         sets = project_sets(sets_feed)
-    resolved = settle(resolve_grid(grid, sets, feed))
+    names = matching_names(grid)
+    resolved = settle(resolve_grid(grid, sets, feed, names))
     return ImportResult(
         resolved,
         persist_import(resolved),
-        enriched_grid(grid, resolved),
+        enriched_grid(grid, resolved, names),
         unresolved_report(resolved),
         import_errors(resolved),
         import_metrics(resolved, feed_failed=feed is None),

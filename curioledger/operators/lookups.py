@@ -22,28 +22,37 @@ CARD_FIELDS = {
 }
 
 
-def exploded_keys(feed: DataFrame) -> DataFrame:
-    """One row per feed card and key, before repeated keys are settled."""
-    return feed.withColumn("match_key", F.explode(feed_keys("set", "collector_number", "name")))
+def exploded_keys(feed: DataFrame, fields: dict | None = None) -> DataFrame:
+    """One row per feed card and key, before repeated keys are settled.
+
+    ``fields`` names the columns to carry along, as paths or expressions.
+    """
+    fields = CARD_FIELDS if fields is None else fields
+    columns = [F.col(c) if isinstance(c, str) else c for c in fields.values()]
+    return feed.select(
+        F.explode(feed_keys("set", "collector_number", "name")).alias("match_key"),
+        "feed_seq",
+        *[c.alias(name) for name, c in zip(fields, columns)],
+    )
 
 
 def expand_feed_keys(feed: DataFrame, fields: dict | None = None) -> DataFrame:
     """One row per key: number key, full name, each face. The first card in feed order wins.
 
     The winner is an aggregate, combined before the shuffle, so a key with very many copies
-    costs one partial row per task. ``fields`` names the columns to carry, paths or expressions.
+    costs one partial row per task.
     """
-    fields = CARD_FIELDS if fields is None else fields
-    columns = [F.col(c) if isinstance(c, str) else c for c in fields.values()]
-    carried = F.struct(*[c.alias(name) for name, c in zip(fields, columns)])
-    first = exploded_keys(feed).groupBy("match_key").agg(F.min_by(carried, "feed_seq").alias("_card"))
+    keys = exploded_keys(feed, fields)
+    carried = F.struct(*[c for c in keys.columns if c not in ("match_key", "feed_seq")])
+    first = keys.groupBy("match_key").agg(F.min_by(carried, "feed_seq").alias("_card"))
     return first.select("match_key", "_card.*")
 
 
 def match_feed(rows: DataFrame, row_key: str, feed: DataFrame, fields=None) -> DataFrame:
     """Left join on a match key; ``feed_hit`` tells whether a card answered."""
     cards = expand_feed_keys(feed, fields).withColumn("feed_hit", F.lit(True))
-    joined = lookup_join(rows, cards, row_key, "match_key")
+    bound = exploded_keys(feed, fields).drop("feed_seq")
+    joined = lookup_join(rows, cards, row_key, "match_key", bound=bound)
     return joined.withColumn("feed_hit", F.coalesce("feed_hit", F.lit(False)))
 
 
@@ -86,8 +95,9 @@ def card_lookup(identifiers: DataFrame, feed: DataFrame) -> DataFrame:
 def not_found(identifiers: DataFrame, feed: DataFrame) -> DataFrame:
     """Identifiers no card answers to."""
     asked = identifiers.withColumn("_key", identifier_key())
-    held = exploded_keys(feed).select("match_key").distinct()
-    return lookup_join(asked, held, "_key", "match_key", how="left_anti").drop("_key")
+    held = exploded_keys(feed, {}).select("match_key")
+    known = held.distinct()
+    return lookup_join(asked, known, "_key", "match_key", "left_anti", bound=held).drop("_key")
 
 
 def plan_lookup_batches(

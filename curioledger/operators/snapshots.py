@@ -42,9 +42,10 @@ def count_snapshot_rows(snapshots: DataFrame, ts) -> DataFrame:
 
 def count_by_source(snapshots: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows per asked ``source_card_id`` over all snapshots, 0 when there is none."""
-    asked = ids.select("source_card_id").distinct()
+    key = "source_card_id"
+    asked = ids.select(key).distinct()
     counted = (
-        lookup_join(snapshots.select("source_card_id"), asked, *["source_card_id"] * 2, "left_semi")
+        lookup_join(snapshots.select(key), asked, key, key, "left_semi", bound=ids.select(key))
         .groupBy(F.col("source_card_id").alias("_id"))
         .agg(F.count("*").alias("_rows"))
     )

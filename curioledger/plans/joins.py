@@ -24,10 +24,16 @@ def payload_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(per_row), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
-def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Hint a broadcast only after measuring the rows; a larger side is left to a shuffle."""
+def broadcast_if_small(
+    df: DataFrame, bound: DataFrame | None = None, limit: int | None = None
+) -> DataFrame:
+    """Hint a broadcast only after measuring the rows; a larger side is left to a shuffle.
+
+    ``bound`` stands in for the measurement: rows at least as large in sum, and cheaper to read.
+    """
     limit = BROADCAST_BYTES if limit is None else limit
-    return F.broadcast(df) if limit > 0 and payload_bytes(df) <= limit else df
+    measured = df if bound is None else bound
+    return F.broadcast(df) if limit > 0 and payload_bytes(measured) <= limit else df
 
 
 def lookup_join(
@@ -36,6 +42,8 @@ def lookup_join(
     row_key: str,
     side_key: str,
     how: str = "left",
+    bound: DataFrame | None = None,
+    unique: bool = False,
     limit: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``side``, whose key is unique and not null; the side's key is dropped.
@@ -43,8 +51,11 @@ def lookup_join(
     Beyond the broadcast limit both sides are shuffled on the key. The null-safe comparison gives
     the side a shuffle of its own even when it comes out of an aggregate on that key, and that is
     the shape in which adaptive execution splits a hot key, or the null key, over many tasks.
+    Where the key is ``unique`` in the rows too, nothing can be hot and the side's own
+    partitioning is kept.
     """
     keyed = side.filter(F.col(side_key).isNotNull()).withColumnRenamed(side_key, "_side_key")
-    matched = F.col(row_key).eqNullSafe(F.col("_side_key"))
-    joined = rows.join(broadcast_if_small(keyed, limit), matched, how)
+    ours, theirs = F.col(row_key), F.col("_side_key")
+    matched = ours == theirs if unique else ours.eqNullSafe(theirs)
+    joined = rows.join(broadcast_if_small(keyed, bound, limit), matched, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop("_side_key")

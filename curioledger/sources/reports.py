@@ -49,6 +49,7 @@ def _write_csv(df: DataFrame, path: str) -> None:
 
 def write_unresolved(report: DataFrame, path: str) -> bool:
     """Write the report under its display headings; nothing is written when it is empty."""
+    report = settle(report)
     if report.isEmpty():
         return False
     _write_csv(report.toDF(*UNRESOLVED_HEADINGS), path)

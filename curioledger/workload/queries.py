@@ -8,7 +8,7 @@ from pyspark.sql.types import DecimalType
 
 from ..functions.cards import face_count, line_total
 from ..operators import catalog, grid, holdings, imports, keyed, lookups, media, snapshots
-from ..plans.lineage import scratch_path, settle
+from ..plans.lineage import scratch_path
 from ..plans.ordering import number_head, with_ordinal
 from ..schemas import MONEY
 from ..sources import feeds, reports, tables
@@ -345,9 +345,17 @@ def insert_import(v: Views):
     return imports.insert_import(v.holdings(), imports.persist_import(_resolved(v)))
 
 
+def _enriched(v: Views):
+    raw = v.grid()
+    names = imports.matching_names(raw)
+    return imports.enriched_grid(
+        raw, imports.resolve_grid(raw, v.sets(), v.cards_feed(), names), names
+    )
+
+
 @query
 def enriched_grid(v: Views):
-    return imports.enriched_grid(v.grid(), _resolved(v))
+    return _enriched(v)
 
 
 @query
@@ -363,8 +371,7 @@ def import_grid(v: Views):
 @query
 def write_enriched_grid(v: Views):
     folder = scratch_path(v.spark, "grids")
-    filled = imports.enriched_grid(v.grid(), _resolved(v))
-    path = reports.write_enriched_grid(filled, folder, "stock.list.xlsx")
+    path = reports.write_enriched_grid(_enriched(v), folder, "stock.list.xlsx")
     return feeds.read_grid(v.spark, path)
 
 
@@ -419,25 +426,27 @@ def with_set_name(v: Views):
     return holdings.with_set_name(v.holdings(), v.sets()).select("id", "set_code", "set_name")
 
 
+def _placed(rows: DataFrame, key: str, desc: bool = False):
+    """A sorted table with each row's place in it."""
+    keyed, order = grid.sort_order(rows, key, desc)
+    return with_ordinal(keyed, order, "place").drop(grid.SORT_KEY)
+
+
 @query
 def sort_grid(v: Views):
-    rows = v.holdings()
-    return with_ordinal(rows, grid.sort_order(rows, "location", desc=True), "place").select(
-        "place", "id", "location"
-    )
+    return _placed(v.holdings().select("id", "location"), "location", desc=True)
 
 
 @query
 def sort_by_set_name(v: Views):
     rows = holdings.with_set_name(v.holdings(), v.sets()).select("id", "set_name")
-    return with_ordinal(rows, grid.sort_order(rows, "set_name"), "place")
+    return _placed(rows, "set_name")
 
 
 def _page(v: Views, page: int):
     rows = v.holdings().select("id", "price", "card_name")
-    order = grid.sort_order(rows, "price", desc=True)
-    shown = grid.paginate(rows, order, page, PAGE_SIZE)
-    numbered = number_head(shown.rows, order, PAGE_SIZE, "place")
+    shown = grid.paginate(rows, "price", page, PAGE_SIZE, desc=True)
+    numbered = _placed(shown.rows, "price", desc=True)
     counts = {"total": shown.total, "page_count": shown.page_count, "page": shown.page}
     return numbered.withColumns({c: F.lit(n).cast("long") for c, n in counts.items()})
 

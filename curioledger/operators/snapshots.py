@@ -84,15 +84,20 @@ def snapshot_projection(rows: DataFrame) -> DataFrame:
 def next_snapshot_ts(snapshots: DataFrame, now) -> Column:
     """The first free second from ``now`` on, as a scalar subquery.
 
-    It is ``now`` itself or the second after a taken one, so the free candidates among those
-    suffice and no second has to be tried in turn.
+    It is ``now`` itself or the second after a taken one. Every row marks its own second as taken
+    and the next as wanted; the earliest second that is wanted and not taken is the answer.
     """
     start = F.date_trunc("second", ts_literal(now)).cast("timestamp_ntz")
-    taken = snapshots.filter(F.col("snapshot_ts") >= start).select("snapshot_ts").distinct()
-    after = taken.select((F.col("snapshot_ts") + F.expr("INTERVAL 1 SECOND")).alias("_free"))
-    own = snapshots.sparkSession.range(1).select(start.alias("_free"))
-    free = own.unionByName(after).join(taken, F.col("_free") == F.col("snapshot_ts"), "left_anti")
-    return free.select(F.min("_free")).scalar()
+    second = F.col("snapshot_ts")
+
+    def mark(at, taken):
+        return F.struct(at.alias("at"), F.lit(taken).alias("taken"))
+
+    marks = F.array(mark(second, True), mark(second + F.expr("INTERVAL 1 SECOND"), False))
+    seen = snapshots.filter(second >= start).select(F.inline(marks))
+    own = snapshots.sparkSession.range(1).select(F.inline(F.array(mark(start, False))))
+    free = seen.unionByName(own).groupBy("at").agg(F.max("taken").alias("taken"))
+    return free.filter(~F.col("taken")).select(F.min("at")).scalar()
 
 
 def create_snapshot(

@@ -1,0 +1,163 @@
+"""Plan shapes: hot keys are split, broadcasts are measured, filters reach the files."""
+
+from contextlib import contextmanager
+
+import pytest
+from conftest import rows_of, ts
+from pyspark.sql import functions as F
+
+import __spark_entry__ as registry
+from curioledger.operators import holdings, imports, keyed, lookups, snapshots
+from curioledger.plans import joins
+from curioledger.schemas import HOLDINGS
+from curioledger.sources import tables
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@contextmanager
+def settings(spark, **values):
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.fixture
+def shuffled(spark, monkeypatch):
+    """No broadcasts, and skew limits as small as the test tables."""
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    with settings(spark, **conf):
+        yield
+
+
+def hot_rows(spark, n=40_000):
+    """A third of the rows under one key, a third under none, the rest spread."""
+    third = F.col("id") % 3
+    number = F.when(third == 0, "7").when(third == 2, (F.col("id") % 900).cast("string"))
+    return spark.range(n, numPartitions=16).select(
+        "id", F.lit("s").alias("set_code"), number.alias("card_number"),
+        F.sha2(F.col("id").cast("string"), 256).alias("card_name"), F.lit(False).alias("foil"),
+    )
+
+
+def card_feed(spark, n=1000, copies=3):
+    """Every card several times over; the first copy counts."""
+    return spark.range(n * copies).select(
+        F.col("id").alias("feed_seq"),
+        F.concat(F.lit("card "), F.col("id") % n).alias("name"),
+        F.lit("s").alias("set"),
+        (F.col("id") % n).cast("string").alias("collector_number"),
+        F.lit("t").alias("type_line"),
+        F.struct(
+            F.col("id").cast("string").alias("usd"), F.lit(None).cast("string").alias("usd_foil")
+        ).alias("prices"),
+    )
+
+
+def test_a_hot_key_and_the_null_key_are_split(spark, shuffled):
+    rows = hot_rows(spark).withColumn(
+        "key", F.when(F.col("card_number").isNotNull(),
+                      F.concat(F.lit("n|s|"), F.col("card_number")))
+    )
+    joined = lookups.match_feed(rows, "key", card_feed(spark))
+    found = joined.select("id", "card_name", "feed_usd", "feed_hit")
+    result = found.collect()
+    assert "skew=true" in plan_of(found)
+    assert len(result) == 40_000 and len({r.id for r in result}) == 40_000
+    for r in result:
+        expected = {0: "7", 1: None, 2: str(r.id % 900)}[r.id % 3]
+        assert (r.feed_usd, r.feed_hit) == (expected, expected is not None)
+
+
+def test_movers_split_a_hot_card(spark, shuffled):
+    old, new = ts("2025-01-01T00:00:00"), ts("2025-02-01T00:00:00")
+    rows = hot_rows(spark).withColumns(
+        {
+            "card_name": F.lit("c"),
+            "language": F.sha2(F.lit("en"), 256),
+            "set_name_raw": F.sha2(F.col("id").cast("string"), 256),
+            "source_card_id": F.col("id"),
+        }
+    )
+    newer = rows.withColumns(
+        {"snapshot_ts": F.lit(new).cast("timestamp_ntz"),
+         "price": F.lit("2.00").cast("decimal(12,2)")}
+    )
+    older = rows.filter("id < 5000").withColumns(
+        {"snapshot_ts": F.lit(old).cast("timestamp_ntz"),
+         "price": F.lit("1.00").cast("decimal(12,2)")}
+    )
+    changes = snapshots.price_changes(newer.unionByName(older))
+    result = changes.collect()
+    assert "skew=true" in plan_of(changes)
+    assert len({r.id for r in result}) == len(result) == 40_000
+
+
+def test_results_do_not_depend_on_the_broadcast(spark, monkeypatch):
+    held = hot_rows(spark, 6000).withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in HOLDINGS
+         if f.name not in ("id", "set_code", "card_number", "card_name", "foil")}
+    )
+    ids = spark.range(0, 9000, 2)
+    feed = card_feed(spark, 500)
+
+    def outputs():
+        refreshed, failed = holdings.refresh_prices(held, feed, ids)
+        kept, missing = keyed.delete_rows(held, ids, "id")
+        return [
+            sorted(rows_of(refreshed, "id", "price"), key=str), sorted(rows_of(failed, "id", "reason")),
+            sorted(rows_of(kept, "id")), sorted(rows_of(missing, "id")),
+        ]
+
+    broadcast = outputs()
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        assert outputs() == broadcast
+
+
+def test_a_side_is_broadcast_only_below_the_limit(spark):
+    side = card_feed(spark, 100, 1).select("name")
+    size = joins.payload_bytes(side)
+    assert 100 * len("card 0") <= size <= 100 * 64
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        rows = spark.range(10).select(F.col("id").cast("string").alias("name"))
+        for limit, shape in ((size, "BroadcastHashJoin"), (size - 1, "SortMergeJoin")):
+            joined = rows.join(joins.broadcast_if_small(side, limit=limit), "name")
+            assert shape in plan_of(joined)
+
+
+def test_filters_and_columns_reach_the_files(spark, make, folder):
+    tables.write_table(make.holdings({"id": 1, "set_code": "neo", "card_name": "x"}), folder, "holdings")
+    held = tables.scan_table(spark, folder, "holdings")
+    plan = plan_of(holdings.holdings_by_set(held, "neo").select("id"))
+    assert "EqualTo(set_code,neo)" in plan
+    assert "ReadSchema: struct<id:bigint,set_code:string>" in plan
+
+
+def test_duplicate_keys_are_combined_before_the_shuffle(spark):
+    plan = plan_of(lookups.expand_feed_keys(card_feed(spark)))
+    assert "partial_min_by" in plan and "Window" not in plan
+    sets = spark.createDataFrame([("a", "b")], "set_code string, set_name string")
+    rows = spark.createDataFrame([("b",)], "set_key string")
+    assert "partial_max" in plan_of(imports.resolve_set(rows, sets))
+
+
+def test_registered_plans_have_no_cross_join_and_no_python(spark):
+    for name, build in registry.queries().items():
+        plan = plan_of(build(spark, SMALL))
+        for banned in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "InArrow"):
+            assert banned not in plan, (name, banned)

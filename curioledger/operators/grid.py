@@ -83,5 +83,5 @@ def paginate(
     page_count = max(1, ceil(total / size))
     current = min(max(page, 1), page_count)
     keyed, order = sort_order(df, key, desc, tie, key_expr)
-    rows = rows_between(keyed, order, (current - 1) * size, size).drop(SORT_KEY)
+    rows = rows_between(keyed, order, (current - 1) * size, size, keep=df.columns)
     return Page(rows, total, page_count, current)

@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="curioledger-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -27,6 +27,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once into reliable storage, so that later uses see the very same rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Compute once into a table in the shared folder and go on from there.
+
+    Later uses see the very same rows, survive lost executors without recomputing them, and read
+    only the columns they need. Row order is not kept.
+    """
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,14 +12,17 @@ HEAD_ROWS = 100_000
 _ROW_BITS = (1 << 33) - 1
 
 
-def with_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataFrame:
-    """Number all rows 1..n in a total order.
+def with_ordinal(
+    df: DataFrame, order: list[Column], name: str = "ordinal", keep: list[str] | None = None
+) -> DataFrame:
+    """Number all rows 1..n in a total order; ``keep`` names the columns still wanted.
 
     The rows are range-sorted and settled with their partition number and their place in it; the
     only rows that meet in one task are the partition counts, one per partition.
     """
+    keep = df.columns if keep is None else keep
     placed = df.orderBy(*order).select(
-        "*",
+        *keep,
         F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().bitwiseAND(_ROW_BITS).alias("_place"),
     )
@@ -32,7 +35,7 @@ def with_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> D
     )
     numbered = placed.join(F.broadcast(starts), "_part")
     ordinal = F.col("_start") + F.col("_place") + 1
-    return numbered.select(*df.columns, ordinal.alias(name))
+    return numbered.select(*keep, ordinal.alias(name))
 
 
 def number_head(df: DataFrame, order: list[Column], limit: int, name: str = "ordinal") -> DataFrame:
@@ -52,10 +55,13 @@ def head(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return ordered.limit(limit) if limit else ordered
 
 
-def rows_between(df: DataFrame, order: list[Column], start: int, count: int) -> DataFrame:
+def rows_between(
+    df: DataFrame, order: list[Column], start: int, count: int, keep: list[str] | None = None
+) -> DataFrame:
     """``count`` rows after skipping ``start``; deep offsets use the numbering, not one task."""
+    keep = df.columns if keep is None else keep
     if start + count <= HEAD_ROWS:
-        return df.orderBy(*order).offset(start).limit(count)
-    numbered = with_ordinal(df, order, "_ordinal")
+        return df.orderBy(*order).offset(start).limit(count).select(*keep)
+    numbered = with_ordinal(df, order, "_ordinal", keep)
     inside = (F.col("_ordinal") > start) & (F.col("_ordinal") <= start + count)
     return numbered.filter(inside).orderBy("_ordinal").drop("_ordinal")

@@ -52,7 +52,7 @@ def write_unresolved(report: DataFrame, path: str) -> bool:
     report = settle(report)
     if report.isEmpty():
         return False
-    _write_csv(report.toDF(*UNRESOLVED_HEADINGS), path)
+    _write_csv(report.orderBy("sheet", "row_no").toDF(*UNRESOLVED_HEADINGS), path)
     return True
 
 
@@ -61,5 +61,5 @@ def export_movers(movers: DataFrame, folder: str) -> None:
     movers = settle(movers)
     for name, side in ((GAINERS_NAME, "gainer"), (LOSERS_NAME, "loser")):
         rows = movers.filter(F.col("side") == side)
-        numbered = export_projection(rows, mover_order(side))
+        numbered = export_projection(rows, mover_order(side)).orderBy("row_no")
         _write_csv(numbered.toDF(*MOVERS_HEADINGS), f"{folder}/{name}")

@@ -429,7 +429,7 @@ def with_set_name(v: Views):
 def _placed(rows: DataFrame, key: str, desc: bool = False):
     """A sorted table with each row's place in it."""
     keyed, order = grid.sort_order(rows, key, desc)
-    return with_ordinal(keyed, order, "place").drop(grid.SORT_KEY)
+    return with_ordinal(keyed, order, "place", keep=rows.columns)
 
 
 @query

@@ -118,29 +118,29 @@ def patch_holdings(
     location: null keeps, blank clears. Price: null keeps.
     """
     valid, rejected = validate_patch(requests)
-    every = F.lit(True)
     folds = [
         *[_last(F.col(c), ~is_blank(c)).alias(f"_{c}") for c in ("card_name", "set_code")],
-        *[_last(F.col(c), every).alias(f"_{c}") for c in ("foil", "language", "quantity")],
+        F.max_by(F.struct("foil", "language", "quantity"), "req_seq").alias("_given"),
         *[
             _last(cell_trim(c), F.col(c).isNotNull()).alias(f"_{c}")
             for c in ("card_type", "comment", "location")
         ],
         _last(F.col("price"), F.col("price").isNotNull()).alias("_price"),
     ]
-    patches = valid.groupBy("id").agg(*folds, F.lit(True).alias("_patched"))
+    patches = valid.groupBy("id").agg(*folds)
     joined = lookup_join(holdings, patches, "id", "id", bound=valid, unique=True)
     changed = {c: F.coalesce(f"_{c}", c) for c in ("card_name", "set_code", "price")}
     changed |= {
-        c: F.when(F.col("_patched"), F.col(f"_{c}")).otherwise(F.col(c))
+        c: F.when(F.col("_given").isNotNull(), F.col(f"_given.{c}")).otherwise(F.col(c))
         for c in ("foil", "language", "quantity")
     }
     changed |= {
         c: F.when(F.col(f"_{c}") == "", F.lit(None)).otherwise(F.coalesce(f"_{c}", c))
         for c in ("card_type", "comment", "location")
     }
-    unknown = valid.join(missing_keys(holdings, valid, "id"), "id", "left_semi")
-    unknown = unknown.select(*requests.columns, F.lit(ROW_NOT_FOUND).alias("reason"))
+    unknown = lookup_join(valid, holdings.select("id"), "id", "id", "left_anti").withColumn(
+        "reason", F.lit(ROW_NOT_FOUND)
+    )
     return joined.withColumns(changed).select(COLUMNS), rejected.unionByName(unknown)
 
 

@@ -15,8 +15,8 @@ def get_by_key(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Dat
 
 
 def missing_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Distinct asked keys without a row."""
-    held = df.select(F.col(key).alias("_held")).distinct()
+    """Distinct asked keys without a row; ``key`` is the primary key of the table."""
+    held = df.select(F.col(key).alias("_held"))
     asked = keys.select(key).distinct()
     return asked.join(held, F.col(key) == F.col("_held"), "left_anti")
 

@@ -28,26 +28,28 @@ def parse_ts(c) -> Column:
     return F.when(c.rlike(rf"\A{_ISO_LOCAL}\z"), c.try_cast("timestamp_ntz"))
 
 
-def ts_bound(value, upper=False) -> Column | None:
-    """Literal for a range bound; None or blank means unbounded, malformed text is an error."""
-    if value is None or (isinstance(value, str) and not value.strip()):
-        return None
+def moment(value, up: bool = False) -> datetime:
+    """Date-time of an ISO local text, malformed text being an error; columns hold microseconds,
+    so a finer fraction is cut off, or rounded ``up``."""
     if isinstance(value, datetime):
-        return ts_literal(value)
+        return value
     if not re.fullmatch(_ISO_LOCAL, value, re.ASCII):
         raise ValueError(f"not an ISO local date-time: {value!r}")
-    # Columns hold microseconds: a finer lower bound rounds up, a finer upper bound down.
     head, _, fraction = value.partition(".")
-    moment = datetime.fromisoformat(head) + timedelta(microseconds=int(fraction.ljust(9, "0")[:6]))
-    if not upper and fraction[6:].strip("0"):
-        moment += timedelta(microseconds=1)
-    return ts_literal(moment)
+    micros = int(fraction.ljust(9, "0")[:6]) + (up and bool(fraction[6:].strip("0")))
+    return datetime.fromisoformat(head) + timedelta(microseconds=micros)
+
 
+def ts_literal(value, up: bool = False) -> Column:
+    """Zone-less timestamp literal of a datetime or ISO local text."""
+    return F.lit(moment(value, up).isoformat()).cast("timestamp_ntz")
 
-def ts_literal(value) -> Column:
-    """Zone-less timestamp literal of a datetime or ISO text."""
-    bound = value.isoformat() if isinstance(value, datetime) else value
-    return F.lit(bound).cast("timestamp_ntz")
+
+def ts_bound(value, upper: bool = False) -> Column | None:
+    """Literal for a range bound; None or blank means unbounded, malformed text is an error."""
+    if value is None or (isinstance(value, str) and not value.strip()):
+        return None
+    return ts_literal(value, up=not upper)
 
 
 def foil_flag(c) -> Column:

@@ -112,4 +112,5 @@ def plan_lookup_batches(
         .agg(F.sort_array(F.collect_list(F.struct("_no", one.alias("one")))).alias("_list"))
     )
     body = F.to_json(F.struct(F.col("_list.one").alias("identifiers")))
-    return batches.select("batch_id", F.size("_list").alias("identifiers"), body.alias("body"))
+    count = F.size("_list").cast("long")
+    return batches.select("batch_id", count.alias("identifiers"), body.alias("body"))

@@ -5,7 +5,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsing import ts_bound, ts_literal
+from ..functions.parsing import moment, ts_bound, ts_literal
 from ..plans.joins import lookup_join
 from ..plans.ordering import head, number_head
 from ..schemas import HOLDING_SNAPSHOTS
@@ -87,7 +87,7 @@ def next_snapshot_ts(snapshots: DataFrame, now) -> Column:
     It is ``now`` itself or the second after a taken one. Every row marks its own second as taken
     and the next as wanted; the earliest second that is wanted and not taken is the answer.
     """
-    start = F.date_trunc("second", ts_literal(now)).cast("timestamp_ntz")
+    start = ts_literal(moment(now).replace(microsecond=0))
     second = F.col("snapshot_ts")
 
     def mark(at, taken):

@@ -41,8 +41,9 @@ def with_ordinal(
 def number_head(df: DataFrame, order: list[Column], limit: int, name: str = "ordinal") -> DataFrame:
     """The first ``limit`` rows in order, numbered; 0 numbers all of them."""
     if 0 < limit <= HEAD_ROWS:
-        head = df.orderBy(*order).limit(limit)
-        return head.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+        first = df.orderBy(*order).limit(limit)
+        place = F.row_number().over(Window.orderBy(*order))
+        return first.withColumn(name, place.cast("long"))
     numbered = with_ordinal(df, order, name)
     return numbered.filter(F.col(name) <= limit) if limit else numbered
 

@@ -2,7 +2,7 @@
 
 import re
 
-from .queries import AT, FAR_PAGE, FROM, PAGE_SIZE, SET, TO
+from .queries import AT, FROM, PAGE_SIZE, SET, TO
 from .views import TEXTS, check_text
 
 
@@ -232,7 +232,7 @@ def _export_out(side):
 def _page(start):
     return f"""
         select id, cast(price as double) as price, card_name, place - first_place as place,
-          total, page_count, first_place / {PAGE_SIZE} + 1 as page
+          total, page_count, first_place // {PAGE_SIZE} + 1 as page
         from (select *, cast({start} as bigint) as first_place from (
           select id, price, card_name,
             row_number() over (order by price desc nulls first, id) as place,
@@ -512,7 +512,7 @@ _CHECKS = {
         from (select id, coalesce(set_name, h.set_code) as set_name
           from holdings h left join known_sets s on h.set_code = s.set_code)""",
     "paginate": _page(2 * PAGE_SIZE),
-    "paginate_past_end": _page(f"({{0}} - 1) * {PAGE_SIZE}".format("page_count")),
+    "paginate_past_end": _page(f"(page_count - 1) * {PAGE_SIZE}"),
     "exists_key": "select id, id in (select id from holdings) as exists from keys",
     "delete_rows": _tagged(
         ("kept", "select id, quantity from holdings where id not in (select id from keys)"),
@@ -593,10 +593,46 @@ _CHECKS = {
     "face_counts": """
         select feed_seq, case when front_png is not null and back_png is not null then 2 else 1 end
           as face_count from cards_feed""",
+    "text_functions": f"""
+        select sheet, row_no, {_norm("c")} as norm, {_blank("b")} as is_blank,
+          case when not {_blank("j")} then j end as blank_to_null,
+          array_to_string(list_transform(
+            regexp_extract_all(lower(c), '[0-9]+|[^0-9]+'),
+            lambda run: case when regexp_matches(run, '^[0-9]')
+              then concat(lpad(cast(length(regexp_replace(run, '^0+([0-9])', '\\1')) as varchar),
+                10, '0'), regexp_replace(run, '^0+([0-9])', '\\1'))
+              else run end), '') as natural_key
+        from grid""",
+    "parse_functions": """
+        select sheet, row_no, coalesce(lower(trim(d)) in
+            ('sim', 's', 'yes', 'y', 'foil', 'true'), false) as foil_flag,
+          greatest(coalesce(case when regexp_full_match(trim(f), '[+-]?[0-9]+')
+            then try_cast(trim(f) as int) end, 1), 1) as parse_quantity,
+          coalesce(starts_with(lower(trim(i)), '*conferir sempre manualmente'), false)
+            as manual_flag,
+          cast(try_cast(trim(g) as decimal(12,2)) as double) as cell_decimal
+        from grid""",
+    "date_functions": f"""
+        select code, {_DATE.format("released_at")} as safe_date, cast(null as date) as date_of_time,
+          {_DATE.format("released_at")} + interval '10 hours 22 minutes' as parse_ts,
+          cast(null as timestamp) as time_of_date
+        from sets_feed""",
+    "card_functions": """
+        select feed_seq,
+          case when contains(name, ' // ') then array_to_string(string_split(name, ' // '), '|')
+            else '' end as split_faces,
+          cast(try_cast(usd as decimal(12,2)) as double) as plain_price,
+          cast(try_cast(usd_foil as decimal(12,2)) as double) as foil_price,
+          coalesce(png, front_png) as front_png, back_png,
+          case when "set" is not null and collector_number is not null then
+            concat(type_line, ' - ', "set", '/', collector_number, '-',
+              replace(name, '/', '_'), '.png') end as object_key
+        from cards_feed""",
     "read_sets_feed": "select * exclude (feed_seq) from sets_feed",
     "read_card_feed": """
-        select "set" as feed_set, count(*) as keys, cast(sum(try_cast(usd as decimal(12,2))) as double)
-          as usd from first_keys group by 1""",
+        select "set" as feed_set, count(*) as keys,
+          cast(sum(try_cast(usd as decimal(12,2))) as double) as usd
+        from first_keys group by 1""",
     "read_batch_replies": _tagged(
         ("matched", """
             select name, "set", collector_number, usd_foil from cards_feed

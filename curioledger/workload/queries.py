@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from ..functions.cards import face_count, line_total
+from ..functions import parsing, text
+from ..functions.cards import face_count, line_total, object_key, png_url, split_faces
 from ..operators import catalog, grid, holdings, imports, keyed, lookups, media, snapshots
 from ..plans.lineage import scratch_path
 from ..plans.ordering import number_head, with_ordinal
@@ -570,6 +571,58 @@ def face_counts(v: Views):
     return v.cards_feed().select("feed_seq", face_count().alias("face_count"))
 
 
+# ---------------------------------------------------------------- expressions
+
+
+@query
+def text_functions(v: Views):
+    return v.grid().select(
+        "sheet",
+        "row_no",
+        text.norm("c").alias("norm"),
+        text.is_blank("b").alias("is_blank"),
+        text.blank_to_null("j").alias("blank_to_null"),
+        text.natural_key("c").alias("natural_key"),
+    )
+
+
+@query
+def parse_functions(v: Views):
+    return v.grid().select(
+        "sheet",
+        "row_no",
+        parsing.foil_flag("d").alias("foil_flag"),
+        parsing.parse_quantity("f").alias("parse_quantity"),
+        parsing.manual_flag("i").alias("manual_flag"),
+        parsing.cell_decimal("g").alias("cell_decimal"),
+    )
+
+
+@query
+def date_functions(v: Views):
+    with_time = F.concat("released_at", F.lit("T10:22"))
+    return v.sets_feed().select(
+        "code",
+        parsing.safe_date("released_at").alias("safe_date"),
+        parsing.safe_date(with_time).alias("date_of_time"),
+        parsing.parse_ts(with_time).alias("parse_ts"),
+        parsing.parse_ts("released_at").alias("time_of_date"),
+    )
+
+
+@query
+def card_functions(v: Views):
+    return v.cards_feed().select(
+        "feed_seq",
+        F.array_join(split_faces("name"), "|").alias("split_faces"),
+        parsing.pick_price(F.lit(False), "prices.usd", "prices.usd_foil").alias("plain_price"),
+        parsing.pick_price(F.lit(True), "prices.usd", "prices.usd_foil").alias("foil_price"),
+        png_url(0).alias("front_png"),
+        png_url(1).alias("back_png"),
+        object_key("type_line", "set", "collector_number", "name").alias("object_key"),
+    )
+
+
 # ---------------------------------------------------------------- sources
 
 

@@ -8,6 +8,7 @@ none of its columns are used.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.catalog import project_sets
 from ..schemas import CATALOG_SETS, GRID, HOLDINGS, HOLDING_SNAPSHOTS
 
 # Row identity: a composite kept within 62 bits at any scale.
@@ -173,6 +174,10 @@ def check_text(name: str) -> str:
     return TEXTS[name].format(quarter=CHECK_QUARTER, **{t: t for t in TABLES})
 
 
+def _picture(column: str):
+    return F.struct(F.col(column).alias("png"))
+
+
 class Views:
     """The views over one directory of tables, as DataFrames."""
 
@@ -198,16 +203,14 @@ class Views:
 
     def sets(self) -> DataFrame:
         """Stored sets: the feed, projected."""
-        from ..operators.catalog import project_sets
-
         return project_sets(self.sets_feed()).select(CATALOG_SETS.names)
 
     def cards_feed(self) -> DataFrame:
         """Card feed with its nested prices, pictures and faces."""
         flat = self.view("cards_feed")
         face = [
-            F.struct(F.lit(name).alias("name"), F.struct(F.col(png).alias("png")).alias("image_uris"))
-            for name, png in (("front", "front_png"), ("back", "back_png"))
+            F.struct(F.lit(side).alias("name"), _picture(f"{side}_png").alias("image_uris"))
+            for side in ("front", "back")
         ]
         two_faced = F.col("type_line") == "PROMO"
         return flat.select(
@@ -217,7 +220,7 @@ class Views:
             "collector_number",
             "type_line",
             F.struct("usd", "usd_foil").alias("prices"),
-            F.when(~two_faced, F.struct("png")).alias("image_uris"),
+            F.when(~two_faced, _picture("png")).alias("image_uris"),
             "layout",
             F.when(two_faced, F.array(*face)).alias("card_faces"),
         )

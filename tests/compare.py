@@ -1,6 +1,5 @@
 """Run a registered query and its SQL on the same tables and compare the rows."""
 
-import math
 from pathlib import Path
 
 import duckdb
@@ -20,8 +19,8 @@ def connect(folder):
 
 
 def _value(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return ""
+    if v is None:
+        return "<null>"
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, (int, float)):

@@ -21,7 +21,8 @@ REQUEST = (
 
 
 def set_feed(spark, *records):
-    schema = "feed_seq long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FEED_SET)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FEED_SET)
+    schema = f"feed_seq long, {columns}"
     rows = [(i, *[r.get(n) for n in FEED_SET.names]) for i, r in enumerate(records)]
     return spark.createDataFrame(rows, schema)
 

@@ -78,6 +78,9 @@ def test_tables_round_trip(spark, folder, make):
 
 
 def test_grid_from_csv(spark, folder):
-    (Path(folder) / "grid.csv").write_text("S,3,Number (Optional),Card,Set,Foil,,,,,,,\nS,4,,Bolt\n")
+    lines = ["S,3,Number (Optional),Card,Set,Foil,,,,,,,", "S,4,,Bolt"]
+    (Path(folder) / "grid.csv").write_text("\n".join(lines))
     grid = feeds.read_grid(spark, folder, "csv", mode="PERMISSIVE")
-    assert rows_of(grid, "sheet", "row_no", "b", "c") == [("S", 3, "Card", "Set"), ("S", 4, "Bolt", None)]
+    assert rows_of(grid, "sheet", "row_no", "b", "c") == [
+        ("S", 3, "Card", "Set"), ("S", 4, "Bolt", None)
+    ]

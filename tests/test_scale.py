@@ -119,7 +119,8 @@ def test_results_do_not_depend_on_the_broadcast(spark, monkeypatch):
         refreshed, failed = holdings.refresh_prices(held, feed, ids)
         kept, missing = keyed.delete_rows(held, ids, "id")
         return [
-            sorted(rows_of(refreshed, "id", "price"), key=str), sorted(rows_of(failed, "id", "reason")),
+            sorted(rows_of(refreshed, "id", "price"), key=str),
+            sorted(rows_of(failed, "id", "reason")),
             sorted(rows_of(kept, "id")), sorted(rows_of(missing, "id")),
         ]
 
@@ -141,7 +142,8 @@ def test_a_side_is_broadcast_only_below_the_limit(spark):
 
 
 def test_filters_and_columns_reach_the_files(spark, make, folder):
-    tables.write_table(make.holdings({"id": 1, "set_code": "neo", "card_name": "x"}), folder, "holdings")
+    row = {"id": 1, "set_code": "neo", "card_name": "x"}
+    tables.write_table(make.holdings(row), folder, "holdings")
     held = tables.scan_table(spark, folder, "holdings")
     plan = plan_of(holdings.holdings_by_set(held, "neo").select("id"))
     assert "EqualTo(set_code,neo)" in plan

@@ -9,7 +9,7 @@ from curioledger.sources import feeds, reports
 
 SETS = (
     {"set_code": "uds", "set_name": "Urza's Destiny"},
-    {"set_code": "ori", "set_name": "Magic Origins"},
+    {"set_code": "ori", "set_name": "Origins"},
 )
 TREACHERY = {
     "name": "Treachery", "set": "uds", "collector_number": "39", "type_line": "Sorcery",
@@ -44,7 +44,7 @@ def test_foil_row_gets_type_and_foil_price(make):
 
 
 def test_front_face_finds_the_two_faced_card(make):
-    result = run(make, {"b": "jace, young", "c": "Magic Origins", "d": "Não", "f": "1"})
+    result = run(make, {"b": "jace, young", "c": "Origins", "d": "Não", "f": "1"})
     assert outcome(result, "price", "card_number") == [(Decimal("5.00"), "60")]
 
 
@@ -157,7 +157,7 @@ def test_empty_set_table_is_filled_from_the_feed(make, spark):
 
 def test_identifiers_and_batches(make):
     cells = [{"a": "180", "b": "Bolt", "c": "Urza's Destiny"}]
-    cells += [{"b": f"card {i}", "c": "Magic Origins"} for i in range(160)]
+    cells += [{"b": f"card {i}", "c": "Origins"} for i in range(160)]
     grid = make.grid(*sheet("S", *cells))
     rows = I.normalize_grid(I.data_rows(I.matching_sheets(grid)))
     keyed = I.build_match_keys(I.resolve_set(rows, make.sets(*SETS)))

@@ -6,18 +6,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def own_folder_if_local(spark: SparkSession) -> None:
+    """Name a folder for a local session that has none; callers decide, operators never do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="curioledger-"))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local session without one gets its own."""
-    context = spark.sparkContext
+    """The folder named by ``spark.checkpoint.dir``; a session without one is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="curioledger-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return folder.rstrip("/")
 
 

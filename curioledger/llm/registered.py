@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash
+from . import packing, pii, secrets, simhash
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -13,14 +13,22 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(_documents(spark, folder))
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, folder))
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(_documents(spark, folder))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op6_packing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op5_secrets, op6_packing)}
 
 CHECKS: dict[str, str] = {}

@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, secrets, simhash
+from . import mixing, packing, pii, secrets, sharding, simhash
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,6 +29,14 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op5_secrets, op6_packing)}
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_sizes(_documents(spark, folder))
+
+
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded_documents(_documents(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op5_secrets, op6_packing, op9_mixing, op10_sharding)}
 
 CHECKS: dict[str, str] = {}

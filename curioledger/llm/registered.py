@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, secrets, sharding, simhash
+from . import langid, mixing, packing, pii, secret_scan, sharding, simhash, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,8 +21,17 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, folder))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.scored(_documents(spark, folder), labels)
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identified(_documents(spark, folder))
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.find_secrets(_documents(spark, folder))
+    return secret_scan.find_secrets(_documents(spark, folder))
 
 
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,6 +46,18 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded_documents(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op5_secrets, op6_packing, op9_mixing, op10_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii,
+        op2_simhash,
+        op3_toxicity,
+        op4_language,
+        op5_secrets,
+        op6_packing,
+        op9_mixing,
+        op10_sharding,
+    )
+}
 
 CHECKS: dict[str, str] = {}

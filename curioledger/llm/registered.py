@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, pii, secret_scan, sharding, simhash, toxicity
+from . import langid, mixing, packing, pii, quality, secret_scan, sharding, simhash, tiff, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -38,6 +38,14 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder), public_tokenizers.path(TOKENIZER))
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.verdicts(_documents(spark, folder))
+
+
+def op8_tiff(spark: SparkSession, folder: str) -> DataFrame:
+    return tiff.media_features(_documents(spark, folder))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_sizes(_documents(spark, folder))
 
@@ -55,6 +63,8 @@ QUERIES = {
         op4_language,
         op5_secrets,
         op6_packing,
+        op7_quality,
+        op8_tiff,
         op9_mixing,
         op10_sharding,
     )

@@ -60,16 +60,26 @@ def manual_flag(c) -> Column:
     return F.coalesce(F.lower(cell_trim(c)).startswith(MANUAL_MARKER), F.lit(False))
 
 
-def parse_quantity(c) -> Column:
-    """Whole number of at least 1; blank or malformed text counts as 1."""
+def cell_text(c, number) -> Column:
+    """Text of a grid cell; a number that is whole shows without a fraction."""
+    number = _col(number)
+    whole = F.when(number == F.floor(number), number.try_cast("long").cast("string"))
+    return F.coalesce(whole, number.cast("string"), _col(c))
+
+
+def parse_quantity(c, number=None) -> Column:
+    """Whole number of at least 1; blank or malformed text counts as 1, a number is cut off."""
     text = cell_trim(c)
     whole = F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("int"))
+    if number is not None:
+        whole = F.when(_col(number).isNotNull(), _col(number).try_cast("int")).otherwise(whole)
     return F.greatest(F.coalesce(whole, F.lit(1)), F.lit(1))
 
 
-def cell_decimal(c) -> Column:
+def cell_decimal(c, number=None) -> Column:
     """Money from a grid cell, surrounding blanks allowed; malformed text is null."""
-    return cell_trim(c).try_cast(MONEY)
+    money = cell_trim(c).try_cast(MONEY)
+    return money if number is None else F.coalesce(_col(number).try_cast(MONEY), money)
 
 
 def pick_price(foil, usd, usd_foil) -> Column:

@@ -34,29 +34,31 @@ def project_sets(feed: DataFrame) -> DataFrame:
 
 def upsert_sets(sets: DataFrame, feed: DataFrame) -> DataFrame:
     """Overwrite whole rows by code, nulls included; the last of repeated codes wins."""
-    row = F.struct(*COLUMNS)
-    incoming = (
-        project_sets(feed)
-        .filter(F.col("set_code").isNotNull())
-        .groupBy(F.col("set_code").alias("_code"))
-        .agg(F.max_by(row, "feed_seq").alias("_row"))
-        .select("_row.*")
+    incoming = project_sets(feed).filter(F.col("set_code").isNotNull())
+    stored = sets.withColumn("feed_seq", F.lit(None).cast(feed.schema["feed_seq"].dataType))
+    # Nulls come first, so a stored row stands only where the feed has none.
+    place = F.struct(F.col("feed_seq").isNotNull().alias("fed"), F.col("feed_seq"))
+    both = incoming.unionByName(stored.select(*COLUMNS, "feed_seq"))
+    last = both.groupBy(F.col("set_code").alias("_code")).agg(
+        F.max_by(F.struct(*COLUMNS), place).alias("_row")
     )
-    kept = sets.join(incoming.select("set_code"), "set_code", "left_anti").select(COLUMNS)
-    return kept.unionByName(incoming)
+    return last.select("_row.*")
 
 
 def clean_set_input(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Trim and null-out form text; rows without code or name are turned away."""
-    texts = ("set_type", "block_code", "block_name", "release_date")
+    """Trim and null-out form text, read dates; rows without code or name are turned away."""
+    texts = ("set_type", "block_code", "block_name")
     numbers = ("card_count", "printed_size")
     others = [
-        c for c in requests.columns if c not in (*texts, *numbers, "set_code", "set_name")
+        c
+        for c in requests.columns
+        if c not in (*texts, *numbers, "set_code", "set_name", "release_date")
     ]
     cleaned = requests.select(
         *others,
         *[F.coalesce(form_trim(c), F.lit("")).alias(c) for c in ("set_code", "set_name")],
         *[F.nullif(form_trim(c), F.lit("")).alias(c) for c in texts],
+        safe_date(form_trim("release_date")).alias("release_date"),
         *[form_trim(F.col(c).cast("string")).try_cast("int").alias(c) for c in numbers],
     ).select(requests.columns)
     complete = (F.col("set_code") != "") & (F.col("set_name") != "")

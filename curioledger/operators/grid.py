@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import collation_key
-from ..plans.ordering import rows_between
+from ..plans.ordering import HEAD_ROWS, rows_between
 
 PAGE_SIZES = (25, 50, 100, 200)
 SORT_KEY = "_sort_key"
@@ -39,7 +39,12 @@ def filter_holdings(
 
 
 def sort_order(
-    df: DataFrame, key: str, desc: bool = False, tie: str = "id", key_expr: Column | None = None
+    df: DataFrame,
+    key: str,
+    desc: bool = False,
+    tie: str = "id",
+    key_expr: Column | None = None,
+    tie_desc: bool = False,
 ) -> tuple[DataFrame, list[Column]]:
     """The rows with their sort key as a column, and the order over it.
 
@@ -52,7 +57,8 @@ def sort_order(
         key_expr = collation_key(key) if text else F.col(key)
     first = F.col(SORT_KEY)
     first = first.desc_nulls_first() if desc else first.asc_nulls_last()
-    return df.withColumn(SORT_KEY, key_expr), [first, F.col(tie).asc()]
+    last = F.col(tie).desc() if tie_desc else F.col(tie).asc()
+    return df.withColumn(SORT_KEY, key_expr), [first, last]
 
 
 def sort_grid(df: DataFrame, key: str, desc: bool = False, tie: str = "id", key_expr=None):
@@ -75,13 +81,26 @@ def paginate(
     desc: bool = False,
     tie: str = "id",
     key_expr: Column | None = None,
+    head_rows: int = HEAD_ROWS,
 ) -> Page:
-    """One page of a sorted table; a page past the end shows the last one."""
+    """One page of a sorted table; a page past the end shows the last one.
+
+    A page of the back half is the head of the reverse order, turned round. Up to ``head_rows``
+    rows before it are held by one task; beyond that all rows are numbered.
+    """
     if size not in PAGE_SIZES:
         raise ValueError(f"page size must be one of {PAGE_SIZES}, got {size}")
     total = df.count()
     page_count = max(1, ceil(total / size))
     current = min(max(page, 1), page_count)
     keyed, order = sort_order(df, key, desc, tie, key_expr)
-    rows = rows_between(keyed, order, (current - 1) * size, size, keep=df.columns)
+    start = (current - 1) * size
+    held = min(size, total - start)
+    after = total - start - held
+    if after >= start or after + held > head_rows:
+        rows = rows_between(keyed, order, start, size, df.columns, head_rows)
+    else:
+        keyed, back = sort_order(df, key, not desc, tie, key_expr, tie_desc=True)
+        last = rows_between(keyed, back, after, held, None, head_rows)
+        rows = last.orderBy(*order).select(df.columns)
     return Page(rows, total, page_count, current)

@@ -128,7 +128,7 @@ def patch_holdings(
         _last(F.col("price"), F.col("price").isNotNull()).alias("_price"),
     ]
     patches = valid.groupBy("id").agg(*folds)
-    joined = lookup_join(holdings, patches, "id", "id", bound=valid, unique=True)
+    joined = lookup_join(holdings, patches, "id", "id", unique=True)
     changed = {c: F.coalesce(f"_{c}", c) for c in ("card_name", "set_code", "price")}
     changed |= {
         c: F.when(F.col("_given").isNotNull(), F.col(f"_given.{c}")).otherwise(F.col(c))
@@ -138,9 +138,13 @@ def patch_holdings(
         c: F.when(F.col(f"_{c}") == "", F.lit(None)).otherwise(F.coalesce(f"_{c}", c))
         for c in ("card_type", "comment", "location")
     }
-    unknown = lookup_join(valid, holdings.select("id"), "id", "id", "left_anti").withColumn(
-        "reason", F.lit(ROW_NOT_FOUND)
-    )
+    # Unknown ids come from the asked ones, each once; then their requests are brought back.
+    absent = missing_keys(holdings, valid.select("id"), "id")
+    unknown = valid.join(
+        absent.withColumnRenamed("id", "_absent"),
+        F.col("id").eqNullSafe(F.col("_absent")),
+        "left_semi",
+    ).withColumn("reason", F.lit(ROW_NOT_FOUND))
     return joined.withColumns(changed).select(COLUMNS), rejected.unionByName(unknown)
 
 
@@ -155,8 +159,7 @@ def refresh_status(
         asked = holdings.withColumn("_asked", F.lit(True))
     else:
         wanted = ids.select("id").distinct().withColumn("_asked", F.lit(True))
-        bound = ids.select("id")
-        asked = lookup_join(holdings, wanted, "id", "id", bound=bound, unique=True)
+        asked = lookup_join(holdings, wanted, "id", "id", unique=True)
     key = F.when(F.col("_asked"), row_key("set_code", "card_number", "card_name"))
     matched = match_feed(asked.withColumn("_key", key), "_key", feed)
     hit = F.col("feed_hit")

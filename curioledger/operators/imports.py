@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cards import name_key, number_key
-from ..functions.parsing import cell_decimal, foil_flag, manual_flag, parse_quantity, pick_price
+from ..functions.parsing import cell_decimal, cell_text, foil_flag, manual_flag, parse_quantity, pick_price
 from ..functions.text import blank_to_null, cell_trim, is_blank, norm
 from ..plans.joins import lookup_join
 from ..plans.lineage import settle
 from ..plans.ordering import with_ordinal
-from ..schemas import GRID, GRID_COLUMNS, HOLDINGS
+from ..schemas import GRID, GRID_COLUMNS, HOLDINGS, NUMBER_COLUMNS
 from .catalog import project_sets
 from .keyed import next_id
 from .lookups import match_feed
@@ -26,6 +26,7 @@ NO_NAME_OR_NUMBER = "no_name_or_number"
 CARD_NOT_FOUND = "card_not_found"
 CARD_NAME_BLANK = "card_name_blank"
 LOOKUP_FAILED = "feed_lookup_failed"
+SET_SYNC_FAILED = "set_sync_failed"
 
 
 def matching_names(grid: DataFrame) -> DataFrame:
@@ -58,14 +59,16 @@ def data_rows(grid: DataFrame) -> DataFrame:
 def normalize_grid(rows: DataFrame) -> DataFrame:
     """Name the columns and type the cells: foil, quantity, manual flag, set key, row reference."""
     text = {letter: f"{name}_text" for letter, name in GRID_COLUMNS.items()}
-    for letter, name in zip("abijk", ("number", "card", "comment", "language", "location")):
+    for letter, name in zip("bijk", ("card", "comment", "language", "location")):
         text[letter] = name
     return rows.select(
         "sheet",
         "row_no",
         *[F.col(letter).alias(name) for letter, name in text.items()],
+        *[F.col(f"{c}_num").alias(f"{GRID_COLUMNS[c]}_num") for c in NUMBER_COLUMNS],
+        cell_text("a", "a_num").alias("number"),
         foil_flag("d").alias("foil"),
-        parse_quantity("f").alias("quantity"),
+        parse_quantity("f", "f_num").alias("quantity"),
         manual_flag("i").alias("manual"),
         norm("c").alias("set_key"),
         F.concat_ws("!", "sheet", "row_no").alias("row_ref"),
@@ -79,8 +82,7 @@ def resolve_set(rows: DataFrame, sets: DataFrame) -> DataFrame:
         .groupBy(norm("set_name").alias("_name"))
         .agg(F.max("set_code").alias("set_code"))
     )
-    bound = sets.select("set_name", "set_code")
-    return lookup_join(rows, by_name, "set_key", "_name", bound=bound)
+    return lookup_join(rows, by_name, "set_key", "_name")
 
 
 def build_match_keys(rows: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def enrich(rows: DataFrame, feed: DataFrame | None) -> DataFrame:
     return found.select(
         *rows.columns,
         F.when(manual, F.col("type_text")).otherwise(F.col("feed_type")).alias("card_type"),
-        F.when(manual, cell_decimal("price_text")).otherwise(price).alias("price"),
+        F.when(manual, cell_decimal("price_text", "price_num")).otherwise(price).alias("price"),
         F.when(F.col("feed_hit") & is_blank("number"), F.col("feed_number"))
         .otherwise(F.col("number"))
         .alias("card_number"),
@@ -144,37 +146,51 @@ def resolve_grid(
     return enrich(build_match_keys(resolve_set(rows, sets)), feed)
 
 
-def unresolved_report(resolved: DataFrame) -> DataFrame:
-    """Rows without a card, in grid order; null texts show as empty."""
+def unresolved_rows(resolved: DataFrame) -> DataFrame:
+    """Rows without a card; null texts show as empty."""
     texts = {"number": "number", "card": "card", "set": "set_text", "foil": "foil_text"}
-    return (
-        resolved.filter(F.col("reason").isNotNull())
-        .orderBy("sheet", "row_no")
-        .select(
-            "sheet",
-            "row_no",
-            *[F.coalesce(c, F.lit("")).alias(name) for name, c in texts.items()],
-            "reason",
-        )
+    return resolved.filter(F.col("reason").isNotNull()).select(
+        "sheet",
+        "row_no",
+        *[F.coalesce(c, F.lit("")).alias(name) for name, c in texts.items()],
+        "reason",
     )
 
 
+def unresolved_report(resolved: DataFrame) -> DataFrame:
+    """Rows without a card, in grid order."""
+    return unresolved_rows(resolved).orderBy("sheet", "row_no")
+
+
 def _errors():
     failed = F.when(F.col("reason").isin(SET_NOT_FOUND, NO_NAME_OR_NUMBER), F.col("reason"))
     nameless = F.when(is_blank("card"), F.lit(CARD_NAME_BLANK))
     return F.array_compact(F.array(failed, nameless))
 
 
-def import_errors(resolved: DataFrame) -> DataFrame:
-    """One row per error message: grid reference and error code."""
-    return resolved.select("row_ref", F.explode(_errors()).alias("error"))
+def job_errors(feed_failed: bool, sets_failed: bool) -> list[str]:
+    """Errors of the job as a whole, each there at most once."""
+    failed = ((SET_SYNC_FAILED, sets_failed), (LOOKUP_FAILED, feed_failed))
+    return [error for error, happened in failed if happened]
+
 
+def import_errors(
+    resolved: DataFrame, feed_failed: bool = False, sets_failed: bool = False
+) -> DataFrame:
+    """One row per error: grid reference, null for those of the whole job, and error code."""
+    own = resolved.select("row_ref", F.explode(_errors()).alias("error"))
+    rows = [(None, error) for error in job_errors(feed_failed, sets_failed)]
+    whole = resolved.sparkSession.createDataFrame(rows, "row_ref string, error string")
+    return own.unionByName(whole) if rows else own
 
-def import_metrics(resolved: DataFrame, feed_failed: bool = False) -> DataFrame:
+
+def import_metrics(
+    resolved: DataFrame, feed_failed: bool = False, sets_failed: bool = False
+) -> DataFrame:
     """One row: importable, processed and persisted rows, and the number of errors.
 
-    The messages themselves are a table, :func:`import_errors`; their number has no bound. A
-    failed feed lookup is one error of the job as a whole.
+    The errors themselves are a table, :func:`import_errors`; their number has no bound and is
+    always that of its rows.
     """
     own = F.coalesce(F.sum(F.size(_errors())), F.lit(0)).cast("long")
     return resolved.agg(
@@ -182,7 +198,7 @@ def import_metrics(resolved: DataFrame, feed_failed: bool = False) -> DataFrame:
         F.count("*").alias("processed"),
         F.count_if(~is_blank("card")).alias("persisted"),
         F.count_if(F.col("reason").isNotNull()).alias("unresolved"),
-        (own + int(feed_failed)).alias("errors"),
+        (own + len(job_errors(feed_failed, sets_failed))).alias("errors"),
     )
 
 
@@ -227,19 +243,22 @@ def enriched_grid(
 
     automatic = ~F.col("manual")
     new_type = F.when(automatic, F.col("card_type"))
-    new_price = F.when(automatic, F.col("price").cast("string"))
+    new_price = F.when(automatic, F.col("price"))
     cells = {
-        "a": F.col("number"),
+        "a": F.col("number_text"),
         "b": F.col("card"),
         "c": F.col("set_text"),
         "d": F.col("foil_text"),
         "e": F.coalesce(new_type, F.col("type_text")),
         "f": F.col("quantity_text"),
-        "g": F.coalesce(new_price, F.col("price_text")),
+        "g": F.coalesce(new_price.cast("string"), F.col("price_text")),
         "h": F.col("total_text"),
         "i": F.col("comment"),
         "j": F.col("language"),
         "k": F.col("location"),
+        "a_num": F.col("number_num"),
+        "f_num": F.col("quantity_num"),
+        "g_num": F.coalesce(new_price.cast("double"), F.col("price_num")),
     }
     filled = resolved.select("sheet", "row_no", *[c.alias(name) for name, c in cells.items()])
     return passed_over.unionByName(filled)
@@ -262,10 +281,12 @@ def import_grid(
 ) -> ImportResult:
     """Run the import; the resolved rows are settled once and every output derives from them.
 
-    An empty set table is first filled from ``sets_feed`` when there is one.
+    An empty set table is first filled from ``sets_feed``; without one, that sync has failed.
     """
-    if sets_feed is not None and sets.isEmpty():
-        sets = project_sets(sets_feed)
+    sets_failed = False
+    if sets.isEmpty():
+        sets_failed = sets_feed is None
+        sets = sets if sets_failed else project_sets(sets_feed)
     names = matching_names(grid)
     resolved = settle(resolve_grid(grid, sets, feed, names))
     return ImportResult(
@@ -273,6 +294,6 @@ def import_grid(
         persist_import(resolved),
         enriched_grid(grid, resolved, names),
         unresolved_report(resolved),
-        import_errors(resolved),
-        import_metrics(resolved, feed_failed=feed is None),
+        import_errors(resolved, feed is None, sets_failed),
+        import_metrics(resolved, feed is None, sets_failed),
     )

@@ -9,8 +9,7 @@ from ..plans.joins import lookup_join
 def get_by_key(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose primary key is asked for, and the asked keys that no row has."""
     asked = keys.select(key).distinct()
-    bound = keys.select(key)
-    found = lookup_join(df, asked, key, key, "left_semi", bound=bound, unique=True)
+    found = lookup_join(df, asked, key, key, "left_semi", unique=True)
     return found, missing_keys(df, keys, key)
 
 
@@ -22,17 +21,16 @@ def missing_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def exists_key(keys: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """The asked rows plus ``exists``: whether the table has their key."""
-    held = df.select(F.col(key).alias("_held")).distinct().withColumn("_hit", F.lit(True))
-    flagged = lookup_join(keys, held, key, "_held", bound=df.select(key))
+    """The asked rows plus ``exists``: whether the table has their key, its primary key."""
+    held = df.select(F.col(key).alias("_held"), F.lit(True).alias("_hit"))
+    flagged = lookup_join(keys, held, key, "_held")
     return flagged.select(*keys.columns, F.coalesce("_hit", F.lit(False)).alias("exists"))
 
 
 def delete_rows(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows without those whose primary key is asked for, and the asked keys no row has."""
     asked = keys.select(key).distinct()
-    bound = keys.select(key)
-    kept = lookup_join(df, asked, key, key, "left_anti", bound=bound, unique=True)
+    kept = lookup_join(df, asked, key, key, "left_anti", unique=True)
     return kept, missing_keys(df, keys, key)
 
 

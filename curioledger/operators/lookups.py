@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cards import feed_keys, name_key, number_key
+from ..functions.cards import feed_keys, match_key, name_key, number_key
 from ..functions.parsing import pick_price
 from ..functions.text import is_blank
 from ..plans.joins import lookup_join
@@ -22,37 +22,37 @@ CARD_FIELDS = {
 }
 
 
-def exploded_keys(feed: DataFrame, fields: dict | None = None) -> DataFrame:
-    """One row per feed card and key, before repeated keys are settled.
-
-    ``fields`` names the columns to carry along, as paths or expressions.
-    """
-    fields = CARD_FIELDS if fields is None else fields
-    columns = [F.col(c) if isinstance(c, str) else c for c in fields.values()]
-    return feed.select(
-        F.explode(feed_keys("set", "collector_number", "name")).alias("match_key"),
-        "feed_seq",
-        *[c.alias(name) for name, c in zip(fields, columns)],
-    )
+def exploded_keys(feed: DataFrame) -> DataFrame:
+    """One row per feed card and key, before repeated keys are settled."""
+    keys = F.explode(feed_keys("set", "collector_number", "name"))
+    return feed.select(keys.alias("match_key"), "feed_seq")
 
 
 def expand_feed_keys(feed: DataFrame, fields: dict | None = None) -> DataFrame:
     """One row per key: number key, full name, each face. The first card in feed order wins.
 
-    The winner is an aggregate, combined before the shuffle, so a key with very many copies
-    costs one partial row per task.
+    Keys and places in the feed are aggregated alone, combined before the shuffle, so a key with
+    very many copies costs one narrow row per task; what a card carries is fetched once, by place.
     """
-    keys = exploded_keys(feed, fields)
-    carried = F.struct(*[c for c in keys.columns if c not in ("match_key", "feed_seq")])
-    first = keys.groupBy("match_key").agg(F.min_by(carried, "feed_seq").alias("_card"))
-    return first.select("match_key", "_card.*")
+    first = exploded_keys(feed).groupBy("match_key").agg(F.min("feed_seq").alias("_seq"))
+    fields = CARD_FIELDS if fields is None else fields
+    columns = [F.col(c) if isinstance(c, str) else c for c in fields.values()]
+    carried = feed.select("feed_seq", *[c.alias(name) for name, c in zip(fields, columns)])
+    cards = first.join(carried, F.col("_seq") == F.col("feed_seq"))
+    return cards.select("match_key", *fields)
 
 
 def match_feed(rows: DataFrame, row_key: str, feed: DataFrame, fields=None) -> DataFrame:
-    """Left join on a match key; ``feed_hit`` tells whether a card answered."""
-    cards = expand_feed_keys(feed, fields).withColumn("feed_hit", F.lit(True))
-    bound = exploded_keys(feed, fields).drop("feed_seq")
-    joined = lookup_join(rows, cards, row_key, "match_key", bound=bound)
+    """Left join on a match key; ``feed_hit`` tells whether a card answered.
+
+    ``fields`` names the columns to carry along, as paths or expressions. Rows without a key are
+    spread over the tasks by a hash of their own, under a kind of key that no card has.
+    """
+    cards = expand_feed_keys(feed, fields).withColumnRenamed("match_key", "_card_key")
+    cards = cards.withColumn("feed_hit", F.lit(True))
+    own = F.xxhash64(*rows.columns).cast("string")
+    spread = rows.withColumn("_spread_key", F.coalesce(row_key, match_key("none", own, F.lit(""))))
+    joined = lookup_join(spread, cards, "_spread_key", "_card_key").drop("_spread_key")
     return joined.withColumn("feed_hit", F.coalesce("feed_hit", F.lit(False)))
 
 
@@ -95,9 +95,8 @@ def card_lookup(identifiers: DataFrame, feed: DataFrame) -> DataFrame:
 def not_found(identifiers: DataFrame, feed: DataFrame) -> DataFrame:
     """Identifiers no card answers to."""
     asked = identifiers.withColumn("_key", identifier_key())
-    held = exploded_keys(feed, {}).select("match_key")
-    known = held.distinct()
-    return lookup_join(asked, known, "_key", "match_key", "left_anti", bound=held).drop("_key")
+    known = exploded_keys(feed).select("match_key").distinct()
+    return lookup_join(asked, known, "_key", "match_key", "left_anti").drop("_key")
 
 
 def plan_lookup_batches(

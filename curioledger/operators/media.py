@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cards import face_count, number_key, object_key, png_url
 from ..functions.text import is_blank
+from ..plans.joins import lookup_join
 from .holdings import with_set_name
 from .lookups import match_feed
 
@@ -12,9 +13,16 @@ DEFAULT_LAYOUT = "normal"
 
 
 def image_manifest(
-    holdings: DataFrame, sets: DataFrame, feed: DataFrame, face: int = 0
+    holdings: DataFrame,
+    sets: DataFrame,
+    feed: DataFrame,
+    face: int = 0,
+    cached: DataFrame | None = None,
 ) -> DataFrame:
-    """Per row: object key, picture location, face count, layout, and whether it can be fetched."""
+    """Per row: object key, picture location, face count, layout, and whether it can be fetched.
+
+    Rows whose ``object_key`` is among the ``cached`` ones need no fetching.
+    """
     pictures = {
         "_png": png_url(face),
         "_faces": face_count(),
@@ -32,7 +40,7 @@ def image_manifest(
         .when(F.col("_png").isNull(), "no_picture")
         .otherwise("ok")
     )
-    return matched.select(
+    manifest = matched.select(
         "id",
         F.when(usable, key).alias("object_key"),
         F.col("_png").alias("png_url"),
@@ -40,3 +48,9 @@ def image_manifest(
         F.coalesce("_layout", F.lit(DEFAULT_LAYOUT)).alias("layout"),
         status.alias("status"),
     )
+    if cached is None:
+        return manifest
+    held = cached.select(F.col("object_key").alias("_held")).distinct().withColumn("_hit", F.lit(True))
+    flagged = lookup_join(manifest, held, "object_key", "_held")
+    held_already = F.when(F.col("_hit"), "cached").otherwise(F.col("status"))
+    return flagged.withColumn("status", held_already).select(manifest.columns)

@@ -1,5 +1,6 @@
 """Point-in-time copies of the holdings and what is asked over them."""
 
+from datetime import datetime
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import moment, ts_bound, ts_literal
 from ..plans.joins import lookup_join
-from ..plans.ordering import head, number_head
+from ..plans.lineage import settle
+from ..plans.ordering import head, number_head, with_ordinal
 from ..schemas import HOLDING_SNAPSHOTS
 from .keyed import next_id
 
@@ -45,7 +47,7 @@ def count_by_source(snapshots: DataFrame, ids: DataFrame) -> DataFrame:
     key = "source_card_id"
     asked = ids.select(key).distinct()
     counted = (
-        lookup_join(snapshots.select(key), asked, key, key, "left_semi", bound=ids.select(key))
+        lookup_join(snapshots.select(key), asked, key, key, "left_semi")
         .groupBy(F.col("source_card_id").alias("_id"))
         .agg(F.count("*").alias("_rows"))
     )
@@ -81,11 +83,11 @@ def snapshot_projection(rows: DataFrame) -> DataFrame:
     )
 
 
-def next_snapshot_ts(snapshots: DataFrame, now) -> Column:
-    """The first free second from ``now`` on, as a scalar subquery.
+def next_snapshot_ts(snapshots: DataFrame, now) -> datetime:
+    """The first free second from ``now`` on.
 
-    It is ``now`` itself or the second after a taken one. Every row marks its own second as taken
-    and the next as wanted; the earliest second that is wanted and not taken is the answer.
+    It is ``now`` itself or the second after a taken one. Every snapshot marks its own second as
+    taken and the next as wanted; the earliest second that is wanted and not taken is the answer.
     """
     start = ts_literal(moment(now).replace(microsecond=0))
     second = F.col("snapshot_ts")
@@ -94,30 +96,36 @@ def next_snapshot_ts(snapshots: DataFrame, now) -> Column:
         return F.struct(at.alias("at"), F.lit(taken).alias("taken"))
 
     marks = F.array(mark(second, True), mark(second + F.expr("INTERVAL 1 SECOND"), False))
-    seen = snapshots.filter(second >= start).select(F.inline(marks))
+    seen = snapshots.filter(second >= start).select("snapshot_ts").distinct().select(F.inline(marks))
     own = snapshots.sparkSession.range(1).select(F.inline(F.array(mark(start, False))))
     free = seen.unionByName(own).groupBy("at").agg(F.max("taken").alias("taken"))
-    return free.filter(~F.col("taken")).select(F.min("at")).scalar()
+    return free.filter(~F.col("taken")).agg(F.min("at")).first()[0]
+
+
+class Snapshot(NamedTuple):
+    rows: DataFrame
+    ts: datetime
 
 
 def create_snapshot(
-    holdings: DataFrame, snapshots: DataFrame, now, last_id: Column | int | None = None
-) -> DataFrame:
-    """Rows of a new snapshot of all holdings.
+    holdings: DataFrame, snapshots: DataFrame, now, last_id: int | None = None
+) -> Snapshot:
+    """Rows of a new snapshot of all holdings, and the second it was given.
 
-    Each gets an id above the highest in use, ``last_id`` when the caller keeps it, by adding its
-    own holdings id, which is unique already.
+    Rows are numbered in the order of their holdings ids after the highest id in use, ``last_id``
+    when the caller keeps it, so a snapshot uses up as many ids as it has rows.
     """
-    base = next_id(snapshots) if last_id is None else last_id
-    base = F.lit(base) if isinstance(base, int) else base
-    stamped = holdings.withColumns(
+    ts = next_snapshot_ts(snapshots, now)
+    base = next_id(snapshots) if last_id is None else F.lit(last_id)
+    numbered = with_ordinal(holdings, [F.col("id")], "_no")
+    stamped = numbered.withColumns(
         {
             "source_card_id": F.col("id"),
-            "snapshot_ts": next_snapshot_ts(snapshots, now),
-            "id": base + F.col("id"),
+            "snapshot_ts": ts_literal(ts),
+            "id": base + F.col("_no"),
         }
     )
-    return stamped.select(COLUMNS)
+    return Snapshot(stamped.select(COLUMNS), ts)
 
 
 def delete_snapshot(snapshots: DataFrame, ts) -> tuple[DataFrame, DataFrame]:
@@ -158,29 +166,37 @@ def latest_two(snapshots: DataFrame, from_=None, to=None) -> DataFrame:
 
 
 class Movers(NamedTuple):
+    """Both lists, and the seconds compared; null where there were not two snapshots to compare."""
+
     gainers: DataFrame
     losers: DataFrame
+    old_ts: datetime | None
+    new_ts: datetime | None
+
 
+def compared(snapshots: DataFrame, from_=None, to=None) -> tuple[datetime, datetime] | None:
+    """The two newest seconds in range; nothing where there are fewer."""
+    found = [r["snapshot_ts"] for r in latest_two(snapshots, from_, to).collect()]
+    return (found[0], found[1]) if len(found) == 2 else None
 
-def price_changes(snapshots: DataFrame, from_=None, to=None) -> DataFrame:
+
+def price_changes(snapshots: DataFrame, pair: tuple[datetime, datetime] | None) -> DataFrame:
     """Every row of the newest snapshot whose card had another price in the one before.
 
     A card is the same when all five identity columns agree, null with null. The older side is
     reduced to one row per identity before its shuffle (the highest id stands for duplicates),
-    the newer side keeps every row. No row comes out of fewer than two snapshots.
+    the newer side keeps every row. ``pair`` is what :func:`compared` found; without one no row
+    comes out.
     """
-    pair = latest_two(snapshots, from_, to).agg(
-        F.count("*").alias("n"),
-        F.min("snapshot_ts").alias("old_ts"),
-        F.max("snapshot_ts").alias("new_ts"),
-    )
-    bounds = pair.filter(F.col("n") == 2).select(F.struct("old_ts", "new_ts")).scalar()
+    old_at, new_at = [F.lit(False)] * 2
+    if pair is not None:
+        old_at, new_at = [F.col("snapshot_ts") == ts_literal(ts) for ts in pair]
     old = (
-        snapshots.filter(F.col("snapshot_ts") == bounds["old_ts"])
+        snapshots.filter(old_at)
         .groupBy([F.col(c).alias(f"_{c}") for c in IDENTITY])
         .agg(F.max_by("price", "id").alias("_price"))
     )
-    new = snapshots.filter(F.col("snapshot_ts") == bounds["new_ts"])
+    new = snapshots.filter(new_at)
     same = F.lit(True)
     for c in IDENTITY:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
@@ -221,13 +237,19 @@ def check_limit(limit: int) -> int:
 def price_movers(
     snapshots: DataFrame, from_=None, to=None, limit: int = DEFAULT_LIMIT
 ) -> Movers:
-    """Rows that gained and rows that lost the most, ``limit`` of each; 0 keeps all."""
+    """Rows that gained and rows that lost the most, ``limit`` of each; 0 keeps all.
+
+    The changes are computed once and both lists taken from them. Fewer than two snapshots in range
+    give empty lists and no seconds; two without a change give empty lists and both seconds.
+    """
     check_limit(limit)
-    changes = price_changes(snapshots, from_, to)
-    return Movers(*(
+    pair = compared(snapshots, from_, to)
+    changes = settle(price_changes(snapshots, pair))
+    lists = [
         head(changes.filter(F.col("side") == side), mover_order(side), limit).drop("side")
         for side in ("gainer", "loser")
-    ))
+    ]
+    return Movers(*lists, *(pair or (None, None)))
 
 
 def export_projection(movers: DataFrame, order: list[Column], limit: int = 0) -> DataFrame:

@@ -2,38 +2,6 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-# Largest side worth copying to every executor, measured before it is broadcast.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-_FIXED_WIDTH = 16
-
-
-def payload_bytes(df: DataFrame) -> int:
-    """Measured size of the rows: text by its length, anything else by a fixed width or as JSON."""
-    widths = []
-    for field in df.schema:
-        if isinstance(field.dataType, StringType):
-            widths.append(F.coalesce(F.octet_length(field.name), F.lit(0)))
-        elif field.dataType.typeName() in ("struct", "array", "map"):
-            text = F.to_json(F.struct(field.name))
-            widths.append(F.coalesce(F.octet_length(text), F.lit(0)))
-    fixed = F.lit(_FIXED_WIDTH * len(df.columns))
-    per_row = sum(widths, fixed).cast("long")
-    return df.agg(F.coalesce(F.sum(per_row), F.lit(0)).alias("bytes")).first()["bytes"]
-
-
-def broadcast_if_small(
-    df: DataFrame, bound: DataFrame | None = None, limit: int | None = None
-) -> DataFrame:
-    """Hint a broadcast only after measuring the rows; a larger side is left to a shuffle.
-
-    ``bound`` stands in for the measurement: rows at least as large in sum, and cheaper to read.
-    """
-    limit = BROADCAST_BYTES if limit is None else limit
-    measured = df if bound is None else bound
-    return F.broadcast(df) if limit > 0 and payload_bytes(measured) <= limit else df
 
 
 def lookup_join(
@@ -42,20 +10,19 @@ def lookup_join(
     row_key: str,
     side_key: str,
     how: str = "left",
-    bound: DataFrame | None = None,
     unique: bool = False,
-    limit: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``side``, whose key is unique and not null; the side's key is dropped.
 
-    Beyond the broadcast limit both sides are shuffled on the key. The null-safe comparison gives
-    the side a shuffle of its own even when it comes out of an aggregate on that key, and that is
-    the shape in which adaptive execution splits a hot key, or the null key, over many tasks.
-    Where the key is ``unique`` in the rows too, nothing can be hot and the side's own
-    partitioning is kept.
+    Nothing is measured while the plan is built: adaptive execution broadcasts a side whose shuffle
+    it has seen to be small (``spark.sql.adaptive.autoBroadcastJoinThreshold``). Otherwise both
+    sides are shuffled on the key. The null-safe comparison gives the side a shuffle of its own even
+    when it comes out of an aggregate on that key, and that is the shape in which adaptive execution
+    splits a hot key over many tasks. Where the key is ``unique`` in the rows too, nothing can be
+    hot and the side's own partitioning is kept.
     """
     keyed = side.filter(F.col(side_key).isNotNull()).withColumnRenamed(side_key, "_side_key")
     ours, theirs = F.col(row_key), F.col("_side_key")
     matched = ours == theirs if unique else ours.eqNullSafe(theirs)
-    joined = rows.join(broadcast_if_small(keyed, bound, limit), matched, how)
+    joined = rows.join(keyed, matched, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop("_side_key")

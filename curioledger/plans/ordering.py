@@ -38,9 +38,15 @@ def with_ordinal(
     return numbered.select(*keep, ordinal.alias(name))
 
 
-def number_head(df: DataFrame, order: list[Column], limit: int, name: str = "ordinal") -> DataFrame:
+def number_head(
+    df: DataFrame,
+    order: list[Column],
+    limit: int,
+    name: str = "ordinal",
+    head_rows: int = HEAD_ROWS,
+) -> DataFrame:
     """The first ``limit`` rows in order, numbered; 0 numbers all of them."""
-    if 0 < limit <= HEAD_ROWS:
+    if 0 < limit <= head_rows:
         first = df.orderBy(*order).limit(limit)
         place = F.row_number().over(Window.orderBy(*order))
         return first.withColumn(name, place.cast("long"))
@@ -48,20 +54,28 @@ def number_head(df: DataFrame, order: list[Column], limit: int, name: str = "ord
     return numbered.filter(F.col(name) <= limit) if limit else numbered
 
 
-def head(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+def head(
+    df: DataFrame, order: list[Column], limit: int, head_rows: int = HEAD_ROWS
+) -> DataFrame:
     """The first ``limit`` rows in order; 0 keeps all of them."""
-    if limit > HEAD_ROWS:
-        return number_head(df, order, limit, "_ordinal").orderBy("_ordinal").drop("_ordinal")
+    if limit > head_rows:
+        numbered = number_head(df, order, limit, "_ordinal", head_rows)
+        return numbered.orderBy("_ordinal").drop("_ordinal")
     ordered = df.orderBy(*order)
     return ordered.limit(limit) if limit else ordered
 
 
 def rows_between(
-    df: DataFrame, order: list[Column], start: int, count: int, keep: list[str] | None = None
+    df: DataFrame,
+    order: list[Column],
+    start: int,
+    count: int,
+    keep: list[str] | None = None,
+    head_rows: int = HEAD_ROWS,
 ) -> DataFrame:
     """``count`` rows after skipping ``start``; deep offsets use the numbering, not one task."""
     keep = df.columns if keep is None else keep
-    if start + count <= HEAD_ROWS:
+    if start + count <= head_rows:
         return df.orderBy(*order).offset(start).limit(count).select(*keep)
     numbered = with_ordinal(df, order, "_ordinal", keep)
     inside = (F.col("_ordinal") > start) & (F.col("_ordinal") <= start + count)

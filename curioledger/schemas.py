@@ -5,6 +5,7 @@ from pyspark.sql.types import (
     BooleanType,
     DateType,
     DecimalType,
+    DoubleType,
     IntegerType,
     LongType,
     StringType,
@@ -116,7 +117,10 @@ GRID_COLUMNS = {
     "j": "language",
     "k": "location",
 }
+# Columns whose cells may hold a number; beside the text, it is null for a cell of text.
+NUMBER_COLUMNS = ("a", "f", "g")
 GRID = StructType(
     [StructField("sheet", StringType()), StructField("row_no", LongType())]
     + [StructField(letter, StringType()) for letter in GRID_COLUMNS]
+    + [StructField(f"{letter}_num", DoubleType()) for letter in NUMBER_COLUMNS]
 )

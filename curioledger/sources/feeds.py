@@ -2,22 +2,38 @@
 
 Every reader adds ``feed_seq``, an orderable struct giving the place of a record in its feed
 (file, block, line, array index), because later steps keep the first or the last of duplicates.
+What is no record of the schema is lost to none of them: each reader also returns the broken lines,
+or whole files with ``multi_line``, as ``file, text``.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import BATCH_REPLY, FEED_CARD, GRID, SET_LIST
 
+BROKEN = "_corrupt_record"
 
-def _read_json(spark: SparkSession, path, schema, multi_line: bool) -> DataFrame:
-    lines = spark.read.schema(schema).json(path, multiLine=multi_line)
-    return lines.select(
+
+def _read_json(
+    spark: SparkSession, path, schema: StructType, multi_line: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Records with their place, and what is broken."""
+    full = StructType([*schema.fields, StructField(BROKEN, StringType())])
+    lines = spark.read.schema(full).json(
+        path, multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN
+    )
+    placed = lines.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     )
+    # A plan that reads nothing but the broken text is not allowed, hence the look at a field.
+    looked = F.coalesce(F.length("object"), F.lit(0)) >= 0
+    broken = placed.filter(F.col(BROKEN).isNotNull() & looked)
+    good = placed.filter(F.col(BROKEN).isNull()).drop(BROKEN)
+    return good, broken.select(F.col("_file").alias("file"), F.col(BROKEN).alias("text"))
 
 
 def _items(replies: DataFrame, array: str) -> DataFrame:
@@ -28,24 +44,29 @@ def _items(replies: DataFrame, array: str) -> DataFrame:
     )
 
 
-def read_sets_feed(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
-    """Sets of one or more list envelopes; an envelope without data adds nothing."""
-    return _items(_read_json(spark, path, SET_LIST, multi_line), "data")
+def read_sets_feed(
+    spark: SparkSession, path, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Sets of one or more list envelopes, and what is broken; an envelope may be without data."""
+    replies, broken = _read_json(spark, path, SET_LIST, multi_line)
+    return _items(replies, "data"), broken
 
 
-def read_card_feed(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
-    """Card objects, one per line, or one per file with ``multi_line``."""
-    cards = _read_json(spark, path, FEED_CARD, multi_line)
+def read_card_feed(
+    spark: SparkSession, path, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Card objects, one per line, or one per file with ``multi_line``, and what is broken."""
+    cards, broken = _read_json(spark, path, FEED_CARD, multi_line)
     place = F.struct("_file", "_block", "_line").alias("feed_seq")
-    return cards.select(*FEED_CARD.names, place)
+    return cards.select(*FEED_CARD.names, place), broken
 
 
 def read_batch_replies(
     spark: SparkSession, path, multi_line: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Matched cards and not-found identifiers of many batch replies, in reply order."""
-    replies = _read_json(spark, path, BATCH_REPLY, multi_line)
-    return _items(replies, "data"), _items(replies, "not_found")
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Matched cards and not-found identifiers of many batch replies, and what is broken."""
+    replies, broken = _read_json(spark, path, BATCH_REPLY, multi_line)
+    return _items(replies, "data"), _items(replies, "not_found"), broken
 
 
 def read_grid(spark: SparkSession, path, fmt: str = "parquet", **options) -> DataFrame:

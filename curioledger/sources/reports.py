@@ -42,13 +42,13 @@ def write_enriched_grid(
 
 
 def _write_csv(df: DataFrame, path: str) -> None:
-    """Text under display headings, blanks around values kept as they are."""
+    """Text under display headings, blanks kept as they are, quotes doubled as spreadsheets do."""
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.write.options(header=True, **keep).csv(path)
+    df.write.options(header=True, escape='"', **keep).csv(path)
 
 
 def write_unresolved(report: DataFrame, path: str) -> bool:
-    """Write the report under its display headings; nothing is written when it is empty."""
+    """Write the report, sorted, under its headings; nothing is written when it is empty."""
     report = settle(report)
     if report.isEmpty():
         return False

@@ -15,11 +15,16 @@ def _blank(c):
 
 
 def _number_key(s, n):
-    return f"concat('n|', {_norm(s)}, '|', {_norm(n)})"
+    return f"{{'kind': 'number', 'set': {_norm(s)}, 'value': {_norm(n)}}}"
 
 
 def _name_key(s, n):
-    return f"concat('c|', {_norm(s)}, '|', {_norm(n)})"
+    return f"{{'kind': 'name', 'set': {_norm(s)}, 'value': {_norm(n)}}}"
+
+
+_KEY_PARTS = (
+    "match_key.kind as key_kind, match_key['set'] as key_set, match_key['value'] as key_value"
+)
 
 
 def _price(foil, usd="usd", usd_foil="usd_foil"):
@@ -39,7 +44,15 @@ _SET_COLUMNS = (
     "set_code, set_name, release_date, set_type, card_count, printed_size, block_code,"
     " block_name, icon_svg_uri"
 )
-_GRID = "sheet, row_no, a, b, c, d, e, f, g, h, i, j, k"
+_GRID = "sheet, row_no, a, b, c, d, e, f, g, h, i, j, k, a_num, f_num, g_num"
+_CELL_TEXT = (
+    "case when a_num = floor(a_num) then cast(cast(a_num as bigint) as varchar)"
+    " when a_num is not null then cast(a_num as varchar) else a end"
+)
+_QUANTITY = (
+    "greatest(coalesce(case when f_num is not null then cast(trunc(f_num) as int)"
+    " when regexp_full_match(trim(f), '[+-]?[0-9]+') then try_cast(trim(f) as int) end, 1), 1)"
+)
 _TITLED = (
     "row_no = 3 and lower(trim(a)) = 'number (optional)' and lower(trim(b)) = 'card'"
     " and lower(trim(c)) = 'set' and lower(trim(d)) = 'foil'"
@@ -90,12 +103,12 @@ _CTES = {
         join cards_feed c on first_seq = c.feed_seq""",
     "good_sheets": f"select distinct sheet from grid where {_TITLED}",
     "normalized": f"""
-        select sheet, row_no, a as number, b as card, c as set_text, d as foil_text,
+        select sheet, row_no, {_CELL_TEXT} as number, a as number_text, a_num as number_num,
+          f_num as quantity_num, g_num as price_num, b as card, c as set_text, d as foil_text,
           e as type_text, f as quantity_text, g as price_text, h as total_text, i as comment,
           j as language, k as location,
           coalesce(lower(trim(d)) in ('sim', 's', 'yes', 'y', 'foil', 'true'), false) as foil,
-          greatest(coalesce(case when regexp_full_match(trim(f), '[+-]?[0-9]+')
-            then try_cast(trim(f) as int) end, 1), 1) as quantity,
+          {_QUANTITY} as quantity,
           coalesce(starts_with(lower(trim(i)), '*conferir sempre manualmente'), false) as manual,
           {_norm("c")} as set_key, concat(sheet, '!', cast(row_no as varchar)) as row_ref
         from grid where sheet in (select sheet from good_sheets) and {_DATA_ROW}""",
@@ -111,7 +124,8 @@ _CTES = {
     "resolved": f"""
         select k.*,
           case when manual then type_text else type_line end as card_type,
-          case when manual then try_cast(trim(price_text) as decimal(12,2))
+          case when manual then coalesce(cast(price_num as decimal(12,2)),
+              try_cast(trim(price_text) as decimal(12,2)))
             else {_price("foil")} end as price,
           case when f.match_key is not null and {_blank("number")} then collector_number
             else number end as card_number,
@@ -134,10 +148,12 @@ _CTES = {
         select {_GRID} from grid
         where not (sheet in (select sheet from good_sheets) and {_DATA_ROW})
         union all
-        select sheet, row_no, number, card, set_text, foil_text,
+        select sheet, row_no, number_text, card, set_text, foil_text,
           case when manual then type_text else coalesce(card_type, type_text) end, quantity_text,
           case when manual then price_text else coalesce(cast(price as varchar), price_text) end,
-          total_text, comment, language, location from resolved""",
+          total_text, comment, language, location, number_num, quantity_num,
+          case when manual then price_num else coalesce(cast(price as double), price_num) end
+        from resolved""",
     "report": """
         select sheet, row_no, coalesce(number, '') as number, coalesce(card, '') as card,
           coalesce(set_text, '') as "set", coalesce(foil_text, '') as foil, reason
@@ -149,14 +165,13 @@ _CTES = {
         from keyed where match_key is not null""",
     "clean_all": """
         select req_seq, trim(set_code) as set_code, trim(set_name) as set_name,
-          nullif(trim(release_date), '') as release_date, nullif(trim(set_type), '') as set_type,
+          try_cast(nullif(trim(release_date), '') as date) as release_date,
+          nullif(trim(set_type), '') as set_type,
           try_cast(trim(card_count) as int) as card_count,
           try_cast(trim(printed_size) as int) as printed_size,
           nullif(trim(block_code), '') as block_code, nullif(trim(block_name), '') as block_name
         from set_requests""",
-    "clean": """
-        select * replace (try_cast(release_date as date) as release_date)
-        from clean_all where set_code <> '' and set_name <> ''""",
+    "clean": "select * from clean_all where set_code <> '' and set_name <> ''",
     "set_winners": """
         select set_code, min(req_seq) as req_seq from clean
         where set_code not in (select set_code from sets) group by set_code""",
@@ -242,12 +257,20 @@ def _page(start):
         where place > first_place and place <= first_place + {PAGE_SIZE}"""
 
 
-def _snapshot_of(ts):
-    columns = _HOLDING_OUT.replace("id, ", "id + (select max(id) from snapshots) as id, ", 1)
+def _snapshot_of(ts, base):
+    columns = _HOLDING_OUT.replace("id, ", f"{base} + row_number() over (order by id) as id, ", 1)
     return f"""
         select {columns}, id as source_card_id, timestamp '{ts}' as snapshot_ts from holdings"""
 
 
+def _both_lists(limit):
+    return _tagged(
+        ("gainer", _mover_out("gainer", limit)),
+        ("loser", _mover_out("loser", limit)),
+        ("compared", "select old_ts, new_ts from pair"),
+    )
+
+
 def _metrics(failed=0):
     return f"""
         select count(*) as total, count(*) as processed,
@@ -331,9 +354,17 @@ _FILTERED_SETS = """
     select * from sets where contains(lower(set_name), 'supplier#00')
       and contains(lower(set_type), 'core') and contains(lower(block_name), 'nation_1')"""
 
+_AFTER = "lag(name) over (partition by feed_seq // 75 order by feed_seq) as after"
+_CUT_SHORT = """
+    select concat('{"object":"list","data":[{"name":"', n_name) as text from nation"""
+
 _CHECKS = {
-    "total_value_by_snapshot": f"select * from totals where {_IN_RANGE}",
-    "list_snapshots": "select distinct snapshot_ts from snapshots",
+    "total_value_by_snapshot": f"""
+        select *, row_number() over (order by snapshot_ts) as place
+        from totals where {_IN_RANGE}""",
+    "list_snapshots": """
+        select snapshot_ts, row_number() over (order by snapshot_ts desc) as place
+        from (select distinct snapshot_ts from snapshots)""",
     "count_snapshot_rows": f"""
         select count(*) as rows from snapshots where snapshot_ts = timestamp '{AT}'""",
     "count_by_source": """
@@ -341,11 +372,13 @@ _CHECKS = {
         from (select distinct feed_seq * 2 as source_card_id from cards_feed) a
           left join snapshots s on a.source_card_id = s.source_card_id group by 1""",
     "latest_two": f"""
-        select distinct snapshot_ts from snapshots where snapshot_ts <= timestamp '{TO}'
-        order by 1 desc limit 2""",
+        select snapshot_ts, row_number() over (order by snapshot_ts) as place from (
+          select distinct snapshot_ts from snapshots where snapshot_ts <= timestamp '{TO}'
+          order by 1 desc limit 2)""",
     "range_filter": f"select {_ALL_SNAPSHOTS} from snapshots where {_IN_RANGE}",
     "snapshot_rows": f"""
-        select {_ALL_SNAPSHOTS} from snapshots where snapshot_ts = timestamp '{AT}'""",
+        select {_ALL_SNAPSHOTS}, row_number() over (order by card_name, id) as place
+        from snapshots where snapshot_ts = timestamp '{AT}'""",
     "snapshot_projection": f"""
         select {_HOLDING_OUT.replace("set_name_raw, ", "")}, source_card_id, snapshot_ts
         from snapshots""",
@@ -358,21 +391,35 @@ _CHECKS = {
         from totals having count(*) > 0""",
     "price_movers_gainers": _mover_out("gainer", 100),
     "price_movers_losers": _mover_out("loser", 100),
-    "price_movers_unlimited": f"""
-        {_mover_out("gainer", place=False)} union all {_mover_out("loser", place=False)}""",
+    "price_movers_cut": _both_lists(10),
+    "price_movers_unlimited": _both_lists(None),
+    "price_movers_of_one": _tagged(
+        ("gainer", f"select * from ({_mover_out('gainer')}) where false"),
+        ("compared", "select cast(null as timestamp) as old_ts, cast(null as timestamp) as new_ts"),
+    ),
     "export_projection": _export_out("gainer"),
     "export_movers": _tagged(
         ("gainer", _export_out("gainer")), ("loser", _export_out("loser")), by="side"
     ),
-    "create_snapshot": _snapshot_of("1998-04-01 00:00:01"),
+    "create_snapshot": f"""
+        select *, snapshot_ts as ts
+        from ({_snapshot_of("1998-04-01 00:00:01", "(select max(id) from snapshots)")})""",
     "append_snapshot": f"""
-        select ts as snapshot_ts, cast(sum(coalesce(price, 0) * quantity) as double) as total_value
-        from holdings, (values (timestamp '{AT[:-2]}01'), (timestamp '{FROM}:01')) t(ts)
-        group by ts""",
+        {_snapshot_of(AT, "0")}
+        union all {_snapshot_of(f"{FROM}:00", "(select count(*) from holdings)")}
+        union all {_snapshot_of(AT[:-2] + "01", "2 * (select count(*) from holdings)")}""",
+    "stored_snapshot_rows": _tagged(
+        ("rows", f"""
+            select * exclude (set_name_raw), row_number() over (order by card_name, id) as place
+            from ({_snapshot_of(AT, "0")})"""),
+        ("totals", f"""
+            select timestamp '{FROM}:00' as snapshot_ts,
+              cast(sum(coalesce(price, 0) * quantity) as double) as total_value from holdings"""),
+    ),
     "delete_snapshot": _tagged(
         ("kept", f"""
-            select snapshot_ts, count(*) as rows from snapshots
-            where snapshot_ts <> timestamp '{AT}' group by 1"""),
+            select {_ALL_SNAPSHOTS} from snapshots
+            where snapshot_ts <> timestamp '{AT}'"""),
         ("removed", f"""
             select count(*) > 0 as removed from snapshots where snapshot_ts = timestamp '{AT}'"""),
     ),
@@ -456,18 +503,24 @@ _CHECKS = {
     "data_rows": f"select * from grid where {_DATA_ROW}",
     "normalize_grid": "select * from normalized",
     "resolve_set": "select sheet, row_no, set_code from keyed",
-    "build_match_keys": "select sheet, row_no, set_code, match_key from keyed",
-    "expand_feed_keys": f"select match_key, {_FEED_OUT} from first_keys",
+    "build_match_keys": f"select sheet, row_no, set_code, {_KEY_PARTS} from keyed",
+    "expand_feed_keys": f"select {_KEY_PARTS}, {_FEED_OUT} from first_keys",
     "enrich": """
         select sheet, row_no, set_code, card_number, card_type, cast(price as double) as price,
           reason from resolved""",
-    "enrich_without_feed": f"""
-        select count(*) as total, count(*) as processed,
-          count(*) filter (where not {_blank("card")}) as persisted,
-          count(*) filter (where not manual) as unresolved,
-          (select count(*) from errors) + 1 as errors
-        from resolved""",
-    "unresolved_report": "select * from report",
+    "enrich_without_feed": _tagged(
+        ("metrics", f"""
+            select count(*) as total, count(*) as processed,
+              count(*) filter (where not {_blank("card")}) as persisted,
+              count(*) filter (where not manual) as unresolved,
+              (select count(*) from errors) + 2 as errors
+            from resolved"""),
+        ("errors", """
+            select * from errors
+            union all select null, 'feed_lookup_failed'
+            union all select null, 'set_sync_failed'"""),
+    ),
+    "unresolved_report": "select *, row_number() over (order by sheet, row_no) as place from report",
     "import_metrics": _metrics(),
     "import_errors": "select * from errors",
     "persist_import": _STORED_OUT,
@@ -478,13 +531,15 @@ _CHECKS = {
           * exclude (sheet, row_no) from ({_STORED_OUT})""",
     "enriched_grid": "select * from filled",
     "import_grid": _tagged(
-        ("outcome", "select reason, count(*) as rows from resolved group by reason"),
-        ("stored", """
-            select cast(sum(price * quantity) as double) as value, count(*) as rows from stored"""),
+        ("stored", _STORED_OUT),
+        ("unresolved", "select * exclude (foil), foil as foil_text from report"),
+        ("errors", "select * from errors"),
         ("metrics", _metrics()),
     ),
     "write_enriched_grid": "select * from filled",
-    "write_unresolved": "select * from report",
+    "write_unresolved": """
+        select * replace (case when card <> '' then concat('say "', card, '",', chr(10), 'or not')
+          else '' end as card) from report""",
     "scan_holdings": f"select {_HOLDING_OUT} from holdings",
     "holdings_by_set": f"select {_HOLDING_OUT} from holdings where set_code = '{SET}'",
     "get_by_id": _tagged(
@@ -512,10 +567,11 @@ _CHECKS = {
         from (select id, coalesce(set_name, h.set_code) as set_name
           from holdings h left join known_sets s on h.set_code = s.set_code)""",
     "paginate": _page(2 * PAGE_SIZE),
+    "paginate_numbered": _page(2 * PAGE_SIZE),
     "paginate_past_end": _page(f"(page_count - 1) * {PAGE_SIZE}"),
     "exists_key": "select id, id in (select id from holdings) as exists from keys",
     "delete_rows": _tagged(
-        ("kept", "select id, quantity from holdings where id not in (select id from keys)"),
+        ("kept", f"select {_HOLDING_OUT} from holdings where id not in (select id from keys)"),
         ("missing", _missing("id", "holdings")),
     ),
     "validate_add": _tagged(
@@ -564,7 +620,7 @@ _CHECKS = {
         ("holdings", _refreshed_out("*", "true")), ("failed", _refresh_failed("true"))
     ),
     "refresh_chosen_prices": _tagged(
-        ("holdings", _refreshed_out("id, card_number, card_type, price", "asked")),
+        ("holdings", _refreshed_out("*", "asked")),
         ("failed", f"""
             {_refresh_failed("asked")}
             union all select id, 'row_not_found' from ({_missing("id", "holdings")})"""),
@@ -590,6 +646,11 @@ _CHECKS = {
         group by batch_id""",
     "image_manifest": _manifest(0),
     "image_manifest_back": _manifest(1),
+    "image_manifest_cached": f"""
+        with manifest as ({_manifest(0)}),
+        held as (select distinct object_key from manifest join holdings using (id) where foil)
+        select m.* replace (case when held.object_key is not null then 'cached' else status end
+          as status) from manifest m left join held on m.object_key = held.object_key""",
     "face_counts": """
         select feed_seq, case when front_png is not null and back_png is not null then 2 else 1 end
           as face_count from cards_feed""",
@@ -603,14 +664,14 @@ _CHECKS = {
                 10, '0'), regexp_replace(run, '^0+([0-9])', '\\1'))
               else run end), '') as natural_key
         from grid""",
-    "parse_functions": """
+    "parse_functions": f"""
         select sheet, row_no, coalesce(lower(trim(d)) in
             ('sim', 's', 'yes', 'y', 'foil', 'true'), false) as foil_flag,
-          greatest(coalesce(case when regexp_full_match(trim(f), '[+-]?[0-9]+')
-            then try_cast(trim(f) as int) end, 1), 1) as parse_quantity,
+          {_CELL_TEXT} as cell_text, {_QUANTITY} as parse_quantity,
           coalesce(starts_with(lower(trim(i)), '*conferir sempre manualmente'), false)
             as manual_flag,
-          cast(try_cast(trim(g) as decimal(12,2)) as double) as cell_decimal
+          cast(coalesce(cast(g_num as decimal(12,2)), try_cast(trim(g) as decimal(12,2))) as double)
+            as cell_decimal
         from grid""",
     "date_functions": f"""
         select code, {_DATE.format("released_at")} as safe_date, cast(null as date) as date_of_time,
@@ -628,17 +689,24 @@ _CHECKS = {
             concat(type_line, ' - ', "set", '/', collector_number, '-',
               replace(name, '/', '_'), '.png') end as object_key
         from cards_feed""",
-    "read_sets_feed": "select * exclude (feed_seq) from sets_feed",
-    "read_card_feed": """
-        select "set" as feed_set, count(*) as keys,
-          cast(sum(try_cast(usd as decimal(12,2))) as double) as usd
-        from first_keys group by 1""",
+    "read_sets_feed": _tagged(
+        ("sets", f"select * exclude (feed_seq), {_AFTER} from sets_feed"),
+        ("broken", _CUT_SHORT),
+    ),
+    "read_sets_files": _tagged(
+        ("sets", f"select * exclude (feed_seq), {_AFTER} from sets_feed"),
+        ("broken", """select '{"data":[{"code":' || chr(10) as text"""),
+    ),
+    "read_card_feed": _tagged(
+        ("cards", "select * exclude (feed_seq) from cards_feed"), ("broken", _CUT_SHORT)
+    ),
     "read_batch_replies": _tagged(
-        ("matched", """
-            select name, "set", collector_number, usd_foil from cards_feed
-            where "set" is not null"""),
-        ("not_found", """
-            select name, "set", collector_number from cards_feed where "set" is null"""),
+        ("matched", f"""
+            select name, "set", collector_number, type_line, layout, usd, usd_foil, {_AFTER}
+            from cards_feed where "set" is not null"""),
+        ("not_found", f"""
+            select name, "set", collector_number, {_AFTER} from cards_feed where "set" is null"""),
+        ("broken", _CUT_SHORT),
     ),
     "read_grid": "select * from grid",
 }

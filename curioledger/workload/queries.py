@@ -5,13 +5,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
+from pyspark.sql.window import Window
 
 from ..functions import parsing, text
 from ..functions.cards import face_count, line_total, object_key, png_url, split_faces
 from ..operators import catalog, grid, holdings, imports, keyed, lookups, media, snapshots
-from ..plans.lineage import scratch_path
-from ..plans.ordering import number_head, with_ordinal
-from ..schemas import MONEY
+from ..plans.lineage import scratch_path, settle
+from ..plans.ordering import with_ordinal
+from ..schemas import HOLDING_SNAPSHOTS
 from ..sources import feeds, reports, tables
 from .views import Views
 
@@ -63,12 +64,18 @@ def _tagged(column: str, **parts: DataFrame) -> DataFrame:
 
 @query
 def total_value_by_snapshot(v: Views):
-    return snapshots.total_value_by_snapshot(v.snapshots(), FROM, TO)
+    return _numbered(snapshots.total_value_by_snapshot(v.snapshots(), FROM, TO))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """A sorted result with each row's place in it, so that its order is compared too."""
+    place = F.monotonically_increasing_id()
+    return rows.coalesce(1).withColumn("place", place + 1)
 
 
 @query
 def list_snapshots(v: Views):
-    return snapshots.list_snapshots(v.snapshots())
+    return _numbered(snapshots.list_snapshots(v.snapshots()))
 
 
 @query
@@ -84,7 +91,7 @@ def count_by_source(v: Views):
 
 @query
 def latest_two(v: Views):
-    return snapshots.latest_two(v.snapshots(), None, TO)
+    return _numbered(snapshots.latest_two(v.snapshots(), None, TO))
 
 
 @query
@@ -94,7 +101,7 @@ def range_filter(v: Views):
 
 @query
 def snapshot_rows(v: Views):
-    return snapshots.snapshot_rows(v.snapshots(), AT)
+    return _numbered(snapshots.snapshot_rows(v.snapshots(), AT))
 
 
 @query
@@ -107,68 +114,106 @@ def series_summary(v: Views):
     return snapshots.series_summary(snapshots.total_value_by_snapshot(v.snapshots()))
 
 
-def _movers(v: Views, side: str, limit: int):
-    changes = snapshots.price_changes(v.snapshots()).filter(F.col("side") == side)
-    return number_head(changes, snapshots.mover_order(side), limit, "place").drop("side")
+def _movers(v: Views, limit: int, from_=None, to=None):
+    """Both lists in their order, with the seconds compared on a row of their own."""
+    found = snapshots.price_movers(v.snapshots(), from_, to, limit)
+    compared = v.spark.createDataFrame(
+        [(found.old_ts, found.new_ts)], "old_ts timestamp_ntz, new_ts timestamp_ntz"
+    )
+    return _tagged(
+        "part",
+        gainer=_numbered(found.gainers),
+        loser=_numbered(found.losers),
+        compared=compared,
+    )
 
 
 @query
 def price_movers_gainers(v: Views):
-    return _movers(v, "gainer", snapshots.DEFAULT_LIMIT)
+    return _numbered(snapshots.price_movers(v.snapshots()).gainers)
 
 
 @query
 def price_movers_losers(v: Views):
-    return _movers(v, "loser", snapshots.DEFAULT_LIMIT)
+    return _numbered(snapshots.price_movers(v.snapshots()).losers)
+
+
+@query
+def price_movers_cut(v: Views):
+    return _movers(v, 10)
 
 
 @query
 def price_movers_unlimited(v: Views):
-    gainers, losers = snapshots.price_movers(v.snapshots(), limit=0)
-    return gainers.unionByName(losers)
+    return _movers(v, 0)
+
+
+@query
+def price_movers_of_one(v: Views):
+    """A range with a single snapshot: no result, which is not the same as no change."""
+    return _movers(v, 10, AT, AT)
+
+
+def _changes(v: Views):
+    return snapshots.price_changes(v.snapshots(), snapshots.compared(v.snapshots()))
 
 
 @query
 def export_projection(v: Views):
-    changes = snapshots.price_changes(v.snapshots()).filter(F.col("side") == "gainer")
+    changes = _changes(v).filter(F.col("side") == "gainer")
     return snapshots.export_projection(changes, snapshots.mover_order("gainer"))
 
 
 @query
 def export_movers(v: Views):
     folder = scratch_path(v.spark, "movers")
-    reports.export_movers(snapshots.price_changes(v.snapshots()), folder)
+    reports.export_movers(_changes(v), folder)
     schema = (
         "row_no long, card_name string, set_name string, set_code string, foil string,"
         " language string, price_old double, price_new double, price_diff double"
     )
-    read = v.spark.read.schema(schema)
+    read = v.spark.read.schema(schema).options(header=True, escape='"', multiLine=True)
     return _tagged(
         "side",
-        gainer=read.csv(f"{folder}/{reports.GAINERS_NAME}", header=True),
-        loser=read.csv(f"{folder}/{reports.LOSERS_NAME}", header=True),
+        gainer=read.csv(f"{folder}/{reports.GAINERS_NAME}"),
+        loser=read.csv(f"{folder}/{reports.LOSERS_NAME}"),
     ).withColumn("language", F.coalesce("language", F.lit("")))
 
 
 @query
 def create_snapshot(v: Views):
-    return snapshots.create_snapshot(v.holdings(), v.snapshots(), NOW)
+    taken = snapshots.create_snapshot(v.holdings(), v.snapshots(), NOW)
+    return taken.rows.withColumn("ts", F.lit(taken.ts.isoformat()).cast("timestamp_ntz"))
+
+
+def _stored_ledger(v: Views, *times: str) -> DataFrame:
+    """A snapshot table by generations, each numbered after what is stored already."""
+    root = scratch_path(v.spark, "ledger")
+    stored = v.spark.createDataFrame([], HOLDING_SNAPSHOTS)
+    for now in times:
+        tables.append_snapshot(snapshots.create_snapshot(v.holdings(), stored, now).rows, root)
+        stored = tables.scan_table(v.spark, root, "holding_snapshots")
+    return stored
 
 
 @query
 def append_snapshot(v: Views):
-    root = scratch_path(v.spark, "ledger")
-    tables.append_snapshot(snapshots.create_snapshot(v.holdings(), v.snapshots(), AT), root)
-    tables.append_snapshot(snapshots.create_snapshot(v.holdings(), v.snapshots(), FROM), root)
-    stored = tables.scan_table(v.spark, root, "holding_snapshots")
-    return snapshots.total_value_by_snapshot(stored)
+    return _stored_ledger(v, AT, FROM, AT)
+
+
+@query
+def stored_snapshot_rows(v: Views):
+    """One partition out of the stored table, and the totals of a range of partitions."""
+    stored = _stored_ledger(v, AT, FROM)
+    rows = snapshots.snapshot_projection(snapshots.snapshot_rows(stored, AT))
+    totals = snapshots.total_value_by_snapshot(stored, None, FROM)
+    return _tagged("part", rows=_numbered(rows), totals=totals)
 
 
 @query
 def delete_snapshot(v: Views):
     kept, removed = snapshots.delete_snapshot(v.snapshots(), AT)
-    rows = kept.groupBy("snapshot_ts").agg(F.count("*").alias("rows"))
-    return _tagged("part", kept=rows, removed=removed)
+    return _tagged("part", kept=kept, removed=removed)
 
 
 # ---------------------------------------------------------------- catalog
@@ -221,9 +266,7 @@ def upsert_sets(v: Views):
 
 
 def _set_requests(v: Views):
-    clean, incomplete = catalog.clean_set_input(v.set_requests())
-    typed = clean.withColumn("release_date", F.col("release_date").try_cast("date"))
-    return typed, incomplete
+    return catalog.clean_set_input(v.set_requests())
 
 
 @query
@@ -298,14 +341,19 @@ def resolve_set(v: Views):
     return imports.resolve_set(_normalized(v), v.sets()).select("sheet", "row_no", "set_code")
 
 
+def _key_parts():
+    return [F.col(f"match_key.{part}").alias(f"key_{part}") for part in ("kind", "set", "value")]
+
+
 @query
 def build_match_keys(v: Views):
-    return _keyed_rows(v).select("sheet", "row_no", "set_code", "match_key")
+    return _keyed_rows(v).select("sheet", "row_no", "set_code", *_key_parts())
 
 
 @query
 def expand_feed_keys(v: Views):
-    return lookups.expand_feed_keys(v.cards_feed())
+    cards = lookups.expand_feed_keys(v.cards_feed())
+    return cards.select(*_key_parts(), *[c for c in cards.columns if c != "match_key"])
 
 
 @query
@@ -317,13 +365,17 @@ def enrich(v: Views):
 
 @query
 def enrich_without_feed(v: Views):
-    rows = imports.enrich(_keyed_rows(v), None)
-    return imports.import_metrics(rows, feed_failed=True)
+    rows = settle(imports.enrich(_keyed_rows(v), None))
+    return _tagged(
+        "part",
+        metrics=imports.import_metrics(rows, feed_failed=True, sets_failed=True),
+        errors=imports.import_errors(rows, feed_failed=True, sets_failed=True),
+    )
 
 
 @query
 def unresolved_report(v: Views):
-    return imports.unresolved_report(_resolved(v))
+    return _numbered(imports.unresolved_report(_resolved(v)))
 
 
 @query
@@ -364,9 +416,13 @@ def import_grid(v: Views):
     """The whole import, sets taken from their feed because the stored table is empty."""
     nothing = v.sets().filter(F.lit(False))
     result = imports.import_grid(v.grid(), nothing, v.cards_feed(), v.sets_feed())
-    outcome = result.resolved.groupBy("reason").agg(F.count("*").alias("rows"))
-    value = result.stored.agg(F.sum(line_total()).alias("value"), F.count("*").alias("rows"))
-    return _tagged("part", outcome=outcome, stored=value, metrics=result.metrics)
+    return _tagged(
+        "part",
+        stored=result.stored,
+        unresolved=result.unresolved.withColumnRenamed("foil", "foil_text"),
+        errors=result.errors,
+        metrics=result.metrics,
+    )
 
 
 @query
@@ -379,11 +435,15 @@ def write_enriched_grid(v: Views):
 @query
 def write_unresolved(v: Views):
     path = scratch_path(v.spark, "unresolved")
-    reports.write_unresolved(imports.unresolved_report(_resolved(v)), path)
+    rows = imports.unresolved_rows(_resolved(v))
+    # A name as spreadsheets must quote it: with a quote, a comma and a line break in it.
+    awkward = F.concat(F.lit('say "'), "card", F.lit('",\nor not'))
+    rows = rows.withColumn("card", F.when(F.col("card") != "", awkward).otherwise(""))
+    reports.write_unresolved(rows, path)
     columns = "sheet string, row_no long, number string, card string, set string, foil string"
     read = v.spark.read.schema(f"{columns}, reason string")
     texts = {c: F.coalesce(c, F.lit("")) for c in ("number", "card", "set", "foil")}
-    return read.csv(path, header=True).withColumns(texts)
+    return read.csv(path, header=True, escape='"', multiLine=True).withColumns(texts)
 
 
 # ---------------------------------------------------------------- holdings
@@ -435,7 +495,7 @@ def _placed(rows: DataFrame, key: str, desc: bool = False):
 
 @query
 def sort_grid(v: Views):
-    return _placed(v.holdings().select("id", "location"), "location", desc=True)
+    return _numbered(grid.sort_grid(v.holdings().select("id", "location"), "location", desc=True))
 
 
 @query
@@ -444,10 +504,10 @@ def sort_by_set_name(v: Views):
     return _placed(rows, "set_name")
 
 
-def _page(v: Views, page: int):
+def _page(v: Views, page: int, **held):
     rows = v.holdings().select("id", "price", "card_name")
-    shown = grid.paginate(rows, "price", page, PAGE_SIZE, desc=True)
-    numbered = _placed(shown.rows, "price", desc=True)
+    shown = grid.paginate(rows, "price", page, PAGE_SIZE, desc=True, **held)
+    numbered = _numbered(shown.rows)
     counts = {"total": shown.total, "page_count": shown.page_count, "page": shown.page}
     return numbered.withColumns({c: F.lit(n).cast("long") for c, n in counts.items()})
 
@@ -457,6 +517,12 @@ def paginate(v: Views):
     return _page(v, 3)
 
 
+@query
+def paginate_numbered(v: Views):
+    """The same page by numbering all rows, as a page too deep for one task is found."""
+    return _page(v, 3, head_rows=PAGE_SIZE)
+
+
 @query
 def paginate_past_end(v: Views):
     return _page(v, FAR_PAGE)
@@ -470,7 +536,7 @@ def exists_key(v: Views):
 @query
 def delete_rows(v: Views):
     kept, missing = keyed.delete_rows(v.holdings(), v.keys(), "id")
-    return _tagged("part", kept=kept.select("id", "quantity"), missing=missing)
+    return _tagged("part", kept=kept, missing=missing)
 
 
 @query
@@ -507,8 +573,7 @@ def refresh_prices(v: Views):
 @query
 def refresh_chosen_prices(v: Views):
     refreshed, failed = holdings.refresh_prices(v.holdings(), v.cards_feed(), v.keys())
-    columns = ("id", "card_number", "card_type", "price")
-    return _tagged("part", holdings=refreshed.select(*columns), failed=failed)
+    return _tagged("part", holdings=refreshed, failed=failed)
 
 
 # ---------------------------------------------------------------- lookups
@@ -561,6 +626,13 @@ def image_manifest(v: Views):
     return media.image_manifest(v.holdings(), v.sets(), v.cards_feed())
 
 
+@query
+def image_manifest_cached(v: Views):
+    """Pictures of foil cards are held already."""
+    names = media.image_manifest(v.holdings().filter("foil"), v.sets(), v.cards_feed())
+    return media.image_manifest(v.holdings(), v.sets(), v.cards_feed(), cached=names)
+
+
 @query
 def image_manifest_back(v: Views):
     return media.image_manifest(v.holdings(), v.sets(), v.cards_feed(), face=1)
@@ -592,9 +664,10 @@ def parse_functions(v: Views):
         "sheet",
         "row_no",
         parsing.foil_flag("d").alias("foil_flag"),
-        parsing.parse_quantity("f").alias("parse_quantity"),
+        parsing.cell_text("a", "a_num").alias("cell_text"),
+        parsing.parse_quantity("f", "f_num").alias("parse_quantity"),
         parsing.manual_flag("i").alias("manual_flag"),
-        parsing.cell_decimal("g").alias("cell_decimal"),
+        parsing.cell_decimal("g", "g_num").alias("cell_decimal"),
     )
 
 
@@ -626,46 +699,96 @@ def card_functions(v: Views):
 # ---------------------------------------------------------------- sources
 
 
-def _envelopes(rows: DataFrame, seq: str, **arrays):
-    """Reply documents of at most one batch of records each, as lines of JSON."""
-    batch = F.floor(F.col(seq) / lookups.BATCH_SIZE).alias("batch")
-    lists = [F.collect_list(item).alias(name) for name, item in arrays.items()]
+def _landed(v: Views, rows: DataFrame, label: str) -> str:
+    """A feed as lines of JSON, with lines cut short and lines that are no JSON among them."""
+    path = scratch_path(v.spark, label)
+    rows.write.json(path)
+    broken = v.table("nation").select(
+        F.concat(F.lit('{"object":"list","data":[{"name":"'), "n_name").alias("value")
+    )
+    broken.write.mode("append").text(path)
+    return path
+
+
+def _text_only(broken: DataFrame) -> DataFrame:
+    return broken.select("text")
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """Records beside the next one of their file and line, by the names they go by."""
+    line = Window.partitionBy("feed_seq._file", "feed_seq._block", "feed_seq._line")
+    return rows.withColumn("after", F.lag("name").over(line.orderBy("feed_seq._item_no")))
+
+
+def _lists(rows: DataFrame, **arrays):
+    """Reply documents of the records of a batch, in feed order."""
+    batch = F.floor(F.col("feed_seq") / lookups.BATCH_SIZE).alias("batch")
+    lists = [
+        F.transform(
+            F.array_sort(F.filter(F.collect_list(F.struct("feed_seq", item.alias("one"))),
+                                  lambda x: x["one"].isNotNull())),
+            lambda x: x["one"],
+        ).alias(name)
+        for name, item in arrays.items()
+    ]
     return rows.groupBy(batch).agg(*lists).drop("batch").withColumn("object", F.lit("list"))
 
 
+def _sets_record(v: Views):
+    return F.struct(*[c for c in v.sets_feed().columns if c != "feed_seq"])
+
+
 @query
 def read_sets_feed(v: Views):
-    path = scratch_path(v.spark, "sets-feed")
-    feed = v.sets_feed()
-    record = F.struct(*[c for c in feed.columns if c != "feed_seq"])
-    _envelopes(feed, "feed_seq", data=record).write.json(path)
-    return feeds.read_sets_feed(v.spark, path, multi_line=False).drop("feed_seq")
+    path = _landed(v, _lists(v.sets_feed(), data=_sets_record(v)), "sets-feed")
+    rows, broken = feeds.read_sets_feed(v.spark, path, multi_line=False)
+    return _tagged("part", sets=_places(rows).drop("feed_seq"), broken=_text_only(broken))
+
+
+@query
+def read_sets_files(v: Views):
+    """One document per file, as feeds are landed by default."""
+    path = scratch_path(v.spark, "sets-files")
+    replies = _lists(v.sets_feed(), data=_sets_record(v))
+    replies.write.option("maxRecordsPerFile", 1).json(path)
+    v.spark.range(1).select(F.lit('{"data":[{"code":').alias("value")).coalesce(1).write.mode(
+        "append"
+    ).text(path)
+    rows, broken = feeds.read_sets_feed(v.spark, path)
+    return _tagged("part", sets=_places(rows).drop("feed_seq"), broken=_text_only(broken))
 
 
 @query
 def read_card_feed(v: Views):
-    path = scratch_path(v.spark, "cards-feed")
-    v.cards_feed().write.json(path)
-    cards = feeds.read_card_feed(v.spark, path)
-    return lookups.expand_feed_keys(cards).groupBy("feed_set").agg(
-        F.count("*").alias("keys"), F.sum(F.col("feed_usd").try_cast(MONEY)).alias("usd")
+    path = _landed(v, v.cards_feed().drop("feed_seq"), "cards-feed")
+    cards, broken = feeds.read_card_feed(v.spark, path)
+    flat = cards.select(
+        "name", "set", "collector_number", "type_line", "prices.usd", "prices.usd_foil", "layout",
+        F.col("image_uris.png").alias("png"),
+        F.get("card_faces", F.lit(0))["image_uris"]["png"].alias("front_png"),
+        F.get("card_faces", F.lit(1))["image_uris"]["png"].alias("back_png"),
     )
+    return _tagged("part", cards=flat, broken=_text_only(broken))
 
 
 @query
 def read_batch_replies(v: Views):
-    path = scratch_path(v.spark, "replies")
     feed = v.cards_feed()
     card = F.struct(*[c for c in feed.columns if c != "feed_seq"])
     unknown = F.struct("name", "set", "collector_number")
     hit = F.col("set").isNotNull()
-    _envelopes(
-        feed, "feed_seq", data=F.when(hit, card), not_found=F.when(~hit, unknown)
-    ).write.json(path)
-    cards, missing = feeds.read_batch_replies(v.spark, path)
-    columns = ("name", "set", "collector_number")
-    matched = cards.select(*columns, F.col("prices.usd_foil").alias("usd_foil"))
-    return _tagged("part", matched=matched, not_found=missing.select(*columns))
+    replies = _lists(feed, data=F.when(hit, card), not_found=F.when(~hit, unknown))
+    cards, missing, broken = feeds.read_batch_replies(v.spark, _landed(v, replies, "replies"))
+    columns = ("name", "set", "collector_number", "after")
+    matched = _places(cards).select(
+        *columns, "type_line", "layout", "prices.usd", "prices.usd_foil"
+    )
+    return _tagged(
+        "part",
+        matched=matched,
+        not_found=_places(missing).select(*columns),
+        broken=_text_only(broken),
+    )
 
 
 @query

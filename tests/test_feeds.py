@@ -8,79 +8,89 @@ from curioledger.operators.lookups import expand_feed_keys
 from curioledger.sources import feeds, tables
 
 
-def put(folder, name, *documents):
+def put(folder, name, *lines):
+    """Documents, or raw text as it is, one per line."""
     path = Path(folder) / name
-    path.write_text("\n".join(json.dumps(d, indent=None) for d in documents))
+    path.write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines))
     return str(path)
 
 
-def test_set_envelope(spark, folder):
-    path = Path(folder) / "sets.json"
-    path.write_text(json.dumps(
-        {
-            "object": "list", "has_more": True, "extra": 1,
-            "data": [
-                {"code": "neo", "name": "Neon", "released_at": "2022-02-18", "card_count": 302,
-                 "printed_size": 302, "block": "Kamigawa", "unknown": "x"},
-                {"code": "dmu", "name": "Dominaria"},
-            ],
-        },
-        indent=2,
-    ))
-    rows = feeds.read_sets_feed(spark, str(path))
-    names = ("code", "card_count", "printed_size", "block")
-    assert rows_of(rows, *names) == [("neo", 302, 302, "Kamigawa"), ("dmu", None, None, None)]
+HARBOUR = {
+    "code": "hrb", "name": "Harbour Lights", "released_at": "2031-07-04", "card_count": 88,
+    "printed_size": 80, "block": "Coasts", "painter": "nobody knows",
+}
+GROVE = {"code": "grv", "name": "Hollow Grove"}
+
+
+def test_set_documents_over_several_lines(spark, folder):
+    envelope = {"object": "list", "has_more": False, "pages": 3, "data": [HARBOUR, GROVE]}
+    put(folder, "a.json", json.dumps(envelope, indent=1))
+    put(folder, "b.json", '{"data": [{"code": "cut off')
+    rows, broken = feeds.read_sets_feed(spark, folder)
+    found = rows_of(rows, "code", "card_count", "printed_size", "block")
+    assert found == [("hrb", 88, 80, "Coasts"), ("grv", None, None, None)]
     assert project_sets(rows).count() == 2
+    assert [r.file.rpartition("/")[2] for r in broken.collect()] == ["b.json"]
+    assert column(broken, "text") == ['{"data": [{"code": "cut off']
+
 
+def test_envelopes_may_be_empty(spark, folder):
+    for name, more in (("a", {}), ("b", {"data": None}), ("c", {"data": []})):
+        put(folder, f"{name}.json", {"object": "list"} | more)
+    rows, broken = feeds.read_sets_feed(spark, folder)
+    assert rows.isEmpty() and broken.isEmpty()
 
-def test_envelope_without_data(spark, folder):
-    put(folder, "none.json", {"object": "list"})
-    put(folder, "null.json", {"object": "list", "data": None})
-    assert feeds.read_sets_feed(spark, folder).isEmpty()
+
+def test_broken_lines_come_back_and_no_card_is_made_of_them(spark, folder):
+    cards = [{"name": f"Moth {k}", "set": "grv", "collector_number": str(k)} for k in range(3)]
+    put(folder, "c.json", cards[0], '{"name": "Moth', cards[1], "no json at all", cards[2])
+    found, broken = feeds.read_card_feed(spark, folder)
+    assert column(found.orderBy("feed_seq"), "name") == ["Moth 0", "Moth 1", "Moth 2"]
+    assert sorted(column(broken, "text")) == ["no json at all", '{"name": "Moth']
+    assert broken.count() == 2
 
 
 def test_feed_order_decides_first_and_last(spark, folder, make):
     cards = [
-        {"name": "X", "set": "a", "collector_number": str(i), "prices": {"usd": str(i)}}
-        for i in range(200)
+        {"name": "Ember", "set": "hrb", "collector_number": f"{k}", "prices": {"usd": f"{k}.5"}}
+        for k in range(150)
     ]
     put(folder, "cards.json", *cards)
-    feed = feeds.read_card_feed(spark, folder)
-    by_name = expand_feed_keys(feed).filter("match_key = 'c|a|x'").first()
-    assert (by_name.feed_number, by_name.feed_usd) == ("0", "0")
+    feed, _ = feeds.read_card_feed(spark, folder)
+    by_name = expand_feed_keys(feed).filter("match_key.value = 'ember'").first()
+    assert (by_name.feed_number, by_name.feed_usd) == ("0", "0.5")
 
     sets = Path(folder) / "sets"
     sets.mkdir()
-    put(sets, "s.json", {"data": [{"code": "a", "name": str(i)} for i in range(50)]})
-    merged = upsert_sets(make.sets(), feeds.read_sets_feed(spark, str(sets)))
-    assert column(merged, "set_name") == ["49"]
+    put(sets, "s.json", {"data": [{"code": "hrb", "name": f"try {k}"} for k in range(40)]})
+    merged = upsert_sets(make.sets(), feeds.read_sets_feed(spark, str(sets))[0])
+    assert column(merged, "set_name") == ["try 39"]
 
 
-def test_batch_replies(spark, folder):
+def test_replies_keep_their_order_and_lose_nothing(spark, folder):
     put(
         folder, "replies.json",
-        {"object": "list", "data": [{"name": "A", "set": "s"}, None],
-         "not_found": [{"set": "zen", "collector_number": "180"}]},
-        {"object": "list", "data": [{"name": "B", "set": "s"}]},
-        {"object": "list", "not_found": [{"name": "C", "set": "m10"}]},
+        {"data": [{"name": "Kite", "set": "hrb"}, None, {"name": "Gull", "set": "hrb"}],
+         "not_found": [{"set": "xyz", "collector_number": "7"}]},
+        '{"data": [{"name": "Lost", "set": "hrb"}, {"name":',
+        {"not_found": [{"name": "Nobody", "set": "grv"}]},
     )
-    cards, missing = feeds.read_batch_replies(spark, folder)
-    assert column(cards.orderBy("feed_seq"), "name") == ["A", "B"]
-    assert rows_of(missing.orderBy("feed_seq"), "name", "set", "collector_number") == [
-        (None, "zen", "180"), ("C", "m10", None)
-    ]
+    cards, missing, broken = feeds.read_batch_replies(spark, folder)
+    assert column(cards.orderBy("feed_seq"), "name") == ["Kite", "Gull"]
+    asked = rows_of(missing.orderBy("feed_seq"), "name", "set", "collector_number")
+    assert asked == [(None, "xyz", "7"), ("Nobody", "grv", None)]
+    assert "Lost" in column(broken, "text")[0]
 
 
 def test_tables_round_trip(spark, folder, make):
-    sets = make.sets({"set_code": "neo", "set_name": "Neon"})
+    sets = make.sets({"set_code": "grv", "set_name": "Hollow Grove", "card_count": 5})
     tables.write_table(sets, folder, "catalog_sets")
     assert tables.scan_table(spark, folder, "catalog_sets").collect() == sets.collect()
 
 
 def test_grid_from_csv(spark, folder):
-    lines = ["S,3,Number (Optional),Card,Set,Foil,,,,,,,", "S,4,,Bolt"]
-    (Path(folder) / "grid.csv").write_text("\n".join(lines))
+    put(folder, "grid.csv", "S,3,Number (Optional),Card,Set,Foil,,,,,,,", "S,4,,Kite")
     grid = feeds.read_grid(spark, folder, "csv", mode="PERMISSIVE")
     assert rows_of(grid, "sheet", "row_no", "b", "c") == [
-        ("S", 3, "Card", "Set"), ("S", 4, "Bolt", None)
+        ("S", 3, "Card", "Set"), ("S", 4, "Kite", None)
     ]

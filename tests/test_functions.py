@@ -99,14 +99,16 @@ def test_split_faces(spark):
 
 def test_feed_keys_have_no_repeats(spark):
     def keys(c):
-        return cards.feed_keys(F.lit("ORI"), F.lit("60"), c)
-
-    both, same, none = apply(spark, keys, ["A // B", "A // A", None])
-    assert both == ["n|ori|60", "c|ori|a // b", "c|ori|a", "c|ori|b"]
-    assert same == ["n|ori|60", "c|ori|a // a", "c|ori|a"]
-    assert none == ["n|ori|60"]
-    no_set = apply(spark, lambda c: cards.feed_keys(c, F.lit("1"), F.lit("x")), [None])
-    assert no_set == [None]
+        return cards.feed_keys(F.lit("GRV"), F.lit("8"), c)
+
+    number = ("number", "grv", "8")
+    two, twice, nameless = apply(spark, keys, ["Day // Night", "Day // day", None])
+    assert [tuple(k) for k in two] == [
+        number, ("name", "grv", "day // night"), ("name", "grv", "day"), ("name", "grv", "night")
+    ]
+    assert [tuple(k) for k in twice] == [number, ("name", "grv", "day // day"), ("name", "grv", "day")]
+    assert [tuple(k) for k in nameless] == [number]
+    assert apply(spark, lambda c: cards.feed_keys(c, F.lit("1"), F.lit("x")), [None]) == [None]
 
 
 def test_object_key(spark):

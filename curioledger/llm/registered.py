@@ -70,4 +70,45 @@ QUERIES = {
     )
 }
 
-CHECKS: dict[str, str] = {}
+def _rule_sql(rank: int, rule: secret_scan.Rule) -> str:
+    """Matches of a rule and the texts between them; possessive repeats match as greedy ones do."""
+    pattern = rule.pattern.replace("*+", "*").replace("}+", "}").replace("'", "''")
+    return f"""
+        select doc_id, {rank} as rank, '{rule.name}' as kind,
+          regexp_extract_all(t, '{pattern}') as hits, regexp_split_to_array(t, '{pattern}') as gaps,
+          {rule.value_from} as least, '{pattern}' as pattern
+        from texts"""
+
+
+def _secrets_sql() -> str:
+    rules = " union all ".join(_rule_sql(k, r) for k, r in enumerate(secret_scan.RULES))
+    counts = ", ".join(
+        f"count(*) filter (rank = {k}) as n_{r.name}"
+        for k, r in enumerate(secret_scan.RULES[: secret_scan.BASE])
+    )
+    one = "kind || ':' || s || ':' || (s + length(hit))"
+    listed = f"string_agg({one}, ',' order by s, rank)"
+    return f"""
+        with texts as (select doc_id, coalesce(text, '') as t from documents),
+        raw as ({rules}),
+        each as (select *, unnest(range(1, len(hits) + 1)) as i from raw where len(hits) > 0),
+        placed as (
+          select doc_id, rank, kind, hits[i] as hit, least, pattern,
+            cast(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+              + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)
+              as bigint) as s
+          from each),
+        good as (
+          select * from placed
+          where least = 0 or length(regexp_extract(hit, '{_ASSIGN_SQL}', 1)) >= least)
+        select texts.doc_id, {counts},
+          sha256(coalesce({listed} filter (rank < {secret_scan.BASE}), '')) as base_sha256,
+          coalesce({listed}, '') as spans
+        from texts left join good on texts.doc_id = good.doc_id group by texts.doc_id"""
+
+
+_ASSIGN_SQL = secret_scan.ASSIGN.replace("'", "''")
+
+# The other queries hold fingerprints, trained models, hashed draws, tokens or stored bytes, which
+# the checking engine cannot compute; tests/llm holds them against plain versions.
+CHECKS: dict[str, str] = {"op5_secrets": _secrets_sql()}

@@ -109,7 +109,7 @@ def test_quality_counts(spark, sample, odd_docs):
 
 
 def test_quality_lines(spark):
-    good = "\n".join("This is a plain sentence about place number %d in the world." % k for k in range(12))
+    good = "\n".join("The " + " ".join(f"{w}{k}" for w in "house on a quiet hill by some road".split()) + "." for k in range(12))
     menu = "Home | About | Contact | Help | Shop | News"
     shout = "BUY NOW AND SAVE BIG TODAY FOLKS"
     docs = spark.createDataFrame(

@@ -241,12 +241,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without all but one row of each near-duplicate component.
 
-    The row that stays has the smallest doc_id, or a null one where no other is there; of rows that
-    repeat it, any one stays.
+    The row that stays has the smallest doc_id; of rows that repeat that id, any one stays. Rows
+    without a doc_id cannot be told apart by it and stay.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    groups = near_duplicates(docs)
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    stay = groups.filter(first).select(key.alias("_stay_key")).distinct()
-    kept = docs.withColumn("_stay_key", key).join(stay, "_stay_key", "left_semi")
-    return kept.dropDuplicates(["_stay_key"]).select(*docs.columns)
+    named = docs.filter(F.col("doc_id").isNotNull())
+    groups = near_duplicates(named)
+    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))

@@ -53,7 +53,9 @@ def test_odd_table(odd_docs):
     assert simhash.near_duplicates(odd_docs.limit(0)).count() == 0
     kept = simhash.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
+    rows = kept.collect()
+    assert sum(r["doc_id"] is None for r in rows) == 2
+    ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
     assert len(ids) == len(set(ids)) and {1, 4, 7} <= set(ids) and not {2, 3, 5} & set(ids)
 
 

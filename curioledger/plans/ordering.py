@@ -15,13 +15,20 @@ _ROW_BITS = (1 << 33) - 1
 def with_ordinal(
     df: DataFrame, order: list[Column], name: str = "ordinal", keep: list[str] | None = None
 ) -> DataFrame:
-    """Number all rows 1..n in a total order; ``keep`` names the columns still wanted.
+    """Number all rows 1..n in a total order; ``keep`` names the columns still wanted."""
+    return number_sorted(df.orderBy(*order), name, keep)
 
-    The rows are range-sorted and settled with their partition number and their place in it; the
-    only rows that meet in one task are the partition counts, one per partition.
+
+def number_sorted(
+    df: DataFrame, name: str = "ordinal", keep: list[str] | None = None
+) -> DataFrame:
+    """Number the rows of a sorted result 1..n as they come.
+
+    The range-sorted rows are settled with their partition number and their place in it; the only
+    rows that meet in one task are the partition counts, one per partition.
     """
     keep = df.columns if keep is None else keep
-    placed = df.orderBy(*order).select(
+    placed = df.select(
         *keep,
         F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().bitwiseAND(_ROW_BITS).alias("_place"),

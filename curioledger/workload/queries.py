@@ -11,7 +11,7 @@ from ..functions import parsing, text
 from ..functions.cards import face_count, line_total, object_key, png_url, split_faces
 from ..operators import catalog, grid, holdings, imports, keyed, lookups, media, snapshots
 from ..plans.lineage import scratch_path, settle
-from ..plans.ordering import with_ordinal
+from ..plans.ordering import number_sorted, with_ordinal
 from ..schemas import HOLDING_SNAPSHOTS
 from ..sources import feeds, reports, tables
 from .views import Views
@@ -69,8 +69,7 @@ def total_value_by_snapshot(v: Views):
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """A sorted result with each row's place in it, so that its order is compared too."""
-    place = F.monotonically_increasing_id()
-    return rows.coalesce(1).withColumn("place", place + 1)
+    return number_sorted(rows, "place")
 
 
 @query

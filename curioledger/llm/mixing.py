@@ -22,6 +22,8 @@ from .joins import spread_join
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 65_536
+RANGE_SLOTS = 2048
+TASK_SLOTS = 131_072
 BUCKET_DOCS = 4096
 MOST_PASSES = 3
 WEIGHTS = (5, 2, 1)
@@ -163,8 +165,14 @@ def _slots(recipe: list[tuple[int, int, int]], spark: SparkSession) -> DataFrame
     counts = counts.filter(F.col("n") > 0)
     earlier = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ranged = counts.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    index = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("index")
-    each = ranged.select("number", "shard", index)
+    # Ranges are cut and dealt out first: their rows are few, what becomes of them is the work.
+    ends = F.col("first") + F.col("n")
+    starts = F.explode(F.sequence(F.col("first"), ends - 1, F.lit(RANGE_SLOTS).cast("long")))
+    cut = ranged.select("number", "shard", starts.alias("low"), ends.alias("end"))
+    cut = cut.repartition(-(-total // TASK_SLOTS) or 1, "number", "low")
+    high = F.least(F.col("low") + RANGE_SLOTS, F.col("end"))
+    index = F.explode(F.sequence(F.col("low"), high - 1)).alias("index")
+    each = cut.select("number", "shard", index)
     each = each.join(table.select(F.col("number").alias("_number"), "blocks"), F.col("number") == F.col("_number"))
     # Beyond the third pass a source has nothing left to give.
     each = each.filter(F.col("index") < MOST_PASSES * F.col("blocks"))

@@ -34,7 +34,7 @@ def test_clean_documents_stay(stages):
 
 
 def test_no_secret_is_left(stages):
-    import brute
+    from . import brute
 
     masked = {r["doc_id"]: r["text"] for r in stages[3].collect()}
     for r in stages[2].collect():

@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-import brute
+from . import brute
 import pytest
 from pyspark.sql import functions as F
 

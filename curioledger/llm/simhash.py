@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import settle
 from .components import connected_components
-from .joins import spread_join
+from .joins import dealt_by_key, spread_join
+from .similar import one_of_each  # noqa: F401
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -201,22 +202,7 @@ def _linker(radius: int):
 def links(nodes: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges ``(u, v)`` that connect all nodes ``(node, fp)`` whose distinct fingerprints link."""
     keyed = nodes.select("node", "fp", F.explode(_keys(radius + 2)).alias("key"))
-    many = keyed.groupBy("key").agg(F.count("*").alias("rows"))
-    many = many.filter(F.col("rows") > block_rows)
-    many = many.select("key", F.ceil(F.col("rows") / block_rows).cast("int").alias("chunks"))
-    sized = spread_join(keyed, many, "key", "left")
-
-    # Chunk c of a large key meets every other chunk; a key of usual size is one task.
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != chunk)
-    meets = F.transform(
-        others, lambda c: F.struct(F.least(c, chunk).alias("a"), F.greatest(c, chunk).alias("b"))
-    )
-    tasks = F.when(F.col("chunks") > 1, meets).otherwise(whole)
-    dealt = sized.select("key", "node", "fp", F.explode(tasks).alias("t"))
-    dealt = dealt.select("key", "t.a", "t.b", "node", "fp")
-    dealt = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    dealt = dealt_by_key(keyed, "fp", block_rows)
     return dealt.mapInPandas(_linker(radius), "u long, v long")
 
 
@@ -236,16 +222,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     named = spread_join(marked, roots, "fp", "left")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return named.select("doc_id", digits.alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without all but one row of each near-duplicate component.
-
-    The row that stays has the smallest doc_id; of rows that repeat that id, any one stays. Rows
-    without a doc_id cannot be told apart by it and stay.
-    """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    groups = near_duplicates(named)
-    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))

@@ -209,16 +209,19 @@ def links(nodes: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS)
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row of ``docs(doc_id, text)``.
 
-    ``component_id`` is the smallest doc_id reachable over links, itself included. Null and empty
+    ``component_id`` is the smallest doc_id reachable over links, itself included; links are between
+    fingerprints, so a doc_id held by unlike texts joins none of them. Null and empty
     texts have fingerprint zero and link like any other; repeated rows each come back, in one
     component; a null doc_id is kept and names no component while a known one is there. An empty
     table gives no rows. Other columns are not read.
     """
     marked = settle(fingerprints(docs))
-    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    labels = connected_components(links(nodes.filter(F.col("node").isNotNull()), radius))
-    roots = spread_join(nodes, labels, "node", "left")
-    roots = roots.select("fp", F.coalesce("root", "node").alias("component_id"))
+    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = connected_components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
+    rooted = spread_join(nodes, labels.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = settle(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = spread_join(rooted.select("fp", "root"), least, "root").select("fp", "component_id")
     named = spread_join(marked, roots, "fp", "left")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return named.select("doc_id", digits.alias("fingerprint"), "component_id")

@@ -95,3 +95,19 @@ def test_components_of_chains_and_hubs(spark):
     assert {root[k] for k in range(7, 60)} == {7}
     assert root[300] == root[299] == 299
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_links_go_by_fingerprint_and_not_by_id(spark, monkeypatch):
+    """Texts stand for fingerprints; one without a doc_id links, one doc_id with two joins nothing."""
+    far, mid = (1 << 60) - 1, 0x0F0F0F0F0F0F0F0F
+    rows = [(None, 0b1111), (2, 0), (3, 0b11111111), (5, far), (5, mid), (6, far ^ 1), (7, mid ^ 1)]
+    marked = spark.createDataFrame(rows, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs)
+    found = {(r["doc_id"], int(r["fingerprint"], 16)): r["component_id"] for r in simhash.near_duplicates(marked).collect()}
+    assert found[None, 0b1111] == found[2, 0] == found[3, 0b11111111] == 2
+    assert found[5, far] == found[6, far ^ 1] == 5
+    assert found[7, mid ^ 1] == 5
+    alone = spark.createDataFrame([(1, 0), (1, far), (9, far), (4, far ^ 3), (0, 1 << 40)], "doc_id long, fp long")
+    found = {(r["doc_id"], int(r["fingerprint"], 16)): r["component_id"] for r in simhash.near_duplicates(alone).collect()}
+    assert found[1, 0] == found[0, 1 << 40] == 0
+    assert found[1, far] == found[9, far] == found[4, far ^ 3] == 1

@@ -3,8 +3,22 @@
 import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
-
-from . import langid, mixing, packing, pii, quality, secret_scan, sharding, simhash, tiff, toxicity
+from pyspark.sql import functions as F
+
+from . import (
+    langid,
+    mixing,
+    neighbours,
+    packing,
+    pii,
+    quality,
+    runs,
+    secret_scan,
+    sharding,
+    simhash,
+    tiff,
+    toxicity,
+)
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -54,6 +68,15 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded_documents(_documents(spark, folder))
 
 
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.run_digests(_documents(spark, folder))
+
+
+def op13_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return neighbours.nearest(embeddings, F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,9 +90,12 @@ QUERIES = {
         op8_tiff,
         op9_mixing,
         op10_sharding,
+        op11_runs,
+        op13_neighbours,
     )
 }
 
+
 def _rule_sql(rank: int, rule: secret_scan.Rule) -> str:
     """Matches of a rule and the texts between them; possessive repeats match as greedy ones do."""
     pattern = rule.pattern.replace("*+", "*").replace("}+", "}").replace("'", "''")

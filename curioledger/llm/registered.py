@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     langid,
+    lexical,
     mixing,
     neighbours,
     packing,
@@ -72,6 +73,11 @@ def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.run_digests(_documents(spark, folder))
 
 
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return lexical.ranked_search(_documents(spark, folder), items)
+
+
 def op13_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     embeddings = spark.read.parquet(f"{folder}/embeddings.parquet")
     return neighbours.nearest(embeddings, F.col("vec_id") % 20 == 0)
@@ -91,6 +97,7 @@ QUERIES = {
         op9_mixing,
         op10_sharding,
         op11_runs,
+        op12_search,
         op13_neighbours,
     )
 }
@@ -137,4 +144,4 @@ _ASSIGN_SQL = secret_scan.ASSIGN.replace("'", "''")
 
 # The other queries hold fingerprints, trained models, hashed draws, tokens or stored bytes, which
 # the checking engine cannot compute; tests/llm holds them against plain versions.
-CHECKS: dict[str, str] = {"op5_secrets": _secrets_sql()}
+CHECKS: dict[str, str] = {"op5_secrets": _secrets_sql(), "op12_search": lexical.search_sql()}

@@ -1,17 +1,21 @@
 """Mixing sources to target weights, block by block.
 
 The words of a source, its documents in a pseudorandom order, are packed into blocks of a fixed
-length. Output shards have a fixed number of slots; for each shard the slots of every source are
-drawn, the whole part of its share for certain and the rest from a multinomial. The slots of a
-source are numbered over all shards, a pseudorandom permutation of the source's blocks maps the
-number to a block, and slots join blocks by that index. A second pass over a source goes by another
-permutation, and no source has more than three.
+length. Output shards have a fixed number of slots; for each shard the counts of all sources are one
+multinomial draw. Shards come in waves, and a wave draws by what its sources still need, so chance
+misses of a wave are made up for by the next ones and only those of the last few slots stay. The slots of a source are numbered over all shards, a pseudorandom
+permutation of the source's blocks maps the number to a block, and slots join blocks by that index. A
+second pass over a source goes by another permutation, and no source has more than three.
 
 The order of documents comes from sums in two levels: hash buckets within a source, then the
-documents of a bucket, so no task holds a source. Everything random is a hash of indices, so reruns
-agree.
+documents of a bucket, so no task holds a source. Rows that are equal in all columns read are one
+row with a count until they are numbered, and the number salts their bucket. Everything random is a
+hash of contents and indices, so reruns agree.
 """
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +30,10 @@ RANGE_SLOTS = 2048
 TASK_SLOTS = 131_072
 BUCKET_DOCS = 4096
 MOST_PASSES = 3
+MOST_SOURCES = 100_000
+LAST_SLOTS = 8
+TAIL_SLOTS = 16_384
+HOT_ROWS = 4096
 WEIGHTS = (5, 2, 1)
 ROUNDS = 24
 SEED = 9
@@ -69,16 +77,42 @@ def permuted(index: Column, size: Column, *keys: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), swap)
 
 
+def row_key(docs: DataFrame, columns: list[str]) -> Column:
+    """128 bits of the columns of a row."""
+    whole = F.to_json(F.struct(*[docs[c] for c in columns]), {"ignoreNullFields": "false"})
+    return F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(SEED), whole).alias("b"))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, mark, size)`` of every row; the mark tells texts of one doc_id apart."""
-    size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", F.xxhash64("text").alias("mark"), size.alias("size"))
+    """``(doc_id, source, key, copy, row, size)`` of every row of ``docs``.
+
+    ``key`` stands for id, source and text, and rows that share it are numbered by ``copy`` from 0;
+    ``row`` stands for all columns. Equal rows are counted before the shuffle and only then drawn
+    out again, so no task gathers them.
+    """
+    size = F.coalesce(F.regexp_count(docs["text"], F.lit(_WORD)), F.lit(0)).cast("long")
+    rows = docs.select(
+        docs["doc_id"].alias("doc_id"),
+        docs["source"].alias("source"),
+        row_key(docs, ["doc_id", "source", "text"]).alias("key"),
+        row_key(docs, docs.columns).alias("row"),
+        size.alias("size"),
+    )
+    counted = rows.groupBy("key", "row", "doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("key").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first")
+    counted = counted.select("doc_id", "source", "key", "row", "size", "rows", first)
+    each = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("rows") - 1)).alias("copy")
+    return counted.select("doc_id", "source", "key", each, "row", "size")
 
 
 def _sources(sized: DataFrame) -> DataFrame:
-    """One row per source, numbered; as many as the recipe of the mix has entries."""
+    """One row per source, numbered: the recipe of the mix, which is held by the driver up to a limit."""
     spark = sized.sparkSession
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
+    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
+    found = found.limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"a mix has at most {MOST_SOURCES} sources")
     target = targets({r["source"]: r["size"] for r in found})
     fields = [
         T.StructField("source", sized.schema["source"].dataType),
@@ -100,9 +134,9 @@ def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     A bucket's words make blocks of their own, the last one shorter; blocks are numbered through
     the buckets of a source.
     """
-    keep = ["number", "doc_id", "mark", "size", "source_size", "target"]
+    keep = ["number", "doc_id", "key", "copy", "row", "size", "source_size", "target"]
     rows = spread_join(sized.filter(F.col("size") > 0), sources, "source")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("buckets")))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "copy", F.lit(SEED)), F.col("buckets")))
     totals = rows.groupBy("number", "bucket").agg(F.sum("size").alias("words"))
     blocks = F.ceil(F.col("words") / BLOCK_WORDS).cast("long")
     earlier = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,7 +147,7 @@ def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     )
     before = (
         Window.partitionBy("number", "bucket")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "mark", "size")
+        .orderBy(F.xxhash64("key", "copy"), "key", "copy")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     within = rows.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
@@ -122,58 +156,95 @@ def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return within.join(bases, same).select(*keep, start.alias("start"))
 
 
-def _slots(recipe: list[tuple[int, int, int]], spark: SparkSession) -> DataFrame:
-    """``(shard, number, block)`` of every slot of the mix, from ``(number, blocks, wanted)``.
+def _shares(needs: dict[int, int]) -> list[tuple[int, float, float]]:
+    """``(number, low, high)`` of sources that need something: where a draw from 0 to 1 falls."""
+    total, rows, low = sum(needs.values()), [], 0.0
+    for number, need in sorted(needs.items()):
+        if need > 0:
+            rows.append((number, low, low + need / total))
+            low = rows[-1][2]
+    # The last share ends where the draws do, whatever rounding made of the sum.
+    rows[-1] = (*rows[-1][:2], 2.0)
+    return rows
 
-    A shard draws as many sources as its whole shares leave slots open, each by a hash that falls
-    among the cumulated remainders.
+
+def _draws(spark: SparkSession, first: int, slots: int) -> DataFrame:
+    """``(id, draw)`` of the slots from ``first`` on: each draws by a hash of its number."""
+    draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return spark.range(first, first + slots, 1, max(1, -(-slots // TASK_SLOTS))).select("id", draw.alias("draw"))
+
+
+def drawn_counts(spark: SparkSession, waves: list[tuple[int, int, list]]) -> DataFrame:
+    """``(shard, number, n)``: per shard the draws of its slots, from waves ``(first, slots, shares)``.
+
+    Waves follow one another; shards are dealt slots in order and may lie in two waves.
     """
-    total = sum(wanted for _, _, wanted in recipe)
-    shards = -(-total // SHARD_SLOTS)
-    slots = -(-total // max(shards, 1))
-    shares = [wanted / max(total, 1) * slots for _, _, wanted in recipe]
-    sure = [int(x) for x in shares]
-    spare = slots - sum(sure)
-    scale = sum(x - n for x, n in zip(shares, sure, strict=True)) or 1.0
-    rows, low = [], 0.0
-    for (number, blocks, _), x, n in zip(recipe, shares, sure, strict=True):
-        high = low + (x - n) / scale
-        rows.append((number, blocks, n, low, high))
-        low = high
-    kinds = "number long, blocks long, sure long, low double, high double"
-    table = spark.createDataFrame(rows, kinds)
-
-    shard = spark.range(shards).withColumnRenamed("id", "shard")
-    whole = shard.select("shard", F.explode(F.sequence(F.lit(0), F.lit(max(len(rows) - 1, 0)))).alias("row"))
-    numbers = spark.createDataFrame([(k, r[0], r[2]) for k, r in enumerate(rows)], "row int, number long, sure long")
-    whole = whole.join(numbers, "row").select("shard", "number", F.col("sure").alias("n"))
-
-    # A draw meets only the remainders that reach into its bin.
     bins = 1024
-    turns = F.sequence(F.lit(0), F.lit(max(spare - 1, 0))) if spare else F.array().cast("array<int>")
-    draw = F.pmod(F.xxhash64("shard", "turn", F.lit(SEED)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    drawn = shard.select("shard", F.explode(turns).alias("turn"))
-    drawn = drawn.select("shard", draw.alias("draw"), F.floor(draw * bins).alias("bin"))
-    last = F.when(F.col("high") > 1 - 1e-9, F.lit(2.0)).otherwise(F.col("high"))
+    rows = [(k, *share) for k, (_, _, shares) in enumerate(waves) for share in shares]
+    edges = spark.createDataFrame(rows, "of int, number long, low double, high double")
+    # A draw meets only the shares that reach into its bin.
     reach = F.sequence(F.floor(F.col("low") * bins), F.least(F.floor(F.col("high") * bins), F.lit(bins - 1)))
-    edges = table.filter(F.col("high") > F.col("low"))
-    edges = edges.select("number", "low", last.alias("high"), F.explode(reach).alias("_bin"))
-    hit = (F.col("bin") == F.col("_bin")) & (F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high"))
-    drawn = drawn.join(edges, hit).select("shard", "number", F.lit(1).cast("long").alias("n"))
+    edges = edges.select("of", "number", "low", "high", F.explode(reach).alias("reached"))
+    first, end = waves[0][0], waves[-1][0] + waves[-1][1]
+    wave = F.lit(len(waves) - 1)
+    for k, (low, slots, _) in reversed(list(enumerate(waves))):
+        wave = F.when(F.col("id") < low + slots, k).otherwise(wave)
+    drawn = _draws(spark, first, end - first)
+    shard, at = F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), F.floor(F.col("draw") * bins).alias("bin")
+    drawn = drawn.select(shard, wave.cast("int").alias("wave"), "draw", at)
+    hit = (F.col("wave") == F.col("of")) & (F.col("bin") == F.col("reached"))
+    hit = hit & (F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high"))
+    return drawn.join(edges, hit).groupBy("shard", "number").agg(F.count("*").alias("n"))
+
+
+def _waves(recipe: list[tuple[int, int, int]], spark: SparkSession) -> list[tuple[int, int, list]]:
+    """Waves ``(first, slots, shares)`` that bring sources to what they need.
+
+    A wave's sums per source come back from the cluster; the last ``TAIL_SLOTS`` slots' draws do so
+    at once, and their waves are counted here.
+    """
+    needs = {number: wanted for number, _, wanted in recipe}
+    first, left, waves, tail = 0, sum(needs.values()), [], None
+    end = left
+    while left and any(needs.values()):
+        # What is left over must be well above the chance miss of the source that needs least.
+        scarce = min(need for need in needs.values() if need)
+        rest = left * min(1 / 2, max(1 / 64, 4 / math.sqrt(scarce)))
+        slots = left if left <= LAST_SLOTS else left - int(rest)
+        wave = (first, slots, _shares(needs))
+        waves.append(wave)
+        if left <= TAIL_SLOTS:
+            if tail is None:
+                tail = np.array([r["draw"] for r in _draws(spark, first, left).orderBy("id").collect()])
+            draws = tail[len(tail) - (end - first) :][:slots]
+            place = np.searchsorted([low for _, low, _ in wave[2]], draws, side="right") - 1
+            sums = dict(zip(*np.unique([wave[2][k][0] for k in place], return_counts=True), strict=True))
+        else:
+            rows = drawn_counts(spark, [wave]).groupBy("number").agg(F.sum("n").alias("n")).collect()
+            sums = {r["number"]: r["n"] for r in rows}
+        needs = {number: max(need - int(sums.get(number, 0)), 0) for number, need in needs.items()}
+        first, left = first + slots, left - slots
+    return waves
+
 
-    counts = whole.union(drawn).groupBy("number", "shard").agg(F.sum("n").alias("n"))
-    counts = counts.filter(F.col("n") > 0)
+def _slots(recipe: list[tuple[int, int, int]], spark: SparkSession) -> DataFrame:
+    """``(shard, number, block)`` of every slot of the mix, from ``(number, blocks, wanted)``."""
+    waves = _waves(recipe, spark)
+    if not waves:
+        return spark.createDataFrame([], "shard long, number long, block long")
+    counts = settle(drawn_counts(spark, waves))
     earlier = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ranged = counts.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     # Ranges are cut and dealt out first: their rows are few, what becomes of them is the work.
     ends = F.col("first") + F.col("n")
     starts = F.explode(F.sequence(F.col("first"), ends - 1, F.lit(RANGE_SLOTS).cast("long")))
     cut = ranged.select("number", "shard", starts.alias("low"), ends.alias("end"))
-    cut = cut.repartition(-(-total // TASK_SLOTS) or 1, "number", "low")
+    cut = cut.repartition(-(-(waves[-1][0] + waves[-1][1]) // TASK_SLOTS), "number", "low")
     high = F.least(F.col("low") + RANGE_SLOTS, F.col("end"))
     index = F.explode(F.sequence(F.col("low"), high - 1)).alias("index")
     each = cut.select("number", "shard", index)
-    each = each.join(table.select(F.col("number").alias("_number"), "blocks"), F.col("number") == F.col("_number"))
+    table = spark.createDataFrame([r[:2] for r in recipe], "own long, blocks long")
+    each = each.join(table, F.col("number") == F.col("own"))
     # Beyond the third pass a source has nothing left to give.
     each = each.filter(F.col("index") < MOST_PASSES * F.col("blocks"))
     turn = F.floor(F.col("index") / F.col("blocks"))
@@ -184,8 +255,8 @@ def _slots(recipe: list[tuple[int, int, int]], spark: SparkSession) -> DataFrame
 def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of all ``docs(doc_id, text, source)`` as pieces; and the sizes and sources behind it.
 
-    Pieces are ``number, doc_id, mark, size, start, block, words, uses``: how often the mix takes
-    the words that a document has in a block. Sizes have every row; sources their target.
+    Pieces are ``number, doc_id, key, copy, row, size, start, block, words, uses``: how often the
+    mix takes the words that a document has in a block. Sizes have every row; sources their target.
     """
     spark = docs.sparkSession
     sized = settle(word_counts(docs))
@@ -203,7 +274,7 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     uses = uses.select(F.col("number").alias("_number"), F.col("block").alias("_block"), "uses")
     first = F.floor(F.col("start") / BLOCK_WORDS)
     pieces = placed.select(
-        "number", "doc_id", "mark", "size", "start", F.explode(F.sequence(first, end)).alias("block")
+        "number", "doc_id", "key", "copy", "row", "size", "start", F.explode(F.sequence(first, end)).alias("block")
     )
     from_ = F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS)
     to = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
@@ -220,7 +291,7 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
     the last. Repeated rows and null ids are documents like any other; which of several equal rows
     gives more words is not told apart. An empty table gives no rows. Other columns are not read.
     """
-    pieces, sized, sources = mix(docs)
+    pieces, sized, sources = mix(docs.select("doc_id", "text", "source"))
     taken = pieces.groupBy("number", "start", "doc_id", "size").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     facts = sources.select("number", "source_size", "target")
     some = spread_join(taken.drop("start"), facts, "number")
@@ -233,14 +304,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, as the mix takes them: up to three copies of a text or of parts of it.
 
     Copy c holds the words that are taken c times or more, in their order; n_chars is in step. Rows
-    of which nothing is taken go; that holds for texts without a word.
+    of which nothing is taken go; that holds for null texts and texts without a word. Each row is
+    taken with its own columns, also where rows share a doc_id or have none; a null source is a
+    source of its own. An empty table stays empty, very long texts are cut whole.
     """
     pieces, _, _ = mix(docs)
     part = F.struct("block", "words", "uses")
-    rows = pieces.groupBy("number", "start", "doc_id", "mark").agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+    rows = pieces.groupBy("number", "start", "row", "copy").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,words:bigint,uses:bigint>>").alias("out"))
     offsets = F.aggregate(
-        "_parts",
+        "parts",
         first,
         lambda done, p: F.struct(
             (done["at"] + p["words"]).alias("at"),
@@ -248,23 +321,35 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         ),
         lambda done: done["out"],
     )
-    none = F.lit(-(1 << 63))
-    rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("_key"), F.col("mark").alias("_mark"), offsets.alias("_parts"))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("_mark", F.xxhash64("text"))
-    texts = keyed.dropDuplicates(["_key", "_mark"])
-    taken = texts.join(rows, ["_key", "_mark"])
-    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(MOST_PASSES))))
-    taken = taken.filter(F.exists("_parts", lambda p: p["uses"] >= F.col("_copy")))
-    tokens = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = settle(rows.select(F.col("row").alias("own"), "copy", offsets.alias("parts")))
+    # Of equal rows one is read, for as many tasks as their number asks for.
+    many = rows.groupBy("own").agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("salts")).filter(F.col("salts") > 1)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key(docs, docs.columns).alias("key"))
+    whole = whole.groupBy("key").agg(F.first("row").alias("row"))
+    salt = F.lit(0)
+    if not many.isEmpty():
+        rows = spread_join(rows, many, "own", "left")
+        salt = F.pmod(F.xxhash64("copy"), F.coalesce("salts", F.lit(1))).cast("int")
+        whole = spread_join(whole, many.withColumnRenamed("own", "key"), "key", "left")
+        turns = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+        whole = whole.select("key", "row", turns.alias("turn"))
+    else:
+        whole = whole.withColumn("turn", salt)
+    rows = rows.select("own", "parts", salt.alias("salt"))
+    taken = whole.join(rows, (F.col("key") == F.col("own")) & (F.col("turn") == F.col("salt")))
+    taken = taken.select("row", "parts", F.explode(F.sequence(F.lit(1), F.lit(MOST_PASSES))).alias("copy"))
+    taken = taken.filter(F.exists("parts", lambda p: p["uses"] >= F.col("copy")))
+    tokens = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     taken = taken.withColumn(
-        "_tokens", F.when(F.exists("_parts", lambda p: p["uses"] < F.col("_copy")), tokens)
+        "tokens", F.when(F.exists("parts", lambda p: p["uses"] < F.col("copy")), tokens)
     )
-    kept = F.filter("_parts", lambda p: p["uses"] >= F.col("_copy"))
+    kept = F.filter("parts", lambda p: p["uses"] >= F.col("copy"))
     cut = F.array_join(
-        F.transform(kept, lambda p: F.array_join(F.slice("_tokens", (p["at"] + 1).cast("int"), p["words"].cast("int")), "")), ""
+        F.transform(kept, lambda p: F.array_join(F.slice("tokens", (p["at"] + 1).cast("int"), p["words"].cast("int")), "")), ""
     )
-    text = F.when(F.col("_tokens").isNull(), F.col("text")).otherwise(F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", ""))
-    done = taken.withColumn("text", text)
+    text = F.when(F.col("tokens").isNull(), F.col("row.text")).otherwise(F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", ""))
+    done = taken.select("row", text.alias("cut"))
+    new = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+        new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

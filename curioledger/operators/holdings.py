@@ -65,14 +65,14 @@ def validate_add(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _patch_fault():
+    blank = F.when(is_blank("language"), "language_blank")
+    return blank.when(_quantity_wrong(), "quantity_not_positive")
+
+
 def validate_patch(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Patches that may be applied, and the others with the first rule they break."""
-    return _split(
-        requests,
-        F.when(is_blank("language"), "language_blank").when(
-            _quantity_wrong(), "quantity_not_positive"
-        ),
-    )
+    return _split(requests, _patch_fault())
 
 
 def add_holding(
@@ -85,7 +85,7 @@ def add_holding(
     """
     valid, rejected = validate_add(requests)
     keyed = valid.withColumn("_key", name_key("set_code", "card_name"))
-    matched = match_feed(keyed, "_key", feed)
+    matched = match_feed(keyed, "_key", feed, asked_only=True)
     hit = F.col("feed_hit")
     added = matched.filter(hit).select(
         (next_id(holdings) + F.col("req_seq")).alias("id"),
@@ -116,8 +116,12 @@ def patch_holdings(
 
     Name and set: blank keeps. Foil, language, quantity: always replaced. Type, comment and
     location: null keeps, blank clears. Price: null keeps.
+
+    Patches are combined per task before they are shuffled, and the holdings meet them where the
+    folded ones lie: one shuffle by id for each side. Requests turned away are told by one look at
+    the ids that are held, whatever turned them away.
     """
-    valid, rejected = validate_patch(requests)
+    valid, _ = validate_patch(requests)
     folds = [
         *[_last(F.col(c), ~is_blank(c)).alias(f"_{c}") for c in ("card_name", "set_code")],
         F.max_by(F.struct("foil", "language", "quantity"), "req_seq").alias("_given"),
@@ -138,14 +142,11 @@ def patch_holdings(
         c: F.when(F.col(f"_{c}") == "", F.lit(None)).otherwise(F.coalesce(f"_{c}", c))
         for c in ("card_type", "comment", "location")
     }
-    # Unknown ids come from the asked ones, each once; then their requests are brought back.
-    absent = missing_keys(holdings, valid.select("id"), "id")
-    unknown = valid.join(
-        absent.withColumnRenamed("id", "_absent"),
-        F.col("id").eqNullSafe(F.col("_absent")),
-        "left_semi",
-    ).withColumn("reason", F.lit(ROW_NOT_FOUND))
-    return joined.withColumns(changed).select(COLUMNS), rejected.unionByName(unknown)
+    held = holdings.select(F.col("id").alias("_held"), F.lit(True).alias("_hit"))
+    known = lookup_join(requests, held, "id", "_held")
+    unknown = F.when(F.col("_hit").isNull(), ROW_NOT_FOUND)
+    told = known.withColumn("reason", F.coalesce(_patch_fault(), unknown)).drop("_hit")
+    return joined.withColumns(changed).select(COLUMNS), told.filter(F.col("reason").isNotNull())
 
 
 def refresh_status(
@@ -161,7 +162,7 @@ def refresh_status(
         wanted = ids.select("id").distinct().withColumn("_asked", F.lit(True))
         asked = lookup_join(holdings, wanted, "id", "id", unique=True)
     key = F.when(F.col("_asked"), row_key("set_code", "card_number", "card_name"))
-    matched = match_feed(asked.withColumn("_key", key), "_key", feed)
+    matched = match_feed(asked.withColumn("_key", key), "_key", feed, asked_only=ids is not None)
     hit = F.col("feed_hit")
     price = pick_price("foil", "feed_usd", "feed_usd_foil")
     status = (

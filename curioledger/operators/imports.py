@@ -32,13 +32,13 @@ SET_SYNC_FAILED = "set_sync_failed"
 def matching_names(grid: DataFrame) -> DataFrame:
     """Sheets whose header row carries the expected titles.
 
-    Settled at once: the list is short and the grid, which may be huge, is then read only once
-    for it, whether it is measured, broadcast or used again.
+    The header row is a pushed-down filter, so reading the list skips whatever holds no header; it
+    is part of the plan that uses it, and nothing runs until that does.
     """
     titled = F.col("row_no") == HEADER_ROW
     for letter, title in HEADER_TITLES.items():
         titled = titled & (F.lower(cell_trim(letter)) == title)
-    return settle(grid.filter(titled).select("sheet").distinct())
+    return grid.filter(titled).select("sheet").distinct()
 
 
 def _is_data_row():
@@ -287,7 +287,7 @@ def import_grid(
     if sets.isEmpty():
         sets_failed = sets_feed is None
         sets = sets if sets_failed else project_sets(sets_feed)
-    names = matching_names(grid)
+    names = settle(matching_names(grid))
     resolved = settle(resolve_grid(grid, sets, feed, names))
     return ImportResult(
         resolved,

@@ -11,6 +11,9 @@ from ..plans.ordering import with_ordinal
 
 BATCH_SIZE = 75
 
+# Words of 64 bits in the bitmap of keys asked for: 128 KB.
+ASKED_WORDS = 16_384
+
 # Feed fields a resolved row needs, by the name they get beside it.
 CARD_FIELDS = {
     "feed_name": "name",
@@ -28,13 +31,18 @@ def exploded_keys(feed: DataFrame) -> DataFrame:
     return feed.select(keys.alias("match_key"), "feed_seq")
 
 
-def expand_feed_keys(feed: DataFrame, fields: dict | None = None) -> DataFrame:
+def expand_feed_keys(
+    feed: DataFrame, fields: dict | None = None, asked: Column | None = None
+) -> DataFrame:
     """One row per key: number key, full name, each face. The first card in feed order wins.
 
     Keys and places in the feed are aggregated alone, combined before the shuffle, so a key with
     very many copies costs one narrow row per task; what a card carries is fetched once, by place.
+    ``asked`` is a bitmap of the keys wanted, other keys may then be missing.
     """
-    first = exploded_keys(feed).groupBy("match_key").agg(F.min("feed_seq").alias("_seq"))
+    keyed = exploded_keys(feed)
+    keyed = keyed if asked is None else asked_keys(keyed, asked)
+    first = keyed.groupBy("match_key").agg(F.min("feed_seq").alias("_seq"))
     fields = CARD_FIELDS if fields is None else fields
     columns = [F.col(c) if isinstance(c, str) else c for c in fields.values()]
     carried = feed.select("feed_seq", *[c.alias(name) for name, c in zip(fields, columns)])
@@ -42,13 +50,47 @@ def expand_feed_keys(feed: DataFrame, fields: dict | None = None) -> DataFrame:
     return cards.select("match_key", *fields)
 
 
-def match_feed(rows: DataFrame, row_key: str, feed: DataFrame, fields=None) -> DataFrame:
+def asked_words(rows: DataFrame, row_key: str, words: int = ASKED_WORDS) -> Column:
+    """A bitmap of the keys that rows ask for, as a scalar subquery over ``64 * words`` bits.
+
+    It is computed when the plan runs, in one aggregate whose groups are bounded by ``words``.
+    """
+    word, bit = _place(F.col(row_key), words)
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")
+    asked = rows.filter(F.col(row_key).isNotNull()).groupBy(word.alias("word")).agg(bits)
+    empty = rows.sparkSession.range(words).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long"))
+    every = empty.toDF("word", "bits").unionByName(asked).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    ordered = F.sort_array(F.collect_list(F.struct("word", "bits")))
+    return every.agg(F.transform(ordered, lambda w: w["bits"])).scalar()
+
+
+def _place(key: Column, words: int) -> tuple[Column, Column]:
+    """Word and bit of a key in a bitmap."""
+    mark = F.xxhash64(key)
+    return F.pmod(mark, F.lit(words)).cast("int"), F.pmod(F.shiftrightunsigned(mark, 40), F.lit(64)).cast("int")
+
+
+def asked_keys(keyed: DataFrame, asked: Column, words: int = ASKED_WORDS) -> DataFrame:
+    """Rows of ``keyed(match_key, ..)`` whose key may be among those of :func:`asked_words`.
+
+    No asked key is lost; of the others one in a few passes once the bitmap is that full.
+    """
+    word, bit = _place(F.col("match_key"), words)
+    return keyed.filter(F.bit_get(F.get(asked, word), bit) == 1)
+
+
+def match_feed(
+    rows: DataFrame, row_key: str, feed: DataFrame, fields=None, asked_only: bool = False
+) -> DataFrame:
     """Left join on a match key; ``feed_hit`` tells whether a card answered.
 
     ``fields`` names the columns to carry along, as paths or expressions. Rows without a key are
-    spread over the tasks by a hash of their own, under a kind of key that no card has.
+    spread over the tasks by a hash of their own, under a kind of key that no card has. With
+    ``asked_only`` the keys of the rows are read first and the feed's keys are cut down to them
+    before they are aggregated: for few rows against a large feed. It reads the rows twice.
     """
-    cards = expand_feed_keys(feed, fields).withColumnRenamed("match_key", "_card_key")
+    asked = asked_words(rows, row_key) if asked_only else None
+    cards = expand_feed_keys(feed, fields, asked).withColumnRenamed("match_key", "_card_key")
     cards = cards.withColumn("feed_hit", F.lit(True))
     own = F.xxhash64(*rows.columns).cast("string")
     spread = rows.withColumn("_spread_key", F.coalesce(row_key, match_key("none", own, F.lit(""))))
@@ -62,7 +104,7 @@ def _price(requests: DataFrame, feed: DataFrame, key: Column, needed: list[str])
         blank = blank | is_blank(name)
     fields = {name: CARD_FIELDS[name] for name in ("feed_usd", "feed_usd_foil")}
     asked = requests.filter(~blank).withColumn("_key", key)
-    priced = match_feed(asked, "_key", feed, fields)
+    priced = match_feed(asked, "_key", feed, fields, asked_only=True)
     price = pick_price("foil", "feed_usd", "feed_usd_foil").alias("price")
     return priced.select(*requests.columns, price), requests.filter(blank)
 
@@ -89,13 +131,14 @@ def card_lookup(identifiers: DataFrame, feed: DataFrame) -> DataFrame:
     """Identifiers with the whole card that answers, null when none does."""
     whole = {"card": F.struct(*[c for c in feed.columns if c != "feed_seq"])}
     asked = identifiers.withColumn("_key", identifier_key())
-    return match_feed(asked, "_key", feed, whole).select(*identifiers.columns, "card")
+    found = match_feed(asked, "_key", feed, whole, asked_only=True)
+    return found.select(*identifiers.columns, "card")
 
 
 def not_found(identifiers: DataFrame, feed: DataFrame) -> DataFrame:
     """Identifiers no card answers to."""
     asked = identifiers.withColumn("_key", identifier_key())
-    known = exploded_keys(feed).select("match_key").distinct()
+    known = asked_keys(exploded_keys(feed), asked_words(asked, "_key")).select("match_key").distinct()
     return lookup_join(asked, known, "_key", "match_key", "left_anti").drop("_key")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.parsing import moment, ts_bound, ts_literal
 from ..plans.joins import lookup_join
 from ..plans.lineage import settle
-from ..plans.ordering import head, number_head, with_ordinal
+from ..plans.ordering import head, number_head, number_sorted, with_ordinal
 from ..schemas import HOLDING_SNAPSHOTS
 from .keyed import next_id
 
@@ -17,6 +17,9 @@ COLUMNS = HOLDING_SNAPSHOTS.names
 
 IDENTITY = ["card_name", "set_code", "card_number", "foil", "language"]
 
+# The identity as one text, for tables that are bucketed by it.
+IDENTITY_KEY = "identity"
+
 DEFAULT_LIMIT = 100
 
 # How the export shows the foil flag.
@@ -108,16 +111,25 @@ class Snapshot(NamedTuple):
 
 
 def create_snapshot(
-    holdings: DataFrame, snapshots: DataFrame, now, last_id: int | None = None
+    holdings: DataFrame,
+    snapshots: DataFrame,
+    now,
+    last_id: int | None = None,
+    ordered: bool = True,
 ) -> Snapshot:
     """Rows of a new snapshot of all holdings, and the second it was given.
 
-    Rows are numbered in the order of their holdings ids after the highest id in use, ``last_id``
-    when the caller keeps it, so a snapshot uses up as many ids as it has rows.
+    Rows are numbered after the highest id in use, ``last_id`` when the caller keeps it, so a
+    snapshot uses up as many ids as it has rows. Ids follow those of the holdings if ``ordered``,
+    which takes a global sort; otherwise rows are numbered as they lie, by sums over the counts of
+    unsorted partitions.
     """
     ts = next_snapshot_ts(snapshots, now)
     base = next_id(snapshots) if last_id is None else F.lit(last_id)
-    numbered = with_ordinal(holdings, [F.col("id")], "_no")
+    if ordered:
+        numbered = with_ordinal(holdings, [F.col("id")], "_no")
+    else:
+        numbered = number_sorted(holdings, "_no")
     stamped = numbered.withColumns(
         {
             "source_card_id": F.col("id"),
@@ -180,6 +192,11 @@ def compared(snapshots: DataFrame, from_=None, to=None) -> tuple[datetime, datet
     return (found[0], found[1]) if len(found) == 2 else None
 
 
+def identity_key() -> Column:
+    """The identity columns as one text, never null; different for different identities."""
+    return F.to_json(F.struct(*IDENTITY), {"ignoreNullFields": "false"})
+
+
 def price_changes(snapshots: DataFrame, pair: tuple[datetime, datetime] | None) -> DataFrame:
     """Every row of the newest snapshot whose card had another price in the one before.
 
@@ -187,19 +204,25 @@ def price_changes(snapshots: DataFrame, pair: tuple[datetime, datetime] | None)
     reduced to one row per identity before its shuffle (the highest id stands for duplicates),
     the newer side keeps every row. ``pair`` is what :func:`compared` found; without one no row
     comes out.
+
+    A table that carries the identity as a column of its own (``bucketed_snapshots``) is grouped and
+    joined by that column, and where it is bucketed by it neither side is shuffled.
     """
     old_at, new_at = [F.lit(False)] * 2
     if pair is not None:
         old_at, new_at = [F.col("snapshot_ts") == ts_literal(ts) for ts in pair]
+    own = [IDENTITY_KEY] if IDENTITY_KEY in snapshots.columns else IDENTITY
     old = (
         snapshots.filter(old_at)
-        .groupBy([F.col(c).alias(f"_{c}") for c in IDENTITY])
+        .groupBy([F.col(c).alias(f"_{c}") for c in own])
         .agg(F.max_by("price", "id").alias("_price"))
     )
     new = snapshots.filter(new_at)
     same = F.lit(True)
-    for c in IDENTITY:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    for c in own:
+        # The identity as a text is never null, and a plain comparison keeps to its buckets.
+        one, other = F.col(c), F.col(f"_{c}")
+        same = (one == other) if own == [IDENTITY_KEY] else same & one.eqNullSafe(other)
     price_old = F.coalesce("_price", F.lit(0).cast("decimal(12,2)"))
     price_new = F.coalesce("price", F.lit(0).cast("decimal(12,2)"))
     diff = price_new - price_old

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.snapshots import IDENTITY_KEY, identity_key
 from ..schemas import TABLES
 
 
@@ -34,5 +35,50 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "errorifexists"
 
 
 def append_snapshot(rows: DataFrame, root: str) -> None:
-    """Add the rows of a snapshot as a partition of their own."""
-    write_table(rows, root, "holding_snapshots", mode="append")
+    """Add the rows of a snapshot as a partition of their own.
+
+    The partition is put in place as a whole, so that an append that is run again, after the driver
+    was lost or for any other reason, leaves one copy. The snapshot's second must be its own, which
+    ``create_snapshot`` sees to.
+    """
+    stamped = rows.to(TABLES["holding_snapshots"]).write.mode("overwrite")
+    stamped = stamped.option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_ts")
+    stamped.parquet(f"{root}/holding_snapshots")
+
+
+def _declare_buckets(spark: SparkSession, root: str, table: str, buckets: int) -> DataFrame:
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in TABLES["holding_snapshots"]]
+    columns.append(f"`{IDENTITY_KEY}` string")
+    if not spark.catalog.tableExists(table):
+        spark.sql(
+            f"create table `{table}` ({', '.join(columns)}) using parquet"
+            f" options (path '{root}/bucketed_snapshots', partitionOverwriteMode 'dynamic')"
+            f" partitioned by (snapshot_ts) clustered by (`{IDENTITY_KEY}`) into {int(buckets)} buckets"
+        )
+    return spark.table(table)
+
+
+def bucketed_snapshots(spark: SparkSession, root: str, table: str, buckets: int) -> DataFrame:
+    """The snapshots stored below ``root`` in buckets of card identity, as a table of the session.
+
+    The session's catalog is told of the files, so a new session finds what an earlier one stored.
+    The number of buckets must be that of the first append.
+    """
+    _declare_buckets(spark, root, table, buckets)
+    spark.catalog.recoverPartitions(table)
+    return spark.table(table)
+
+
+def append_bucketed_snapshot(rows: DataFrame, root: str, table: str, buckets: int) -> DataFrame:
+    """Add snapshots to the bucketed table and return that table.
+
+    One shuffle by identity when a snapshot is stored, once and for all, takes the place of two at
+    every comparison. Run again it leaves one copy, like :func:`append_snapshot`. Buckets are read
+    whole, so a card that holds a large part of all rows is better compared without them.
+    """
+    spark = rows.sparkSession
+    stored = _declare_buckets(spark, root, table, buckets)
+    keyed = rows.to(TABLES["holding_snapshots"]).withColumn(IDENTITY_KEY, identity_key())
+    dealt = keyed.repartition(buckets, IDENTITY_KEY).select(stored.columns)
+    dealt.write.mode("overwrite").insertInto(table)
+    return bucketed_snapshots(spark, root, table, buckets)

@@ -408,6 +408,17 @@ _CHECKS = {
         {_snapshot_of(AT, "0")}
         union all {_snapshot_of(f"{FROM}:00", "(select count(*) from holdings)")}
         union all {_snapshot_of(AT[:-2] + "01", "2 * (select count(*) from holdings)")}""",
+    "append_snapshot_again": f"""
+        select snapshot_ts, count(*) as rows, count(*) as ids,
+          generation * count(*) + 1 as first_id, (generation + 1) * count(*) as last_id,
+          cast(sum(id) as double) as sources,
+          cast(sum(coalesce(price, 0) * quantity) as double) as total_value
+        from holdings, (values (timestamp '{AT}', 0), (timestamp '{FROM}:00', 1),
+          (timestamp '{AT[:-2]}01', 2)) as taken(snapshot_ts, generation)
+        group by snapshot_ts, generation""",
+    "price_movers_bucketed": _tagged(
+        ("gainer", _mover_out("gainer", 10)), ("loser", _mover_out("loser", 10))
+    ),
     "stored_snapshot_rows": _tagged(
         ("rows", f"""
             select * exclude (set_name_raw), row_number() over (order by card_name, id) as place

@@ -200,6 +200,36 @@ def append_snapshot(v: Views):
     return _stored_ledger(v, AT, FROM, AT)
 
 
+@query
+def append_snapshot_again(v: Views):
+    """Generations numbered as the rows lie, each appended twice: one copy, gapless ids."""
+    root = scratch_path(v.spark, "ledger")
+    stored = v.spark.createDataFrame([], HOLDING_SNAPSHOTS)
+    for now in (AT, FROM, AT):
+        taken = snapshots.create_snapshot(v.holdings(), stored, now, ordered=False)
+        for _ in range(2):
+            tables.append_snapshot(taken.rows, root)
+        stored = tables.scan_table(v.spark, root, "holding_snapshots")
+    return stored.groupBy("snapshot_ts").agg(
+        F.count("*").alias("rows"),
+        F.countDistinct("id").alias("ids"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+        F.sum("source_card_id").cast("double").alias("sources"),
+        F.sum(F.coalesce("price", F.lit(0)) * F.col("quantity")).alias("total_value"),
+    )
+
+
+@query
+def price_movers_bucketed(v: Views):
+    """The movers of all snapshots stored in buckets by card identity."""
+    root = scratch_path(v.spark, "buckets")
+    table = root.rpartition("/")[2].replace("-", "_")
+    stored = tables.append_bucketed_snapshot(v.snapshots(), root, table, 8)
+    found = snapshots.price_movers(stored, limit=10)
+    return _tagged("part", gainer=_numbered(found.gainers), loser=_numbered(found.losers))
+
+
 @query
 def stored_snapshot_rows(v: Views):
     """One partition out of the stored table, and the totals of a range of partitions."""

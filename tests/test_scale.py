@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from curioledger.functions.cards import number_key
 from curioledger.operators import holdings, imports, keyed, lookups, snapshots
-from curioledger.schemas import HOLDINGS
+from curioledger.schemas import GRID, HOLDINGS
 from curioledger.sources import tables
 from curioledger.workload.queries import all_queries
 from curioledger.workload.views import ROW_ID
@@ -147,6 +147,16 @@ def test_no_job_runs_while_joins_are_planned(spark):
     holdings.patch_holdings(held, patches)
     keyed.exists_key(ids, held, "id")
     keyed.delete_rows(held, ids, "id")
+    lookups.card_lookup(feed.select("name", "set", "collector_number"), feed)
+    grid = spark.createDataFrame([], GRID)
+    sets = spark.createDataFrame([("a", "b")], "set_code string, set_name string")
+    resolved = imports.resolve_grid(grid, sets, feed)
+    imports.matching_sheets(grid)
+    imports.enriched_grid(grid, resolved)
+    imports.import_metrics(resolved)
+    imports.import_errors(resolved)
+    imports.unresolved_report(resolved)
+    imports.persist_import(resolved)
     assert set(tracker.getJobIdsForGroup()) == before
 
 

@@ -252,3 +252,51 @@ def test_snapshot_table_is_partitioned_and_pruned(make, spark, folder):
     assert column(S.price_movers(snaps).gainers, "price_diff") == [Decimal("1.50")]
     plan = S.snapshot_rows(snaps, T1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(snapshot_ts" in plan
+
+
+def test_numbering_as_rows_lie(make, spark):
+    held = make.holdings(*[GULL | {"id": 9 * k} for k in range(50)]).repartition(7)
+    taken = S.create_snapshot(held, make.snapshots(), T1, last_id=100, ordered=False)
+    rows = rows_of(taken.rows, "id", "source_card_id")
+    assert sorted(k for k, _ in rows) == list(range(101, 151))
+    assert sorted(s for _, s in rows) == [9 * k for k in range(50)]
+    plan = taken.rows._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [id" not in plan and "rangepartitioning" not in plan
+    assert S.create_snapshot(make.holdings(), make.snapshots(), T1, ordered=False).rows.isEmpty()
+
+
+def test_an_append_run_twice_leaves_one_copy(make, spark, folder):
+    stored = make.snapshots()
+    for now in (T1, T2):
+        held = make.holdings(*[GULL | {"id": k} for k in range(20)]).repartition(3)
+        taken = S.create_snapshot(held, stored, now, ordered=False)
+        tables.append_snapshot(taken.rows, folder)
+        tables.append_snapshot(taken.rows, folder)
+        stored = tables.scan_table(spark, folder, "holding_snapshots")
+    assert stored.count() == 40
+    assert sorted(column(stored, "id")) == list(range(1, 41))
+
+
+def test_movers_over_buckets_need_no_shuffle(make, spark, folder):
+    rows = [mover(k, T1, f"{k}.00", card_name=f"c{k % 30}", set_code=None if k % 2 else "grv") for k in range(60)]
+    rows += [mover(100 + k, T2, f"{k + k % 3}.50", card_name=f"c{k % 30}", set_code=None if k % 2 else "grv") for k in range(60)]
+    snaps = make.snapshots(*rows)
+    table = "buckets_" + folder.rpartition("-")[2].lower()
+    for at in (T1, T2, T2):
+        stored = tables.append_bucketed_snapshot(snaps.filter(F.col("snapshot_ts") == F.lit(at).cast("timestamp_ntz")), folder, table, 4)
+    assert stored.count() == 120
+    changes = S.price_changes(stored, (T1, T2))
+    names = ("id", "price_old", "price_new", "side")
+    assert sorted(rows_of(changes, *names)) == sorted(rows_of(S.price_changes(snaps, (T1, T2)), *names))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = S.price_changes(stored, (T1, T2))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert plan.count("SelectedBucketsCount: 4 out of 4") == 2
+    found = [rows_of(S.price_movers(t, limit=5).gainers, "id", "price_diff") for t in (stored, snaps)]
+    assert found[0] == found[1]
+    # A session that knows nothing of the table finds it by its files.
+    spark.sql(f"drop table {table}")
+    assert tables.bucketed_snapshots(spark, folder, table, 4).count() == 120

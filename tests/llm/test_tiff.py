@@ -55,7 +55,7 @@ def test_one_row_per_page(spark):
     files = spark.createDataFrame(rows, "key long, media binary, page string")
     found = tiff.pages(files, "key").collect()
     assert sorted((r["key"] or 0, r["page"]) for r in found if r["error"] is None) == [
-        (0, 0), (0, 1), (1, 0), (1, 0), (1, 1), (1, 1),
+        (0, 0), (0, 1), (1, 0), (1, 0), (1, 1), (1, 1), (4, 0),
     ]
     assert sorted(r["key"] for r in found if r["error"]) == [2, 3, 4]
     first = next(r for r in found if r["key"] == 1 and r["page"] == 0)
@@ -64,6 +64,43 @@ def test_one_row_per_page(spark):
     assert tiff.pages(files.limit(0), "key").count() == 0
 
 
+def test_pages_before_a_broken_one_come_too(spark):
+    grid = np.arange(12, dtype=np.uint8).reshape(3, 4, 1)
+    data = bytearray(tiff.write_pages([grid, grid + 1], tiff.DEFLATE))
+    second = data.rindex(tiff.ENCODERS[tiff.DEFLATE]((grid + 1).tobytes()))
+    data[second : second + 4] = b"\xff" * 4
+    rows = spark.createDataFrame([(1, bytes(data))], "key long, media binary")
+    found = sorted(tiff.pages(rows, "key").collect(), key=lambda r: r["error"] or "")
+    assert [(r["page"], r["error"] is None) for r in found] == [(0, True), (None, False)]
+    assert bytes(found[0]["pixels"]) == grid.tobytes()
+
+
+def test_unknown_predictors_are_errors():
+    data = bytearray(tiff.write_pages([np.zeros((2, 2, 1), np.uint8)], tiff.PLAIN, predictor=True))
+    at = data.index(struct.pack("<HHIH", tiff.TAG_PREDICTOR, 3, 1, 2))
+    struct.pack_into("<H", data, at + 8, 3)
+    with pytest.raises(ValueError, match="predictor 3"):
+        list(tiff.read_pages(bytes(data)))
+
+
+def test_every_form_serves_many_documents():
+    """Codec, layout and predictor go by a hash: each serves over a tenth of the given texts."""
+    pq = __import__("pyarrow.parquet", fromlist=["x"])
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()[::10]
+    seen = {}
+    for text in texts:
+        payload = tiff.payload_of((text or "").encode())
+        tags = [t for t in tiff._Reader(tiff.stored_form(payload)).directories()]
+        code = tags[0][tiff.TAG_COMPRESSION][0]
+        tiled, predicted = tiff.TAG_TILE_AT in tags[0], tags[0][tiff.TAG_PREDICTOR][0] == 2
+        for form in (code, "tiles" if tiled else "strips", "predictor" if predicted else "none"):
+            seen[form] = seen.get(form, 0) + 1
+        if len(tags) > 1:
+            seen["pages"] = seen.get("pages", 0) + 1
+    forms = (tiff.LZW, tiff.PACKBITS, tiff.DEFLATE, "strips", "tiles", "predictor", "pages")
+    assert all(seen[f] > len(texts) / 10 for f in forms), seen
+
+
 def test_features_of_texts(spark):
     texts = [None, "", "a", "a", "é" * 40, "ab\n" * 500, "x" * 300_000, "y" * 64]
     schema = "doc_id long, text string, media string, n_bytes string"
@@ -77,5 +114,5 @@ def test_features_of_texts(spark):
         assert row["payload_sha256"] == __import__("hashlib").sha256(payload).hexdigest()
         assert row["tail_crc32"] == zlib.crc32(payload[-64:])
     assert found[2][1:] == found[3][1:] and found[0][1:] == found[1][1:]
-    assert found[6]["feature"].startswith("pages=2;")
+    assert found[6]["feature"].startswith(f"pages={-(-300_032 // 64 // tiff.PAGE_ROWS)};")
     assert tiff.media_features(docs.limit(0)).count() == 0

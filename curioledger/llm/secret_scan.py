@@ -2,8 +2,9 @@
 
 Every version of every text is addressed by its content. The ledger is a table that says which blob
 has been scanned under which rule version and what was found; a scan reads the ledger, takes the
-blobs that lack some pair, each once, applies the missing rules only, and appends. Findings are
-joined back to all paths that hold the blob, however many hold the same one.
+blobs that lack some pair, each once, applies the missing rules only, and appends. A span is kept
+under the rule version that found it. Findings are those of the rule versions asked for, joined back
+to all paths that hold the blob, however many hold the same one.
 """
 
 from dataclasses import dataclass
@@ -51,7 +52,7 @@ RULES = (
 )
 BASE = 3
 
-FOUND = "array<struct<rank:int,start:int,end:int>>"
+FOUND = "array<struct<rule:string,start:int,end:int>>"
 LEDGER = f"blob binary, rules array<string>, found {FOUND}"
 
 
@@ -64,7 +65,7 @@ def _hits(rule: Rule, text: Column) -> Column:
     return F.when(F.contains(text, F.lit(rule.cue)), hits).otherwise(F.array().cast("array<string>")) if rule.cue else hits
 
 
-def _spans(rule: Rule, rank: int, text: Column, hits: Column) -> Column:
+def _spans(rule: Rule, text: Column, hits: Column) -> Column:
     spans = located(text, rule.pattern, hits)
     if rule.value_from:
         spans = F.filter(
@@ -72,7 +73,7 @@ def _spans(rule: Rule, rank: int, text: Column, hits: Column) -> Column:
             lambda s: F.length(F.regexp_extract(s["hit"], rule.pattern, 1)) >= rule.value_from,
         )
     return F.transform(
-        spans, lambda s: F.struct(F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"))
+        spans, lambda s: F.struct(F.lit(rule.id).alias("rule"), s["start"].alias("start"), s["end"].alias("end"))
     )
 
 
@@ -90,7 +91,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
     none = F.array().cast(FOUND)
     found = [
-        F.when(F.size(f"hits{k}") > 0, _spans(r, k, text, F.col(f"hits{k}"))).otherwise(none)
+        F.when(F.size(f"hits{k}") > 0, _spans(r, text, F.col(f"hits{k}"))).otherwise(none)
         for k, r in enumerate(rules)
     ]
     return hits.select("blob", F.col("missing").alias("rules"), F.concat(*found).alias("found"))
@@ -143,14 +144,25 @@ def scan_new(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES)
     return number
 
 
+def _ranked(found: Column, rules: tuple[Rule, ...]) -> Column:
+    """The spans of these rule versions by start, then rank, which is a rule's place in the list."""
+    ids = F.array(*[F.lit(r.id) for r in rules])
+    own = F.filter(found, lambda s: F.array_contains(ids, s["rule"]))
+
+    def placed(span: Column) -> Column:
+        rank = (F.array_position(ids, span["rule"]) - 1).cast("int")
+        return F.struct(span["start"].alias("start"), rank.alias("rank"), span["end"].alias("end"))
+
+    return F.array_sort(F.transform(own, placed))
+
+
 def findings(versions: DataFrame, ledger: str, key: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``(key, found)`` of every path: the spans that the ledger has for its blob, in text order."""
-    order = F.array_sort(
-        F.transform(
-            F.coalesce("found", F.array().cast(FOUND)),
-            lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")),
-        )
-    )
+    """``(key, found)`` of every path: the spans of its blob under these rule versions, in text order.
+
+    Spans are ``start, rank, end``; a rule's rank is its place in ``rules``. What other versions have
+    found, older ones or rules no longer asked for, stays in the ledger and out of the result.
+    """
+    order = _ranked(F.coalesce("found", F.array().cast(FOUND)), rules)
     paths = versions.select(key, _address(F.col("text")).alias("blob"))
     # Blobs without a finding need no row here: the join is a left one.
     state = _state(_read(versions.sparkSession, ledger).filter(F.size("found") > 0))
@@ -204,23 +216,22 @@ def masked(text: Column, found: Column) -> Column:
 def without_secrets(docs: DataFrame) -> DataFrame:
     """``docs``, all rows and columns, with the secrets in their texts masked and n_chars in step.
 
-    Texts without a secret come back as they are, null ones included.
+    Texts without a secret come back as they are, null and empty ones included; very long texts are
+    masked whole. Repeated rows and null ids are rows like any other, and rows that share a text share
+    its findings. An empty table stays empty.
     """
     ledger = scratch_path(docs.sparkSession, "ledger")
     scan_new(docs, ledger)
     state = _state(_read(docs.sparkSession, ledger).filter(F.size("found") > 0))
-    order = F.array_sort(
-        F.transform(
-            "found",
-            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")),
-        )
-    )
-    state = settle(state.select("blob", order.alias("_found")))
-    ours = docs.withColumn("_blob", _address(F.col("text")))
-    joined_back = spread_join(ours, state.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    clean = F.when(F.col("_found").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_found")))
-    done = joined_back.withColumn("text", clean)
+    state = settle(state.select("blob", _ranked(F.col("found"), RULES).alias("found")))
+    # The table's columns travel as one, so none of theirs can clash with ours.
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    ours = docs.select(whole, _address(docs["text"]).alias("blob"))
+    text, found = F.col("row.text"), F.col("found")
+    clean = F.when(found.isNull(), text).otherwise(masked(text, found))
+    done = spread_join(ours, state, "blob", "left").select("row", "found", clean.alias("clean"))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        chars = F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
-        done = done.withColumn("n_chars", chars)
-    return done.select(*docs.columns)
+        chars = F.length("clean").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(found.isNull(), F.col("row.n_chars")).otherwise(chars)
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

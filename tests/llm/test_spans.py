@@ -1,5 +1,6 @@
 """Personal data and secrets against plain regular expressions."""
 
+import dataclasses
 import hashlib
 import random
 
@@ -84,6 +85,31 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert sorted((r["doc_id"], len(r["found"])) for r in found) == [("p", 1), ("p", 1), ("q", 1), ("r", 0), ("s", 1)]
 
 
+def test_a_kept_ledger_outlives_its_rules(spark):
+    """Raised versions, another order and dropped rules on a ledger that has the old spans."""
+    ledger = scratch_path(spark, "ledger")
+    text = "token=abcdef " + "0123456789abcdef" * 2
+    docs = spark.createDataFrame([(1, text), (2, "clean")], "doc_id long, text string")
+    rules = secret_scan.RULES
+    secret_scan.scan_new(docs, ledger, rules)
+
+    def spans(asked):
+        rows = secret_scan.findings(docs, ledger, rules=asked).filter("doc_id = 1").first()["found"]
+        return [(s["start"], asked[s["rank"]].name, s["end"]) for s in rows]
+
+    expected = [(0, "assign", 12), (13, "hex", 45)]
+    assert spans(rules) == expected
+    newer = tuple(dataclasses.replace(r, version=2) if r.name == "hex" else r for r in rules)
+    # Until it has scanned, a new version has found nothing, and the old one is no stand-in.
+    assert spans(newer) == expected[:1]
+    assert secret_scan.scan_new(docs, ledger, newer) == 2
+    assert spans(newer) == spans(rules) == expected
+    turned = newer[::-1]
+    assert secret_scan.scan_new(docs, ledger, turned) == 0
+    assert spans(turned) == expected
+    assert spans(tuple(r for r in newer if r.name != "hex")) == expected[:1]
+
+
 def test_secrets_are_masked(odd_docs):
     masked = secret_scan.without_secrets(odd_docs)
     assert masked.columns == odd_docs.columns and masked.count() == odd_docs.count()

@@ -1,19 +1,19 @@
 """Hierarchical multi-length packing of documents into training sequences.
 
-Each document is cut into whole windows and a rest. Rests are routed to context tiers by length and
-packed from the longest tier down: a long rest opens a window, and its gap is filled with the
-longest rests of the shorter tiers that fit. Windows that stay open are dissolved, emptiest first:
-their rests are cut into powers of two, which fill the gaps of the others exactly. What is left at
-the end makes sequences of the shorter tiers, each exactly full, so only a handful of tokens per
-group of documents is ever padded. At last the sequences of a group are dealt to steps of like
-length.
+Each document is cut into whole windows and a rest. Rests are routed to context tiers by length, and
+each tier is packed into windows of its own size, from the longest tier down: a rest opens a window
+of its tier, and the gap is filled with the longest rests of the shorter tiers that fit. Windows that
+stay open are dissolved, emptiest first: their rests are cut into powers of two, which fill the gaps
+of the others exactly. So the windows of every tier end full, and at most one sequence per group of
+documents is padded. At last the sequences of a group are dealt to steps of like numbers of tokens.
 
 Cuts depend on the document alone, so one pass tokenises and sums up all pieces; what is shuffled
-is one narrow row per document. Groups are dealt by a hash of the doc_id and packed on their own.
+is one narrow row per document. Groups are dealt by a hash of id and place of a row, so that equal rows
+do not meet, and packed on their own.
 """
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,9 +83,10 @@ def plan(rests: list[int]) -> list[list[tuple[int, int, int]]]:
             del lengths[at]
         return row, length
 
+    # The longest rest left opens a window of its tier; only shorter ones are there to fill it.
     full, open_ = [], []
     while found := take(WINDOW):
-        pieces, gap = [], WINDOW
+        pieces, gap = [], TIERS[bisect_left(TIERS, found[1])]
         while found:
             pieces.append((found[0], 0, found[1]))
             gap -= found[1]
@@ -197,10 +198,11 @@ def pack(docs: DataFrame, tokenizer: str, group_docs: int = GROUP_DOCS) -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
     doc_id = pa.field("doc_id", {"int": pa.int32()}.get(kind, pa.int64()))
     texts = docs.select(F.col("doc_id"), F.col("text"))
-    cut = settle(texts.mapInArrow(_cutter(tokenizer, doc_id), f"doc_id {kind}, {_CUTS}"))
+    cut = texts.mapInArrow(_cutter(tokenizer, doc_id), f"doc_id {kind}, {_CUTS}")
+    cut = settle(cut.withColumn("place", F.monotonically_increasing_id()))
     groups = max(1, -(-cut.count() // group_docs))
     # Not the hash of the doc_id itself, by which the rows of a group would share a shuffle partition.
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "tokens", F.lit(6)), F.lit(groups)))
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "place", F.lit(6)), F.lit(groups))).drop("place")
     pieces = (
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long,"
         " sequence_id long, offset long, tier long, step_id long"

@@ -48,7 +48,6 @@ def held(pieces, ids_by_row):
             assert zlib.crc32(array("I", ids[p["start"] : p["start"] + p["length"]]).tobytes()) == p["ids_crc32"]
         assert at <= packing.WINDOW and all(p["tier"] >= at for p in own)
         padded += at & (at - 1) != 0
-    assert sum(covered.values()) == sum(n for n in covered.values())
     return padded
 
 
@@ -76,6 +75,29 @@ def test_odd_table(odd_docs):
     assert packing.pack(odd_docs.limit(0), PATH).count() == 0
 
 
+def test_every_tier_has_windows_of_its_own():
+    """Rests open windows of their tier; all but one sequence end full at a power of two."""
+    rng = random.Random(9)
+    for rests in ([rng.randint(20, 1000) for _ in range(4000)], [rng.randint(130, 400) for _ in range(3000)]):
+        sequences = packing.plan(list(rests))
+        totals = Counter(sum(n for _, _, n in own) for own in sequences)
+        assert sum(n for t, n in totals.items() if t & (t - 1)) <= 1
+        assert sum(n * t for t, n in totals.items()) == sum(rests)
+        carried = {t: n for t, n in totals.items() if t in packing.TIERS}
+        assert len([t for t in carried if carried[t] >= 20]) > 1, carried
+        # A window is of the tier of the longest piece that opened it, or cut to a power of two.
+        for own in sequences:
+            total = sum(n for _, _, n in own)
+            assert max(n for _, _, n in own) <= total <= packing.WINDOW
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    docs = spark.createDataFrame([(None, None)] * 600, "doc_id long, text string").repartition(3)
+    pieces = packing.pack(docs, PATH, 50)
+    groups = Counter(r["sequence_id"] >> 32 for r in pieces.collect())
+    assert sum(groups.values()) == 600 and len(groups) > 6 and max(groups.values()) < 150
+
+
 def test_plans_lose_nothing():
     rng = random.Random(2)
     for turn in range(120):

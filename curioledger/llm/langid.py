@@ -2,8 +2,10 @@
 
 Every learning row is counted, none sampled: a task sums its n-grams by language and hash bucket,
 and only those sums are shuffled. The matrix of log probabilities, buckets by languages, is
-broadcast; its size is bounded by ``BUCKETS`` times ``MOST_LANGUAGES`` numbers. Scoring gathers
-the matrix rows of a batch of texts and sums them text by text in numpy.
+broadcast; its size is bounded by ``BUCKETS`` times ``MOST_LANGUAGES`` numbers. A text is scored as
+a sparse vector of bucket counts: the matrix rows of the buckets it has, each once, times their
+counts. Texts are cut into buckets piece by piece, so a text of any length takes the same memory
+beside itself.
 """
 
 from collections.abc import Iterator
@@ -24,8 +26,8 @@ FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 LEAST_SCORE = 0.5
 
-# N-grams whose matrix rows are gathered at once, unless one text has more.
-_BATCH_GRAMS = 200_000
+# Characters of a text that are cut into n-grams at once.
+_PIECE = 1 << 18
 # Odd multipliers that spread code points, one per place in an n-gram.
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -56,12 +58,33 @@ def buckets(found: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
+def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that a text's n-grams fall into, rising, and how many fall into each."""
+    lowered = text.lower()
+    if len(lowered) <= _PIECE:
+        return _sparse(np.bincount(buckets(codes(lowered)), minlength=BUCKETS))
+    counts = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(lowered), _PIECE):
+        # N-grams that begin in the piece; the next one counts those that begin behind it.
+        found = codes(lowered[at : at + _PIECE + len(ORDERS) - 1])
+        counts += np.bincount(buckets(found), minlength=BUCKETS)
+        if at + _PIECE < len(lowered):
+            counts -= np.bincount(buckets(found[_PIECE:]), minlength=BUCKETS)
+    return _sparse(counts)
+
+
+def _sparse(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            own += np.bincount(buckets(codes(text)), minlength=BUCKETS)
+            at, n = bucket_counts(text)
+            own[at] += n
     for lang, own in sums.items():
         at = np.flatnonzero(own)
         yield pd.DataFrame({"lang": lang, "bucket": at, "n": own[at]})
@@ -75,10 +98,10 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Posteriors, texts by languages; every text has at least one character."""
-        found = [buckets(codes(t)) for t in texts]
-        ends = np.cumsum([len(f) for f in found])
-        rows = self.logs[np.concatenate(found)]
-        sums = np.add.reduceat(rows, np.concatenate(([0], ends[:-1])), axis=0, dtype=np.float64)
+        sums = np.empty((len(texts), len(self.langs)))
+        for k, text in enumerate(texts):
+            at, counts = bucket_counts(text)
+            sums[k] = counts.astype(np.float64) @ self.logs[at]
         # A character is in as many n-grams as there are orders; it counts once.
         sums = self.prior + sums / len(ORDERS)
         odds = np.exp(sums - sums.max(axis=1, keepdims=True))
@@ -87,18 +110,11 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and posterior of each; ``und`` and 0 without a letter or without a language."""
         out = [(UNKNOWN, 0.0)] * len(texts)
-        batch: list[int] = []
-        grams = 0
-        for k, text in enumerate(texts):
-            if self.langs and text is not None and has_letter(text):
-                batch.append(k)
-                grams += len(ORDERS) * len(text)
-            if batch and (grams >= _BATCH_GRAMS or k == len(texts) - 1):
-                found = self.scores([texts[j] for j in batch])
-                for j, row in zip(batch, found, strict=True):
-                    best = int(row.argmax())
-                    out[j] = (self.langs[best], float(row[best]))
-                batch, grams = [], 0
+        some = [k for k, t in enumerate(texts) if self.langs and t is not None and has_letter(t)]
+        found = self.scores([texts[k] for k in some]) if some else []
+        for k, row in zip(some, found, strict=True):
+            best = int(row.argmax())
+            out[k] = (self.langs[best], float(row[best]))
         return out
 
 
@@ -153,7 +169,13 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a posterior of a half or more."""
-    guess = predicted(docs, fit(docs), F.col("text"))
-    kept = docs.withColumn("_guess", guess).filter(F.col("_guess.lang") != UNKNOWN)
-    return kept.filter(F.col("_guess.score") >= LEAST_SCORE).drop("_guess")
+    """The rows of ``docs``, all columns, whose language is known with a posterior of a half or more.
+
+    Null and empty texts and texts without a letter go, and all texts where no row has a lang to learn
+    from. Repeated rows and null ids stay or go by their text; very long texts are scored whole; an
+    empty table stays empty.
+    """
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    judged = docs.select(whole, predicted(docs, fit(docs), docs["text"]).alias("guess"))
+    known = (F.col("guess.lang") != UNKNOWN) & (F.col("guess.score") >= LEAST_SCORE)
+    return judged.filter(known).select("row.*")

@@ -134,6 +134,27 @@ class Model:
         return float(-np.expm1(-total)), hits
 
 
+def objective(state: np.ndarray, toxic, doc, sentence, word, plain, share) -> tuple[float, np.ndarray]:
+    """Loss of document labels under the noisy-or of their sentences, and its gradient.
+
+    ``state`` has the word weights and the bias; ``doc`` gives the document of a sentence with known
+    words, ``sentence`` and ``word`` the pairs of both, ``plain`` each document's other sentences.
+    """
+    w, b = state[:-1], state[-1]
+    z = b + np.bincount(sentence, weights=w[word], minlength=len(doc))
+    total = np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=len(toxic)) + plain * np.logaddexp(0.0, b)
+    least = np.maximum(total, 1e-6)
+    loss = (np.where(toxic == 1, -np.log(-np.expm1(-least)), total) * share).sum() + PENALTY / 2 * (w @ w)
+    # The loss falls with the sum where the label is 1, and rises by one for one where it is 0.
+    slope = np.where(toxic == 1, -1 / np.expm1(least), 1.0) * share
+    dz = slope[doc] / (1 + np.exp(-z))
+    grad = np.append(
+        np.bincount(word, weights=dz[sentence], minlength=len(w)) + PENALTY * w,
+        dz.sum() + (slope * plain).sum() / (1 + np.exp(-b)),
+    )
+    return float(loss), grad
+
+
 def train(toxic: np.ndarray, count: np.ndarray, sizes: list, words: list, features: int) -> tuple[np.ndarray, float]:
     """Weights and bias that fit the noisy-or of sentences to document labels, by Adam."""
     doc = np.repeat(np.arange(len(toxic)), [len(s) for s in sizes])
@@ -147,17 +168,7 @@ def train(toxic: np.ndarray, count: np.ndarray, sizes: list, words: list, featur
     state[-1] = -4.0
     first, second = np.zeros_like(state), np.zeros_like(state)
     for turn in range(1, ROUNDS + 1):
-        w, b = state[:-1], state[-1]
-        z = b + np.bincount(sentence, weights=w[word], minlength=len(flat))
-        rest = np.logaddexp(0.0, b)
-        total = np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=len(toxic)) + plain * rest
-        # The loss falls with the sum where the label is 1, and rises by one for one where it is 0.
-        slope = np.where(toxic == 1, -1 / np.expm1(np.maximum(total, 1e-6)), 1.0) * share
-        dz = slope[doc] / (1 + np.exp(-z))
-        grad = np.append(
-            np.bincount(word, weights=dz[sentence], minlength=features) + PENALTY * w,
-            dz.sum() + (slope * plain).sum() / (1 + np.exp(-b)),
-        )
+        _, grad = objective(state, toxic, doc, sentence, word, plain, share)
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         state -= 0.1 * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-8)

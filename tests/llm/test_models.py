@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -36,6 +37,50 @@ def test_language_counts_against_plain_ones():
     assert (langid.buckets(langid.codes("ab ab"))[[0, 1]] == langid.buckets(langid.codes("ab ab"))[[3, 4]]).all()
 
 
+def test_language_scores_are_plain_naive_bayes(spark, sample):
+    """Counts, smoothing and posteriors with dictionaries, over the same buckets."""
+    learn, sizes = {}, Counter()
+    for r in sample.collect():
+        if r["lang"] is not None and r["text"] is not None and not held_out(r["doc_id"], 4, 2):
+            own = learn.setdefault(r["lang"], Counter())
+            own.update(langid.buckets(langid.codes(r["text"])).tolist())
+    sizes = {lang: sum(own.values()) for lang, own in learn.items()}
+    langs, total = sorted(learn), sum(sizes.values())
+    found = {r["doc_id"]: r for r in langid.identified(sample).collect()}
+    for r in sample.collect():
+        text = r["text"] or ""
+        if not any(map(str.isalpha, text)):
+            assert (found[r["doc_id"]]["lang_pred"], found[r["doc_id"]]["score"]) == ("und", 0)
+            continue
+        grams = langid.buckets(langid.codes(text)).tolist()
+        logs = []
+        for lang in langs:
+            floor = np.log(sizes[lang] + langid.SMOOTHING * langid.BUCKETS)
+            seen = sum(np.float32(np.log(learn[lang][g] + langid.SMOOTHING) - floor) for g in grams)
+            logs.append(np.log(sizes[lang] / total) + float(seen) / 3)
+        odds = np.exp(np.array(logs) - max(logs))
+        assert found[r["doc_id"]]["lang_pred"] == langs[int(np.argmax(odds))]
+        assert found[r["doc_id"]]["score"] == pytest.approx(odds.max() / odds.sum(), abs=1e-6)
+
+
+def test_language_of_a_very_long_text(monkeypatch):
+    """Pieces give the counts of the whole, in a memory that does not grow with languages."""
+    text = "Straße İstanbul ΟΔΟΣ river " * 40_000
+    at, counts = langid.bucket_counts(text)
+    plain = np.bincount(langid.buckets(langid.codes(text)), minlength=langid.BUCKETS)
+    assert (plain[at] == counts).all() and counts.sum() == plain.sum()
+    for size in (1, 2, 3, langid._PIECE - 1, langid._PIECE, langid._PIECE + 1):
+        piece = langid.bucket_counts(text[:size])
+        assert piece[1].sum() == len(langid.buckets(langid.codes(text[:size])))
+    model = langid.Model([str(k) for k in range(100)], np.zeros((langid.BUCKETS, 100), np.float32), np.zeros(100))
+    long = "stone river amber " * 1_100_000
+    tracemalloc.start()
+    model.predict([long])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+
+
 def test_language_of_odd_tables(odd_docs):
     rows = langid.identified(odd_docs).collect()
     assert len(rows) == odd_docs.count()
@@ -64,6 +109,43 @@ def test_toxic_documents_and_sentences(spark):
 
 
 def test_toxicity_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(4)
+    toxic, doc = np.array([1, 0, 1, 0, 1]), np.array([0, 0, 1, 2, 3])
+    sentence, word = np.array([0, 0, 1, 2, 3, 4]), np.array([0, 1, 2, 1, 0, 2])
+    plain, share = np.array([3, 0, 2, 4, 1]), np.full(5, 0.2)
+    state = rng.normal(size=4) - 1
+    _, grad = toxicity.objective(state, toxic, doc, sentence, word, plain, share)
+    for k in range(4):
+        step = np.zeros(4)
+        step[k] = 1e-6
+        up, down = (toxicity.objective(state + s, toxic, doc, sentence, word, plain, share)[0] for s in (step, -step))
+        assert grad[k] == pytest.approx((up - down) / 2e-6, rel=1e-5, abs=1e-8)
+
+
+def plain_toxicity(model, text):
+    """The noisy-or of sentence probabilities, one by one."""
+    clean = 1.0
+    for part in re.findall(r"[^.!?\n]+", text or ""):
+        words = set(re.findall(r"[^\W_]+", part.lower()))
+        if not words:
+            continue
+        stems = {w[:n] + "*" for n in (4, 6) for w in words if len(w) > n}
+        z = model.bias + sum(x for w, x in model.weights.items() if w in words or w in stems)
+        clean *= 1 - 1 / (1 + np.exp(-z))
+    return 1 - clean
+
+
+def test_toxicity_scores_are_the_plain_noisy_or(spark, sample):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.fit(sample, labels)
+    found = {r["doc_id"]: r for r in toxicity.scored(sample, labels).collect()}
+    for r in sample.collect():
+        score = plain_toxicity(model, r["text"])
+        assert found[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-6)
+        assert found[r["doc_id"]]["predicted"] == (found[r["doc_id"]]["score"] >= 0.5)
+
+
+def test_toxicity_training_converges():
     # Trained weights beat any small step away from them.
     toxic = np.array([1, 0, 1, 0])
     sizes, words, count = [[1], [1], [2], []], [[0], [1], [0, 1], []], np.array([3, 2, 4, 5])

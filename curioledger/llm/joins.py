@@ -11,9 +11,12 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner")
     when it comes out of an aggregate on the key. That is the shape in which adaptive execution
     splits a hot key over many tasks, and in which it broadcasts a side it has seen to be small.
     """
-    side = side.withColumnRenamed(key, "_side_key")
-    joined = rows.join(side, F.col(key).eqNullSafe(F.col("_side_key")), how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop("_side_key")
+    other = "side_key"
+    while other in rows.columns or other in side.columns:
+        other += "_"
+    side = side.withColumnRenamed(key, other)
+    joined = rows.join(side, F.col(key).eqNullSafe(F.col(other)), how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(other)
 
 
 def dealt_by_key(keyed: DataFrame, item: str, block_rows: int) -> DataFrame:

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from ..plans.lineage import settle
 from .components import connected_components
 from .joins import dealt_by_key, spread_join
-from .similar import one_of_each  # noqa: F401
 
 SEED = 42
 SHINGLE_WORDS = 4

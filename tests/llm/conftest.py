@@ -6,6 +6,8 @@ import pytest
 CLASHING = (
     "key fp node u v root component_id blob found missing rules number block uses start size shard"
     " slot row sentences score words group tokens whole media page base proposed bucket hits0 digits"
+    " _sign _node _root _id _blob _found _key _mark _parts _copy _tokens _guess _v _side_key side_key"
+    " _shard _chunk _place copy salt turn clean guess own hash sign item numbers"
 ).split()
 
 WORDS = "stone river amber quiet lantern under seven market velvet orchard north copper".split()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from curioledger.llm import simhash
+from curioledger.llm import similar, simhash
 from curioledger.llm.components import connected_components
 
 
@@ -51,7 +51,7 @@ def test_odd_table(odd_docs):
     assert of[1]["component_id"] == of[2]["component_id"] == of[3]["component_id"] == 1
     assert of[5]["component_id"] == 4
     assert simhash.near_duplicates(odd_docs.limit(0)).count() == 0
-    kept = simhash.one_of_each(odd_docs)
+    kept = similar.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
     rows = kept.collect()
     assert sum(r["doc_id"] is None for r in rows) == 2

@@ -7,8 +7,10 @@ of the characters of its words.
 """
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +37,27 @@ PHRASES = re.compile(
     re.IGNORECASE,
 )
 SHORT_PHRASE_LINE = 30
+MANY_WORDS = 65_536
+
+
+def _repeated_of_many(words: list[bytes]) -> int:
+    """The same for a very long text, in a few machine words for each of its own."""
+    number = defaultdict(count().__next__)
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    # Pairs get numbers below that of the words, so a window's number fits as well.
+    _, pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)
+    _, windows, seen = np.unique(pairs[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
+    twice = seen[windows] > 1
+    covered = np.zeros(len(words), bool)
+    for place in range(3):
+        covered[place : place + len(twice)] |= twice
+    return int(covered.sum())
 
 
 def repeated(words: list[bytes]) -> int:
     """Words in three-word windows that come twice or more."""
+    if len(words) > MANY_WORDS:
+        return _repeated_of_many(words)
     windows = list(zip(words, words[1:], words[2:], strict=False))
     if len(set(windows)) == len(windows):
         return 0
@@ -129,9 +148,14 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns, with the lines that fail taken out."""
-    rows = docs.withColumn("_v", F.pandas_udf(_judged, _KINDS)(F.col("text")))
-    rows = rows.filter("_v.kept").withColumn("text", F.col("_v.clean_text")).drop("_v")
+    """The rows of ``docs`` that are kept, all columns, with the lines that fail taken out.
+
+    Null and empty texts go; repeated rows and null ids go or stay by their text; very long texts are
+    cleaned whole; n_chars is in step; an empty table stays empty.
+    """
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(whole, F.pandas_udf(_judged, _KINDS)(docs["text"]).alias("v")).filter("v.kept")
+    new = {"text": F.col("v.clean_text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows
+        new["n_chars"] = F.length("v.clean_text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -75,6 +75,9 @@ def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFra
     spark = rows.sparkSession
     path = scratch_path(spark, "unshuffled")
     rows = rows.drop("shard", "slot")
+    columns = rows.columns
+    # The table's columns travel as one, so none of theirs can clash with ours.
+    rows = rows.select(F.struct(*[rows[c] for c in columns]).alias("row"))
     rows.write.parquet(path)
     stored = spark.read.schema(rows.schema).parquet(path)
     counted = stored.groupBy(F.spark_partition_id().alias("part")).count().collect()
@@ -95,7 +98,8 @@ def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFra
     placed = dealt.withColumn("_place", F.row_number().over(inside))
     same = (F.col("_shard") == F.col("_s")) & (F.col("_chunk") == F.col("_c"))
     slot = (F.col("_first") + F.col("_place") - 1).cast("long")
-    return placed.join(bases, same).select(*rows.columns, F.col("_shard").alias("shard"), slot.alias("slot"))
+    own = [F.col("row").getField(c).alias(c) for c in columns]
+    return placed.join(bases, same).select(*own, F.col("_shard").alias("shard"), slot.alias("slot"))
 
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

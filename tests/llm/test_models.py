@@ -190,6 +190,16 @@ def test_quality_counts(spark, sample, odd_docs):
     assert quality.verdicts(odd_docs.limit(0)).count() == 0
 
 
+def test_quality_repeats_of_very_long_texts(monkeypatch):
+    """Numbers in place of words give the same count."""
+    rng = np.random.default_rng(8)
+    texts = [[b"w%d" % k for k in rng.integers(0, top, n)] for top, n in ((3, 40), (12, 300), (40, 2000), (9, 4), (2, 3))]
+    for words in texts:
+        plain = quality.repeated(words)
+        assert quality._repeated_of_many(words) == plain
+        assert plain_counts(b" ".join(words).decode())[4] == plain
+
+
 def test_quality_lines(spark):
     good = "\n".join("The " + " ".join(f"{w}{k}" for w in "house on a quiet hill by some road".split()) + "." for k in range(12))
     menu = "Home | About | Contact | Help | Shop | News"

@@ -1,11 +1,21 @@
 """Stored tables: full scans, versioned writes and the snapshot table."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, StructField, StructType, TimestampNTZType
 
-from ..operators.snapshots import IDENTITY_KEY, identity_key
+from ..operators.snapshots import IDENTITY_KEY, identity_key, total_value_by_snapshot
+from ..plans.joins import lookup_join
 from ..schemas import TABLES
 
 
+# The totals kept beside snapshots; money sums are as wide as Spark makes them.
+TOTALS = StructType(
+    [StructField("total_value", DecimalType(33, 2)), StructField("snapshot_ts", TimestampNTZType())]
+)
+
+
 def scan_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Full scan of ``catalog_sets``, ``holdings`` or ``holding_snapshots`` below ``root``."""
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
@@ -46,6 +56,40 @@ def append_snapshot(rows: DataFrame, root: str) -> None:
     stamped.parquet(f"{root}/holding_snapshots")
 
 
+def stored_totals(spark: SparkSession, root: str) -> DataFrame:
+    """The totals kept beside the snapshots below ``root``; none before the first refresh."""
+    try:
+        return spark.read.schema(TOTALS).parquet(f"{root}/snapshot_totals")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], TOTALS)
+
+
+def refresh_totals(snapshots: DataFrame, root: str) -> DataFrame:
+    """Value of every snapshot, oldest first, as ``total_value_by_snapshot`` has it, by totals kept.
+
+    A stored snapshot never changes, so its total is computed once: only the partitions of
+    snapshots that have none yet are read. Totals are put in place by snapshot, so a refresh that is
+    run again leaves one of each; those of deleted snapshots stay in store and out of the result.
+    """
+    spark = snapshots.sparkSession
+    held = snapshots.select("snapshot_ts").distinct()
+    known = stored_totals(spark, root)
+    fresh = lookup_join(held, known.select("snapshot_ts"), "snapshot_ts", "snapshot_ts", "left_anti")
+    new = [r["snapshot_ts"] for r in fresh.collect()]
+    if new:
+        # As literals the seconds prune partitions; what is new is a few snapshots, or all of them.
+        some = snapshots if known.isEmpty() else snapshots.filter(F.col("snapshot_ts").isin(new))
+        totals = total_value_by_snapshot(some).select("total_value", "snapshot_ts")
+        totals = totals.to(TOTALS).coalesce(1).write.mode("overwrite")
+        totals = totals.option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_ts")
+        totals.parquet(f"{root}/snapshot_totals")
+    every = stored_totals(spark, root)
+    kept = lookup_join(every, held, "snapshot_ts", "snapshot_ts", "left_semi", unique=True)
+    return kept.select("snapshot_ts", "total_value").orderBy("snapshot_ts")
+
+
 def _declare_buckets(spark: SparkSession, root: str, table: str, buckets: int) -> DataFrame:
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in TABLES["holding_snapshots"]]
     columns.append(f"`{IDENTITY_KEY}` string")

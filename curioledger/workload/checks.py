@@ -416,6 +416,9 @@ _CHECKS = {
         from holdings, (values (timestamp '{AT}', 0), (timestamp '{FROM}:00', 1),
           (timestamp '{AT[:-2]}01', 2)) as taken(snapshot_ts, generation)
         group by snapshot_ts, generation""",
+    "refresh_totals": """
+        select snapshot_ts, cast(sum(coalesce(price, 0) * quantity) as double) as total_value
+        from snapshots group by snapshot_ts""",
     "price_movers_bucketed": _tagged(
         ("gainer", _mover_out("gainer", 10)), ("loser", _mover_out("loser", 10))
     ),
@@ -708,6 +711,13 @@ _CHECKS = {
         ("sets", f"select * exclude (feed_seq), {_AFTER} from sets_feed"),
         ("broken", """select '{"data":[{"code":' || chr(10) as text"""),
     ),
+    "land_card_feed": _tagged(
+        ("cards", "select * exclude (feed_seq) from cards_feed"),
+        ("broken", _CUT_SHORT),
+        ("counts", f"""
+            select (select count(*) from cards_feed) as record_count,
+              (select count(*) from ({_CUT_SHORT})) as broken_count"""),
+    ),
     "read_card_feed": _tagged(
         ("cards", "select * exclude (feed_seq) from cards_feed"), ("broken", _CUT_SHORT)
     ),

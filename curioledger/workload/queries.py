@@ -220,6 +220,21 @@ def append_snapshot_again(v: Views):
     )
 
 
+@query
+def refresh_totals(v: Views):
+    """Totals kept beside the stored snapshots, refreshed after every append."""
+    root = scratch_path(v.spark, "ledger")
+    tables.write_table(v.snapshots().filter(F.col("snapshot_ts") < _ts(FROM)), root, "holding_snapshots")
+    tables.refresh_totals(tables.scan_table(v.spark, root, "holding_snapshots"), root)
+    later = v.snapshots().filter(F.col("snapshot_ts") >= _ts(FROM))
+    tables.append_snapshot(later, root)
+    return tables.refresh_totals(tables.scan_table(v.spark, root, "holding_snapshots"), root)
+
+
+def _ts(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
 @query
 def price_movers_bucketed(v: Views):
     """The movers of all snapshots stored in buckets by card identity."""
@@ -787,17 +802,33 @@ def read_sets_files(v: Views):
     return _tagged("part", sets=_places(rows).drop("feed_seq"), broken=_text_only(broken))
 
 
-@query
-def read_card_feed(v: Views):
-    path = _landed(v, v.cards_feed().drop("feed_seq"), "cards-feed")
-    cards, broken = feeds.read_card_feed(v.spark, path)
-    flat = cards.select(
+def _flat_cards(cards: DataFrame) -> DataFrame:
+    return cards.select(
         "name", "set", "collector_number", "type_line", "prices.usd", "prices.usd_foil", "layout",
         F.col("image_uris.png").alias("png"),
         F.get("card_faces", F.lit(0))["image_uris"]["png"].alias("front_png"),
         F.get("card_faces", F.lit(1))["image_uris"]["png"].alias("back_png"),
     )
-    return _tagged("part", cards=flat, broken=_text_only(broken))
+
+
+@query
+def read_card_feed(v: Views):
+    path = _landed(v, v.cards_feed().drop("feed_seq"), "cards-feed")
+    cards, broken = feeds.read_card_feed(v.spark, path)
+    return _tagged("part", cards=_flat_cards(cards), broken=_text_only(broken))
+
+
+@query
+def land_card_feed(v: Views):
+    """Cards and broken lines out of one scan, with the numbers that it observed."""
+    path = _landed(v, v.cards_feed().drop("feed_seq"), "cards-feed")
+    landed = feeds.land_card_feed(v.spark, path, scratch_path(v.spark, "landed"))
+    counts = v.spark.createDataFrame(
+        [(landed.record_count, landed.broken_count)], "record_count long, broken_count long"
+    )
+    return _tagged(
+        "part", cards=_flat_cards(landed.records), broken=_text_only(landed.broken), counts=counts
+    )
 
 
 @query

@@ -94,3 +94,30 @@ def test_grid_from_csv(spark, folder):
     assert rows_of(grid, "sheet", "row_no", "b", "c") == [
         ("S", 3, "Card", "Set"), ("S", 4, "Kite", None)
     ]
+
+
+def test_landing_parses_a_feed_once(spark, folder):
+    cards = [{"name": f"Moth {k}", "set": "grv", "collector_number": str(k)} for k in range(40)]
+    path = put(folder, "c.json", *cards[:20], '{"name": "Moth', *cards[20:], "no json at all")
+    landed = feeds.land_card_feed(spark, path, f"{folder}/landed")
+    found, broken = feeds.read_card_feed(spark, path)
+    assert (landed.record_count, landed.broken_count) == (40, 2)
+    assert column(landed.records.orderBy("feed_seq"), "name") == column(found.orderBy("feed_seq"), "name")
+    assert sorted(column(landed.broken, "text")) == sorted(column(broken, "text"))
+    assert landed.records.columns == found.columns
+    # What is read later is the stored parts, not the feed.
+    for part, wanted in ((landed.records, "false"), (landed.broken, "true")):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "json" not in plan.lower().replace("feeds", "") and "PartitionFilters" in plan
+    clean = feeds.land_card_feed(spark, put(folder, "d.json", *cards[:3]), f"{folder}/clean")
+    assert (clean.record_count, clean.broken_count, clean.broken.count()) == (3, 0, 0)
+
+
+def test_landing_sets_and_replies(spark, folder):
+    sets = put(folder, "s.json", {"data": [HARBOUR, GROVE]}, {"object": "list"}, '{"data": [')
+    landed = feeds.land_sets_feed(spark, sets, f"{folder}/sets", multi_line=False)
+    assert sorted(column(landed.records, "code")) == ["grv", "hrb"]
+    assert (landed.record_count, landed.broken_count) == (2, 1)
+    reply = {"data": [{"name": "Moth", "set": "grv"}], "not_found": [{"name": "Auk", "set": "grv"}]}
+    cards, missing = feeds.land_batch_replies(spark, put(folder, "r.json", reply, reply), f"{folder}/replies")
+    assert column(cards.records, "name") == ["Moth", "Moth"] and column(missing, "name") == ["Auk", "Auk"]

@@ -300,3 +300,35 @@ def test_movers_over_buckets_need_no_shuffle(make, spark, folder):
     # A session that knows nothing of the table finds it by its files.
     spark.sql(f"drop table {table}")
     assert tables.bucketed_snapshots(spark, folder, table, 4).count() == 120
+
+
+def test_totals_are_kept_and_only_new_partitions_read(make, spark, folder, monkeypatch):
+    rows = [
+        {"id": k, "snapshot_ts": t, "price": p and money(p), "quantity": q}
+        for k, (t, p, q) in enumerate(((T1, "1.50", 2), (T1, None, 9), (T2, "4.00", 1)))
+    ]
+    scanned = []
+
+    def watched(snapshots, *bounds):
+        scanned.append(sorted({r["snapshot_ts"] for r in snapshots.select("snapshot_ts").collect()}))
+        plan = snapshots._jdf.queryExecution().executedPlan().toString()
+        scanned.append("snapshot_ts" in plan.partition("PartitionFilters: [")[2].partition("]")[0])
+        return S.total_value_by_snapshot(snapshots, *bounds)
+
+    monkeypatch.setattr(tables, "total_value_by_snapshot", watched)
+    tables.append_snapshot(make.snapshots(*rows), folder)
+    stored = tables.scan_table(spark, folder, "holding_snapshots")
+    first = rows_of(tables.refresh_totals(stored, folder), "snapshot_ts", "total_value")
+    assert first == [(T1, Decimal("3.00")), (T2, Decimal("4.00"))] and scanned == [[T1, T2], False]
+    assert rows_of(tables.refresh_totals(stored, folder), "snapshot_ts", "total_value") == first
+    assert len(scanned) == 2
+    tables.append_snapshot(make.snapshots({"id": 9, "snapshot_ts": T3, "price": money("2.00")}), folder)
+    stored = tables.scan_table(spark, folder, "holding_snapshots")
+    totals = tables.refresh_totals(stored, folder)
+    assert column(totals, "total_value") == [Decimal("3.00"), Decimal("4.00"), Decimal("2.00")]
+    # The second refresh after an append reads the one partition that is new.
+    assert scanned[2:] == [[T3], True]
+    kept, _ = S.delete_snapshot(stored, T2)
+    assert column(tables.refresh_totals(kept, folder), "snapshot_ts") == [T1, T3]
+    exact = rows_of(S.total_value_by_snapshot(kept), "snapshot_ts", "total_value")
+    assert rows_of(tables.refresh_totals(kept, folder), "snapshot_ts", "total_value") == exact

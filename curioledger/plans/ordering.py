@@ -9,6 +9,10 @@ from .lineage import settle
 # Up to this many rows a single task may hold and sort the head of a table.
 HEAD_ROWS = 100_000
 
+# Rows that give the bounds of a histogram, and the ranges they cut a table into.
+PROBE_ROWS = 1024
+RANGES = 64
+
 _ROW_BITS = (1 << 33) - 1
 
 
@@ -87,3 +91,69 @@ def rows_between(
     numbered = with_ordinal(df, order, "_ordinal", keep)
     inside = (F.col("_ordinal") > start) & (F.col("_ordinal") <= start + count)
     return numbered.filter(inside).orderBy("_ordinal").drop("_ordinal")
+
+
+def _at_or_after(df: DataFrame, key: str, desc: bool, tie: str, tie_desc: bool, row) -> Column:
+    """Whether a row of the table stands at or behind a given one; nulls last, first if ``desc``."""
+    own, at = F.col(key), F.lit(row[key]).cast(df.schema[key].dataType)
+    last = F.lit(row[tie]).cast(df.schema[tie].dataType)
+    level = F.col(tie) <= last if tie_desc else F.col(tie) >= last
+    if desc:
+        behind = own.isNotNull() if row[key] is None else own < at
+    else:
+        behind = F.lit(False) if row[key] is None else own.isNull() | (own > at)
+    same = own.isNull() if row[key] is None else own == at
+    return F.coalesce(behind, F.lit(False)) | (F.coalesce(same, F.lit(False)) & level)
+
+
+def _bucket(tests: list[Column], low: int, high: int) -> Column:
+    """How many of the bounds a row stands behind, by halving; ``tests`` are rising."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(tests[middle], _bucket(tests, middle + 1, high)).otherwise(_bucket(tests, low, middle))
+
+
+def rows_of_range(
+    df: DataFrame,
+    key: str,
+    tie: str,
+    start: int,
+    count: int,
+    total: int,
+    desc: bool = False,
+    tie_desc: bool = False,
+    keep: list[str] | None = None,
+    head_rows: int | None = None,
+) -> DataFrame:
+    """``count`` rows after skipping ``start`` of ``total`` by key, then tie, without sorting the rest.
+
+    A histogram of the key, over the bounds that a fixed number of rows gives, tells which range
+    holds the page; the range is cut down in the same way until one task may sort it. Every round
+    reads the two columns once and shuffles only counts. ``tie`` is unique and not null.
+    """
+    keep = df.columns if keep is None else keep
+    head_rows = HEAD_ROWS if head_rows is None else head_rows
+    first = F.col(key).desc_nulls_first() if desc else F.col(key).asc_nulls_last()
+    order = [first, F.col(tie).desc() if tie_desc else F.col(tie).asc()]
+    left, skipped, size = df, 0, total
+    while size > max(head_rows, count):
+        narrow = left.select(key, tie)
+        drawn = narrow.orderBy(F.xxhash64(key, tie)).limit(PROBE_ROWS).orderBy(*order).collect()
+        step = max(1, len(drawn) // RANGES)
+        tests = [_at_or_after(df, key, desc, tie, tie_desc, row) for row in drawn[step // 2 :: step]]
+        bucket = _bucket(tests, 0, len(tests))
+        held = {r["bucket"]: r["rows"] for r in narrow.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("rows")).collect()}
+        before, low, high, inside = skipped, None, None, 0
+        for number in sorted(held):
+            if before < start + count and before + held[number] > start:
+                if low is None:
+                    low, skipped = number, before
+                high, inside = number, inside + held[number]
+            before += held[number]
+        if low is None or inside >= size:
+            break
+        left, size = left.filter(bucket.between(low, high)), inside
+    if size > max(head_rows, count):
+        return rows_between(left, order, start - skipped, count, keep, head_rows)
+    return left.orderBy(*order).offset(start - skipped).limit(count).select(*keep)

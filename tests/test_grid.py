@@ -93,3 +93,30 @@ def test_numbering_is_complete_with_a_hot_key(spark):
 
     expected = sorted(numbered, key=cmp_to_key(compare))
     assert [r.ordinal for r in expected] == list(range(1, 30001))
+
+
+@pytest.mark.parametrize("desc", [False, True])
+@pytest.mark.parametrize("key", ["number", "text", "hot"])
+def test_middle_pages_sort_their_range_alone(spark, monkeypatch, key, desc):
+    """Nulls, ties, texts and a hot key; whatever range the page falls into."""
+    monkeypatch.setattr(ordering, "PROBE_ROWS", 40)
+    monkeypatch.setattr(ordering, "RANGES", 8)
+    rows = spark.range(3000, numPartitions=5).select(
+        "id",
+        F.when(F.col("id") % 7 == 0, None).otherwise((F.col("id") * 7919) % 1009).alias("number"),
+        F.when(F.col("id") % 11 == 0, None).otherwise(F.concat(F.lit("Ärt "), (F.col("id") * 31 % 500).cast("string"))).alias("text"),
+        F.when(F.col("id") % 3 > 0, 5).otherwise(F.col("id") % 11).alias("hot"),
+    )
+    whole = column(G.sort_grid(rows, key, desc), "id")
+    for page in (1, 9, 15, 16, 28, 30):
+        found = G.paginate(rows, key, page, 100, desc, head_rows=120)
+        assert (found.total, found.page_count) == (3000, 30)
+        assert column(found.rows, "id") == whole[100 * (page - 1) : 100 * page], page
+
+
+def test_a_middle_page_is_found_without_a_sort_of_the_rest(spark):
+    rows = spark.range(50_000, numPartitions=4).withColumn("k", F.col("id") * 7919 % 50_021)
+    page = G.paginate(rows, "k", 200, 100, head_rows=2000).rows
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "TakeOrderedAndProject" in plan and "settled" not in plan
+    assert column(page, "k") == column(rows.orderBy("k").offset(19_900).limit(100), "k")

@@ -239,12 +239,13 @@ def _slots(recipe: list[tuple[int, int, int]], spark: SparkSession) -> DataFrame
     ends = F.col("first") + F.col("n")
     starts = F.explode(F.sequence(F.col("first"), ends - 1, F.lit(RANGE_SLOTS).cast("long")))
     cut = ranged.select("number", "shard", starts.alias("low"), ends.alias("end"))
+    # One row per source, of which there are at most MOST_SOURCES; what the slots become is large.
+    table = F.broadcast(spark.createDataFrame([r[:2] for r in recipe], "own long, blocks long"))
+    cut = cut.join(table, F.col("number") == F.col("own")).drop("own")
     cut = cut.repartition(-(-(waves[-1][0] + waves[-1][1]) // TASK_SLOTS), "number", "low")
     high = F.least(F.col("low") + RANGE_SLOTS, F.col("end"))
     index = F.explode(F.sequence(F.col("low"), high - 1)).alias("index")
-    each = cut.select("number", "shard", index)
-    table = spark.createDataFrame([r[:2] for r in recipe], "own long, blocks long")
-    each = each.join(table, F.col("number") == F.col("own"))
+    each = cut.select("number", "shard", "blocks", index)
     # Beyond the third pass a source has nothing left to give.
     each = each.filter(F.col("index") < MOST_PASSES * F.col("blocks"))
     turn = F.floor(F.col("index") / F.col("blocks"))
@@ -280,7 +281,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     to = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
     pieces = pieces.withColumn("words", to - from_)
     same = (F.col("number") == F.col("_number")) & (F.col("block") == F.col("_block"))
-    joined = pieces.join(uses, same, "left").drop("_number", "_block")
+    # Both sides are large, however small the table of counts is that the uses are drawn out of.
+    joined = pieces.join(uses.hint("merge"), same, "left").drop("_number", "_block")
     return joined.withColumn("uses", F.coalesce("uses", F.lit(0))), sized, sources
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import collation_key
-from ..plans.ordering import HEAD_ROWS, rows_between, rows_of_range
+from ..plans.ordering import HEAD_ROWS, RANGED_ROWS, rows_between, rows_of_range
 
 PAGE_SIZES = (25, 50, 100, 200)
 SORT_KEY = "_sort_key"
@@ -82,12 +82,14 @@ def paginate(
     tie: str = "id",
     key_expr: Column | None = None,
     head_rows: int = HEAD_ROWS,
+    ranged_rows: int = RANGED_ROWS,
 ) -> Page:
     """One page of a sorted table; a page past the end shows the last one.
 
     A page of the back half is the head of the reverse order, turned round. Up to ``head_rows``
-    rows before it are held by one task; beyond that the range that holds the page is found by
-    histograms of the key, and it alone is sorted.
+    rows before it are held by one task. Beyond that all rows are numbered; of a table with more
+    than ``ranged_rows`` rows, which reads faster than it sorts, the range that holds the page is
+    found by histograms of the key, and it alone is sorted.
     """
     if size not in PAGE_SIZES:
         raise ValueError(f"page size must be one of {PAGE_SIZES}, got {size}")
@@ -98,9 +100,10 @@ def paginate(
     start = (current - 1) * size
     held = min(size, total - start)
     after = total - start - held
-    if min(start, after) + held > head_rows:
+    deep = min(start, after) + held > head_rows
+    if deep and total > ranged_rows:
         rows = rows_of_range(keyed, SORT_KEY, tie, start, held, total, desc, False, df.columns, head_rows)
-    elif after >= start:
+    elif deep or after >= start:
         rows = rows_between(keyed, order, start, size, df.columns, head_rows)
     else:
         keyed, back = sort_order(df, key, not desc, tie, key_expr, tie_desc=True)

@@ -11,7 +11,10 @@ HEAD_ROWS = 100_000
 
 # Rows that give the bounds of a histogram, and the ranges they cut a table into.
 PROBE_ROWS = 1024
-RANGES = 64
+RANGES = 16
+
+# Beyond this many rows a few passes over two columns cost less than sorting the table.
+RANGED_ROWS = 10_000_000
 
 _ROW_BITS = (1 << 33) - 1
 
@@ -153,7 +156,10 @@ def rows_of_range(
             before += held[number]
         if low is None or inside >= size:
             break
-        left, size = left.filter(bucket.between(low, high)), inside
+        # Two bounds fence the range; the others were for counting.
+        left = left.filter(tests[low - 1]) if low else left
+        left = left.filter(~tests[high]) if high < len(tests) else left
+        size = inside
     if size > max(head_rows, count):
         return rows_between(left, order, start - skipped, count, keep, head_rows)
     return left.orderBy(*order).offset(start - skipped).limit(count).select(*keep)

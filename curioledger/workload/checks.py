@@ -411,7 +411,7 @@ _CHECKS = {
     "append_snapshot_again": f"""
         select snapshot_ts, count(*) as rows, count(*) as ids,
           generation * count(*) + 1 as first_id, (generation + 1) * count(*) as last_id,
-          cast(sum(id) as double) as sources,
+          cast(sum(id % 1000003) as bigint) as sources,
           cast(sum(coalesce(price, 0) * quantity) as double) as total_value
         from holdings, (values (timestamp '{AT}', 0), (timestamp '{FROM}:00', 1),
           (timestamp '{AT[:-2]}01', 2)) as taken(snapshot_ts, generation)
@@ -582,6 +582,7 @@ _CHECKS = {
           from holdings h left join known_sets s on h.set_code = s.set_code)""",
     "paginate": _page(2 * PAGE_SIZE),
     "paginate_numbered": _page(2 * PAGE_SIZE),
+    "paginate_ranged": _page(2 * PAGE_SIZE),
     "paginate_past_end": _page(f"(page_count - 1) * {PAGE_SIZE}"),
     "exists_key": "select id, id in (select id from holdings) as exists from keys",
     "delete_rows": _tagged(

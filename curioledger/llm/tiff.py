@@ -10,6 +10,7 @@ with or without a predictor, so each of them is written and read at every size.
 """
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -52,22 +53,24 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+# Three to 128 equal bytes.
+_RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def pack_bits(data: bytes) -> bytes:
-    out, at = bytearray(), 0
-    while at < len(data):
-        run = 1
-        while run < 128 and at + run < len(data) and data[at + run] == data[at]:
-            run += 1
-        if run > 2:
-            out += bytes([257 - run, data[at]])
-            at += run
-            continue
-        end = at + 1
-        while end < len(data) and end - at < 128 and data[end : end + 3] != data[end : end + 1] * 3:
-            end += 1
-        out += bytes([end - at - 1]) + data[at:end]
-        at = end
-    return bytes(out)
+    out, at = [], 0
+
+    def plain(start: int, end: int) -> None:
+        for k in range(start, end, 128):
+            part = data[k : min(k + 128, end)]
+            out.append(bytes([len(part) - 1]) + part)
+
+    for run in _RUN.finditer(data):
+        plain(at, run.start())
+        out.append(bytes([257 - len(run[0]), data[run.start()]]))
+        at = run.end()
+    plain(at, len(data))
+    return b"".join(out)
 
 
 _CLEAR, _END = 256, 257
@@ -108,27 +111,31 @@ def lzw_decode(data: bytes) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
+    """Strings are known by the code of all but their last byte, and that byte."""
     held, bits, width = _CLEAR, 9, 9
-    table = {bytes([b]): b for b in range(256)}
-    following = 258
-    prefix = b""
-    for k in range(len(data)):
-        longer = prefix + data[k : k + 1]
-        if longer in table:
-            prefix = longer
+    table: dict[int, int] = {}
+    following, prefix = 258, -1
+    for byte in data:
+        if prefix < 0:
+            prefix = byte
+            continue
+        longer = prefix << 8 | byte
+        code = table.get(longer)
+        if code is not None:
+            prefix = code
             continue
-        held, bits = held << width | table[prefix], bits + width
+        held, bits = held << width | prefix, bits + width
         table[longer] = following
         following += 1
         if following + 1 > 1 << width and width < 12:
             width += 1
         if following == 4094:
             held, bits = held << width | _CLEAR, bits + width
-            table = {bytes([b]): b for b in range(256)}
+            table = {}
             following, width = 258, 9
-        prefix = data[k : k + 1]
-    if prefix:
-        held, bits = held << width | table[prefix], bits + width
+        prefix = byte
+    if prefix >= 0:
+        held, bits = held << width | prefix, bits + width
         following += 1
         if following + 1 > 1 << width and width < 12:
             width += 1
@@ -253,8 +260,10 @@ def write_pages(pages: list[np.ndarray], compression: int, predictor: bool = Fal
         for y in range(0, height, deep):
             for x in range(0, width, wide):
                 part = page[y : y + deep, x : x + wide]
-                if tiled:
-                    part = np.pad(part, ((0, deep - part.shape[0]), (0, wide - part.shape[1]), (0, 0)))
+                if tiled and part.shape[:2] != (deep, wide):
+                    tile = np.zeros((deep, wide, samples), page.dtype)
+                    tile[: part.shape[0], : part.shape[1]] = part
+                    part = tile
                 if predictor:
                     part = np.diff(part, axis=1, prepend=part[:, :1] * 0)
                 raw = ENCODERS[compression](part.astype(kind).tobytes())

@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, the one with the smallest id.
 
-    Near are texts that share 0.8 or more of their shingles of five words; op2_simhash has a rule of
-    its own.
+    Near are texts that share 0.8 or more of their shingles of five words. They meet by SimHash, as in
+    op2_simhash, and by MinHash what its few bits leave apart; both are checked by the shingles.
     """
     return similar.one_of_each(docs)
 

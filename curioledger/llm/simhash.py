@@ -44,7 +44,11 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(found) - words + 1]
         spans = zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)
         digests = b"".join([xxhash.xxh64_digest(line[a:b], SEED) for a, b in spans])
-    hashes = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(digests, np.uint8).reshape(-1, 8))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit number of the bits that over half of the hashes have, rows of eight bytes each."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BATCH_ROWS):
         counts += np.unpackbits(hashes[at : at + BATCH_ROWS], axis=1).sum(axis=0, dtype=np.int64)
@@ -205,6 +209,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS)
     return dealt.mapInPandas(_linker(radius), "u long, v long")
 
 
+def linked_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(fp, root)`` of the distinct ``fps(fp)`` that link to another; root is the smallest reachable."""
+    labels = connected_components(links(fps.select(F.col("fp").alias("node"), "fp"), radius))
+    return labels.withColumnRenamed("node", "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row of ``docs(doc_id, text)``.
 
@@ -216,8 +226,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     marked = settle(fingerprints(docs))
     nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = connected_components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
-    rooted = spread_join(nodes, labels.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = spread_join(nodes, linked_fingerprints(nodes, radius), "fp", "left")
     rooted = settle(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     roots = spread_join(rooted.select("fp", "root"), least, "root").select("fp", "component_id")

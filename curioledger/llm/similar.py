@@ -1,8 +1,10 @@
 """Near duplicates by the similarity of their word shingles.
 
 The similarity of two texts is the Jaccard index of their sets of shingles. Equal sets are one node.
-Nodes meet under bands of minima (MinHash), and no link rests on that alone: their sets are
-intersected. ``BANDS`` bands of ``BAND_MINIMA`` minima let a pair of similarity s miss all of them
+Nodes meet by their SimHash first: those whose fingerprints connect (``simhash``, over these shingles)
+are compared with the first of their group. What fingerprints leave apart, as few of 64 bits cannot
+tell a similarity near 0.8, meets under bands of minima (MinHash). No link rests on either alone:
+the sets are intersected. ``BANDS`` bands of ``BAND_MINIMA`` minima let a pair of similarity s miss all of them
 with chance ``(1 - s ** BAND_MINIMA) ** BANDS``: 3.2 in a million at 0.8, less above.
 
 The nodes of a band meet in the tasks of its key, and what comes out of a task is a tree, not its
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import settle
 from .components import connected_components
 from .joins import spread_join
+from .simhash import linked_fingerprints, majority
 
 SEED = 42
 SHINGLE_WORDS = 5
@@ -43,7 +46,7 @@ _drawn = np.random.default_rng(SEED)
 _FACTORS = _drawn.integers(0, 1 << 64, BANDS * BAND_MINIMA, np.uint64) | np.uint64(1)
 _TERMS = _drawn.integers(0, 1 << 64, BANDS * BAND_MINIMA, np.uint64)
 
-SIGN = "node long, size long, bands array<long>, mark array<long>"
+SIGN = "node long, size long, bands array<long>, mark array<long>, fp long"
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
@@ -60,11 +63,11 @@ def shingles(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in spans], np.uint64))
 
 
-def _sign(hashes: np.ndarray) -> tuple[int, int, list[int], list[int]]:
-    """Node, size, bands and mark of a set; an empty set has no band."""
+def _sign(hashes: np.ndarray) -> tuple[int, int, list[int], list[int], int]:
+    """Node, size, bands, mark and fingerprint of a set; an empty set has no band."""
     node = np.array([xxhash.xxh64_intdigest(hashes.tobytes(), SEED)], np.uint64).view(np.int64)[0]
     if not len(hashes):
-        return int(node), 0, [], [0] * MARK_WORDS
+        return int(node), 0, [], [0] * MARK_WORDS, 0
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), CHUNK):
         turned = hashes[at : at + CHUNK, None] * _FACTORS + _TERMS
@@ -74,13 +77,14 @@ def _sign(hashes: np.ndarray) -> tuple[int, int, list[int], list[int]]:
     ]
     odd = np.bincount((hashes >> np.uint64(7)).astype(np.int64) % (64 * MARK_WORDS), minlength=64 * MARK_WORDS) & 1
     mark = np.packbits(odd.astype(np.uint8)).view(np.int64)
-    return int(node), len(hashes), np.array(bands, np.uint64).view(np.int64).tolist(), mark.tolist()
+    fp = majority(hashes.astype(">u8").view(np.uint8).reshape(-1, 8))
+    return int(node), len(hashes), np.array(bands, np.uint64).view(np.int64).tolist(), mark.tolist(), fp
 
 
 def _signed(words: int):
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = [_sign(shingles(t, words)) for t in texts]
-        return pd.DataFrame(rows, columns=["node", "size", "bands", "mark"])
+        return pd.DataFrame(rows, columns=["node", "size", "bands", "mark", "fp"])
 
     return F.pandas_udf(run, SIGN)
 
@@ -92,6 +96,43 @@ def _sets(words: int):
     return F.pandas_udf(run, "binary")
 
 
+def _similar(least: float):
+    def run(ones: pd.Series, others: pd.Series) -> pd.Series:
+        found = []
+        for one, other in zip(ones, others, strict=True):
+            a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            found.append(shared / (len(a) + len(b) - shared) >= least)
+        return pd.Series(found, dtype=bool)
+
+    return F.pandas_udf(run, "boolean")
+
+
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """``(u, v)``: every node with the first one of those its fingerprint is connected to."""
+    held = nodes.filter(F.col("size") > 0).select("node", "fp")
+    groups = spread_join(held, linked_fingerprints(held.select("fp").distinct()), "fp", "left")
+    groups = settle(groups.select("node", F.coalesce("root", "fp").alias("group")))
+    first = groups.groupBy("group").agg(F.min("node").alias("v"), F.count("*").alias("rows"))
+    first = first.filter(F.col("rows") > 1).select("group", "v")
+    pairs = spread_join(groups, first, "group").filter(F.col("node") != F.col("v"))
+    return settle(pairs.select(F.col("node").alias("u"), "v"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(u, v)`` whose sets are similar."""
+    full = spread_join(pairs, sets.select(F.col("node").alias("u"), F.col("set").alias("one")), "u")
+    full = spread_join(full, sets.select(F.col("node").alias("v"), F.col("set").alias("other")), "v")
+    return settle(full.filter(_similar(least)("one", "other")).select("u", "v"))
+
+
+def _with_roots(rooted: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rooted(node, root)`` after edges between roots."""
+    tops = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rooted = spread_join(rooted, tops, "root", "left")
+    return settle(rooted.select("node", F.coalesce("top", "root").alias("root")))
+
+
 def _dealt(keyed: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
     """``keyed(key, node, root, size, ..)`` with its tasks ``(key, a, b)``, shuffled and sorted by them.
 
@@ -217,17 +258,19 @@ def similar_groups(
     block_rows: int = BLOCK_ROWS,
     block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
-    """``(node, root)`` of the nodes of ``signed`` that share a band with another node.
+    """``(node, root)`` of the nodes of ``signed`` that meet another by fingerprint or band.
 
     ``signed`` has ``doc_id, hash, sign``; ``texts`` has ``doc_id, hash, text``, of which one text is
     read for each such node. Roots are nodes; all nodes that are connected by links have one root.
     """
     nodes = signed.select("sign.*").groupBy("node")
-    nodes = settle(nodes.agg(*[F.first(c).alias(c) for c in ("size", "bands", "mark")]))
+    nodes = settle(nodes.agg(*[F.first(c).alias(c) for c in ("size", "bands", "mark", "fp")]))
+    pairs = _fingerprint_pairs(nodes)
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > 1).select("key")
     keyed = settle(spread_join(keyed, shared, "key", "left_semi"))
-    wanted = settle(keyed.select("node").distinct())
+    met = pairs.select(F.explode(F.array("u", "v")).alias("node"))
+    wanted = settle(keyed.select("node").union(met).distinct())
 
     one = F.min(F.struct("doc_id", "hash")).alias("one")
     held = signed.select(F.col("sign.node").alias("node"), "doc_id", "hash")
@@ -239,14 +282,12 @@ def similar_groups(
     sets = settle(chosen).dropDuplicates(["node"])
 
     facts = settle(spread_join(nodes.select("node", "size", "mark"), wanted, "node", "left_semi"))
-    rooted = wanted.withColumn("root", F.col("node"))
+    rooted = _with_roots(wanted.withColumn("root", F.col("node")), _verified(pairs, sets, least))
     for low, high in ROUNDS:
         band = keyed.filter((F.col("band") >= low) & (F.col("band") < high)).select("key", "node")
         rows = settle(spread_join(band, rooted, "node"))
         edges = _round_links(rows, facts, sets, least, block_rows, block_shingles)
-        tops = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        rooted = spread_join(rooted, tops, "root", "left")
-        rooted = settle(rooted.select("node", F.coalesce("top", "root").alias("root")))
+        rooted = _with_roots(rooted, edges)
     return rooted
 
 

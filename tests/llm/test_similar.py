@@ -119,3 +119,19 @@ def test_unlike_texts_under_one_id_both_have_a_say(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((r["doc_id"], r["text"]) for r in similar.one_of_each(docs).collect())
     assert kept == sorted([rows[0], rows[1], rows[3]])
+
+
+def test_copies_are_found_by_their_fingerprints(spark, monkeypatch):
+    """Without any round of bands, the fingerprints alone connect copies with a word changed."""
+    monkeypatch.setattr(similar, "ROUNDS", ())
+    docs = spark.createDataFrame([*edits(40, words=1000, changed=1), (40, prose(3, 104))], "doc_id long, text string")
+    roots = {r["node"]: r["root"] for r in grouped(docs).collect()}
+    assert len(roots) == 40 and len(set(roots.values())) < 10
+
+
+def test_fingerprints_alone_link_nothing(spark):
+    """Pairs that fingerprints name are compared by their sets."""
+    a, b, c = (similar.shingles(t.encode(), 5).tobytes() for t in (prose(1, 104), prose(1, 100), prose(2, 104)))
+    sets = spark.createDataFrame([(1, a), (2, b), (3, c)], "node long, set binary")
+    pairs = spark.createDataFrame([(2, 1), (3, 1)], "u long, v long")
+    assert [tuple(r) for r in similar._verified(pairs, sets, 0.8).collect()] == [(2, 1)]

@@ -46,9 +46,12 @@ def _is_data_row():
 
 
 def matching_sheets(grid: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Rows of the sheets named, by default those with the expected header row."""
+    """Rows of the sheets named, by default those with the expected header row.
+
+    Sheets may be few and long, so the rows of each are dealt out by their numbers.
+    """
     names = matching_names(grid) if names is None else names
-    return lookup_join(grid, names, "sheet", "sheet", "left_semi")
+    return lookup_join(grid, names, "sheet", "sheet", "left_semi", spread="row_no")
 
 
 def data_rows(grid: DataFrame) -> DataFrame:
@@ -237,7 +240,7 @@ def enriched_grid(
     passed over; the grid is not joined to them.
     """
     names = matching_names(grid) if names is None else names
-    flagged = lookup_join(grid, names.withColumn("_imported", F.lit(True)), "sheet", "sheet")
+    flagged = lookup_join(grid, names.withColumn("_imported", F.lit(True)), "sheet", "sheet", spread="row_no")
     imported = F.coalesce("_imported", F.lit(False)) & _is_data_row()
     passed_over = flagged.filter(~imported).select(GRID.names)
 

@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Tasks that the rows of one key are dealt over where the keys are few.
+SPREAD = 64
+
 
 def lookup_join(
     rows: DataFrame,
@@ -11,6 +14,7 @@ def lookup_join(
     side_key: str,
     how: str = "left",
     unique: bool = False,
+    spread: str | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``side``, whose key is unique and not null; the side's key is dropped.
 
@@ -20,9 +24,19 @@ def lookup_join(
     when it comes out of an aggregate on that key, and that is the shape in which adaptive execution
     splits a hot key over many tasks. Where the key is ``unique`` in the rows too, nothing can be
     hot and the side's own partitioning is kept.
+
+    Few keys of many rows leave most tasks without a row, and there nothing is broadcast. ``spread``
+    names a column that differs within a key: its hash deals the rows of each key over ``SPREAD``
+    tasks, and the side, which must be narrow, is repeated for all of them.
     """
     keyed = side.filter(F.col(side_key).isNotNull()).withColumnRenamed(side_key, "_side_key")
     ours, theirs = F.col(row_key), F.col("_side_key")
     matched = ours == theirs if unique else ours.eqNullSafe(theirs)
+    if spread is not None:
+        rows = rows.withColumn("_deal", F.pmod(F.xxhash64(spread), F.lit(SPREAD)).cast("int"))
+        deals = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+        keyed = keyed.withColumn("_side_deal", deals)
+        matched = matched & (F.col("_deal") == F.col("_side_deal"))
+        return rows.join(keyed, matched, how).drop("_deal", "_side_deal", "_side_key")
     joined = rows.join(keyed, matched, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop("_side_key")

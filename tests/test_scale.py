@@ -191,3 +191,21 @@ def test_registered_plans_have_no_cross_join_and_no_python(spark):
         plan = plan_of(build(spark, SMALL))
         for banned in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "InArrow"):
             assert banned not in plan, (name, banned)
+
+
+def test_the_rows_of_a_long_sheet_are_dealt_out(spark, make):
+    """Three sheets of many rows: no task of the join holds a large part of one."""
+    heads = [{"sheet": s, "row_no": 3, "a": "number (optional)", "b": "card", "c": "set", "d": "foil"} for s in "AB"]
+    own = {"sheet": F.element_at(F.array(*map(F.lit, "ABC")), (F.col("id") % 3 + 1).cast("int")), "row_no": F.col("id") + 4}
+    columns = [own.get(f.name, F.lit("x" if f.name == "b" else None).cast(f.dataType)).alias(f.name) for f in GRID]
+    grid = make.grid(*heads).unionByName(spark.range(30_000).select(*columns))
+    off = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    with settings(spark, **off):
+        kept = imports.matching_sheets(grid)
+        held = kept.groupBy(F.spark_partition_id(), "sheet").count().collect()
+    assert sum(r["count"] for r in held) == 20_002
+    assert {r["sheet"] for r in held} == {"A", "B"} and max(r["count"] for r in held) < 4000

@@ -117,12 +117,13 @@ def append_bucketed_snapshot(rows: DataFrame, root: str, table: str, buckets: in
     """Add snapshots to the bucketed table and return that table.
 
     One shuffle by identity when a snapshot is stored, once and for all, takes the place of two at
-    every comparison. Run again it leaves one copy, like :func:`append_snapshot`. Buckets are read
-    whole, so a card that holds a large part of all rows is better compared without them.
+    every comparison. Tasks are dealt whole buckets of a snapshot, and parts of those that are too
+    large for one. Run again it leaves one copy, like :func:`append_snapshot`. Buckets are read whole, so a card that holds a large part of all rows is better compared without them.
     """
     spark = rows.sparkSession
     stored = _declare_buckets(spark, root, table, buckets)
     keyed = rows.to(TABLES["holding_snapshots"]).withColumn(IDENTITY_KEY, identity_key())
-    dealt = keyed.repartition(buckets, IDENTITY_KEY).select(stored.columns)
-    dealt.write.mode("overwrite").insertInto(table)
+    bucket = F.pmod(F.hash(IDENTITY_KEY), F.lit(buckets))
+    dealt = keyed.withColumn("_bucket", bucket).hint("rebalance", "_bucket", "snapshot_ts")
+    dealt.select(stored.columns).write.mode("overwrite").insertInto(table)
     return bucketed_snapshots(spark, root, table, buckets)

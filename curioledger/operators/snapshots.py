@@ -110,31 +110,37 @@ class Snapshot(NamedTuple):
     ts: datetime
 
 
+def numbered_holdings(holdings: DataFrame, name: str, ordered: bool = True) -> DataFrame:
+    """Holdings numbered 1..n in a column, by id if ``ordered`` and as they lie otherwise."""
+    return with_ordinal(holdings, [F.col("id")], name) if ordered else number_sorted(holdings, name)
+
+
 def create_snapshot(
     holdings: DataFrame,
     snapshots: DataFrame,
     now,
     last_id: int | None = None,
     ordered: bool = True,
+    numbers: str | None = None,
 ) -> Snapshot:
     """Rows of a new snapshot of all holdings, and the second it was given.
 
     Rows are numbered after the highest id in use, ``last_id`` when the caller keeps it, so a
     snapshot uses up as many ids as it has rows. Ids follow those of the holdings if ``ordered``,
     which takes a global sort; otherwise rows are numbered as they lie, by sums over the counts of
-    unsorted partitions.
+    unsorted partitions. Holdings of which several snapshots are taken are numbered once, by
+    ``numbered_holdings``, and ``numbers`` names the column.
     """
     ts = next_snapshot_ts(snapshots, now)
     base = next_id(snapshots) if last_id is None else F.lit(last_id)
-    if ordered:
-        numbered = with_ordinal(holdings, [F.col("id")], "_no")
-    else:
-        numbered = number_sorted(holdings, "_no")
+    numbered, no = holdings, numbers
+    if no is None:
+        numbered, no = numbered_holdings(holdings, "_no", ordered), "_no"
     stamped = numbered.withColumns(
         {
             "source_card_id": F.col("id"),
             "snapshot_ts": ts_literal(ts),
-            "id": base + F.col("_no"),
+            "id": base + F.col(no),
         }
     )
     return Snapshot(stamped.select(COLUMNS), ts)

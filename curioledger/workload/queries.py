@@ -189,8 +189,10 @@ def _stored_ledger(v: Views, *times: str) -> DataFrame:
     """A snapshot table by generations, each numbered after what is stored already."""
     root = scratch_path(v.spark, "ledger")
     stored = v.spark.createDataFrame([], HOLDING_SNAPSHOTS)
+    held = snapshots.numbered_holdings(v.holdings(), "no")
     for now in times:
-        tables.append_snapshot(snapshots.create_snapshot(v.holdings(), stored, now).rows, root)
+        taken = snapshots.create_snapshot(held, stored, now, numbers="no")
+        tables.append_snapshot(taken.rows, root)
         stored = tables.scan_table(v.spark, root, "holding_snapshots")
     return stored
 
@@ -205,8 +207,9 @@ def append_snapshot_again(v: Views):
     """Generations numbered as the rows lie, each appended twice: one copy, gapless ids."""
     root = scratch_path(v.spark, "ledger")
     stored = v.spark.createDataFrame([], HOLDING_SNAPSHOTS)
+    held = snapshots.numbered_holdings(v.holdings(), "no", ordered=False)
     for now in (AT, FROM, AT):
-        taken = snapshots.create_snapshot(v.holdings(), stored, now, ordered=False)
+        taken = snapshots.create_snapshot(held, stored, now, numbers="no")
         for _ in range(2):
             tables.append_snapshot(taken.rows, root)
         stored = tables.scan_table(v.spark, root, "holding_snapshots")

@@ -1,7 +1,9 @@
 """Plan shapes: hot keys are split, broadcasts are measured, filters reach the files."""
 
 from contextlib import contextmanager
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows_of, ts
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from curioledger.operators import holdings, imports, keyed, lookups, snapshots
 from curioledger.schemas import GRID, HOLDINGS
 from curioledger.sources import tables
 from curioledger.workload.queries import all_queries
-from curioledger.workload.views import ROW_ID
+from curioledger.workload.views import ROW_ID, Views
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -209,3 +211,41 @@ def test_the_rows_of_a_long_sheet_are_dealt_out(spark, make):
         held = kept.groupBy(F.spark_partition_id(), "sheet").count().collect()
     assert sum(r["count"] for r in held) == 20_002
     assert {r["sheet"] for r in held} == {"A", "B"} and max(r["count"] for r in held) < 4000
+
+
+def test_a_table_that_splits_is_not_dealt_out(spark, folder):
+    """Many row groups make tasks of their own; a single one is dealt out, in parts of bounded size."""
+    given = pq.read_table(f"{SMALL}/lineitem.parquet")
+    for name, rows in (("many", 100), ("one", len(given))):
+        Path(f"{folder}/{name}").mkdir()
+        pq.write_table(given, f"{folder}/{name}/lineitem.parquet", row_group_size=rows)
+    with settings(spark, **{"spark.sql.files.openCostInBytes": "1KB"}):
+        many, one = (Views(spark, f"{folder}/{name}").table("lineitem") for name in ("many", "one"))
+        assert "Exchange" not in plan_of(many) and "Exchange" in plan_of(one)
+        assert many.count() == one.count() == len(given)
+
+
+def test_a_bucket_is_written_by_more_than_one_task(spark, folder, make):
+    """One card holds all rows: the task that stores them is split, and no row is lost."""
+    at = ts("2025-01-01T00:00:00")
+    row = make.snapshots({"id": 0, "card_name": "c", "set_code": "s", "snapshot_ts": at})
+    many = spark.range(40_000, numPartitions=16)
+    many = many.select("id", F.sha2(F.col("id").cast("string"), 256).alias("location"))
+    rows = many.crossJoin(F.broadcast(row.drop("id", "location")))
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    with settings(spark, **small):
+        stored = tables.append_bucketed_snapshot(rows, folder, "buckets_" + Path(folder).name.replace("-", "_"), 4)
+    assert len(stored.inputFiles()) > 4 and stored.count() == 40_000
+
+
+def test_holdings_are_numbered_once_for_several_snapshots(make):
+    held = make.holdings({"id": 7, "card_name": "b"}, {"id": 3, "card_name": "a"})
+    nothing = make.snapshots()
+    once = snapshots.numbered_holdings(held, "no")
+    given = snapshots.create_snapshot(once, nothing, "2025-01-01T00:00:00", numbers="no")
+    own = snapshots.create_snapshot(held, nothing, "2025-01-01T00:00:00")
+    assert sorted(given.rows.collect()) == sorted(own.rows.collect())
+    assert rows_of(given.rows.orderBy("id"), "id", "source_card_id") == [(1, 3), (2, 7)]

@@ -132,16 +132,19 @@ def rows_of_range(
     """``count`` rows after skipping ``start`` of ``total`` by key, then tie, without sorting the rest.
 
     A histogram of the key, over the bounds that a fixed number of rows gives, tells which range
-    holds the page; the range is cut down in the same way until one task may sort it. Every round
-    reads the two columns once and shuffles only counts. ``tie`` is unique and not null.
+    holds the page; the range is cut down in the same way until one task may sort it. The two columns
+    are settled first, so that no round computes the table, and what it broadcasts, again; every round
+    reads them once and shuffles only counts. ``tie`` is unique and not null.
     """
     keep = df.columns if keep is None else keep
     head_rows = HEAD_ROWS if head_rows is None else head_rows
     first = F.col(key).desc_nulls_first() if desc else F.col(key).asc_nulls_last()
     order = [first, F.col(tie).desc() if tie_desc else F.col(tie).asc()]
     left, skipped, size = df, 0, total
+    narrow = df.select(key, tie)
+    if size > max(head_rows, count):
+        narrow = settle(narrow)
     while size > max(head_rows, count):
-        narrow = left.select(key, tie)
         drawn = narrow.orderBy(F.xxhash64(key, tie)).limit(PROBE_ROWS).orderBy(*order).collect()
         step = max(1, len(drawn) // RANGES)
         tests = [_at_or_after(df, key, desc, tie, tie_desc, row) for row in drawn[step // 2 :: step]]
@@ -157,8 +160,10 @@ def rows_of_range(
         if low is None or inside >= size:
             break
         # Two bounds fence the range; the others were for counting.
-        left = left.filter(tests[low - 1]) if low else left
-        left = left.filter(~tests[high]) if high < len(tests) else left
+        fences = [tests[low - 1]] if low else []
+        fences += [~tests[high]] if high < len(tests) else []
+        for fence in fences:
+            left, narrow = left.filter(fence), narrow.filter(fence)
         size = inside
     if size > max(head_rows, count):
         return rows_between(left, order, start - skipped, count, keep, head_rows)

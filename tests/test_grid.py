@@ -120,3 +120,20 @@ def test_a_middle_page_is_found_without_a_sort_of_the_rest(spark):
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "TakeOrderedAndProject" in plan and "settled" not in plan
     assert column(page, "k") == column(rows.orderBy("k").offset(19_900).limit(100), "k")
+
+
+def test_rounds_of_a_deep_page_do_not_compute_the_table_again(spark):
+    """The table is read for its two columns and for the page, however many rounds there are."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = spark.range(4000).mapInPandas(counted, "id long")
+    keyed = rows.select("id", (F.col("id") % 7).alias("key"))
+    found = ordering.rows_of_range(keyed, "key", "id", 2000, 5, 4000, head_rows=10)
+    expected = sorted(range(4000), key=lambda k: (k % 7, k))[2000:2005]
+    assert [r["id"] for r in found.collect()] == expected
+    assert seen.value == 8000

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,32 @@ def test_footrule_from_inverted_files():
         for row, found in zip(prefixes, files.footrule(own), strict=True):
             other = {p: k for k, p in enumerate(row)}
             assert found == sum(abs(place.get(p, 5) - other.get(p, 5)) for p in place.keys() | other.keys())
+
+
+def test_footrule_of_prefixes_too_long_for_short_numbers():
+    prefixes = np.array([np.roll(np.arange(300), k) for k in (0, 1, 150)], np.uint16)
+    found = neighbours.InvertedFiles(prefixes, 300).footrule(prefixes[0])
+    place = np.argsort(prefixes, axis=1).astype(int)
+    assert found.tolist() == np.abs(place - place[0]).sum(axis=1).tolist()
+
+
+def test_rows_are_compared_exactly_only_where_they_can_be_best(monkeypatch):
+    """The search measures few of the rows within the cut, and finds what measuring all of them finds."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(3000, 16))
+    vectors[1000:1040] = vectors[7]
+    kept = neighbours._may_be_best(vectors, vectors[7], 20, neighbours._longest(vectors))
+    scores = (vectors * vectors[7]).sum(axis=1)
+    assert set(np.flatnonzero(scores >= np.sort(scores)[-20])) <= set(kept) and len(kept) < 100
+    # Products that overflow or vanish are no bound.
+    for scale in (1e200, 1e-160):
+        odd = vectors * scale
+        assert len(neighbours._may_be_best(odd, odd[7], 20, neighbours._longest(odd))) == 3000
+    prefixes = neighbours.nearest_pivots(vectors, vectors[:32], 16)
+    block = {"query": [7, 8], "vector": list(vectors[7:9]), "prefix": list(prefixes[7:9]), "cut": [200, 10**6], "least": [-np.inf, 0.5]}
+    columns = [pa.array([[k, k + 5000] for k in range(3000)]), neighbours._packed(vectors), neighbours._packed(prefixes)]
+    batch = pa.RecordBatch.from_arrays(columns, ["ids", "vec", "prefix"])
+    search = neighbours._searcher(block, 32, 20, 3000)
+    fast = [b.to_pydict() for b in search(iter([batch]))]
+    monkeypatch.setattr(neighbours, "_may_be_best", lambda vectors, *_: np.arange(len(vectors)))
+    assert fast == [b.to_pydict() for b in search(iter([batch]))]

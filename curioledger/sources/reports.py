@@ -24,6 +24,9 @@ LOSERS_NAME = "Desvalorizaram"
 PROCESSED_SUFFIX = "-processado"
 UNNAMED_GRID = "colecao-importada"
 
+# Rows of a file at most: a text with line breaks in it is read back by one task a file.
+FILE_ROWS = 250_000
+
 
 def processed_name(original: str | None) -> str:
     """Name of the enriched copy of a grid: its name without extension plus a suffix."""
@@ -42,9 +45,12 @@ def write_enriched_grid(
 
 
 def _write_csv(df: DataFrame, path: str) -> None:
-    """Text under display headings, blanks kept as they are, quotes doubled as spreadsheets do."""
+    """Text under display headings, blanks kept as they are, quotes doubled as spreadsheets do.
+
+    A task's rows go on in further files, in order by name, when they are more than ``FILE_ROWS``.
+    """
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.write.options(header=True, escape='"', **keep).csv(path)
+    df.write.options(header=True, escape='"', maxRecordsPerFile=FILE_ROWS, **keep).csv(path)
 
 
 def write_unresolved(report: DataFrame, path: str) -> bool:

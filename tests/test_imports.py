@@ -211,6 +211,18 @@ def test_the_report_reads_back_as_spreadsheets_read_it(make, spark, folder):
     assert column(written, "Card") == [odd]
 
 
+def test_files_of_a_report_are_bounded_and_in_order(spark, folder, monkeypatch):
+    monkeypatch.setattr(reports, "FILE_ROWS", 40)
+    line = [F.lit("S").alias("sheet"), F.col("id").alias("row_no"), *[F.lit("two\nlines").alias(c) for c in "abcd"]]
+    report = spark.range(1, 1001).select(*line, F.lit("card_not_found").alias("reason"))
+    assert reports.write_unresolved(report, f"{folder}/long") is True
+    written = spark.read.csv(f"{folder}/long", header=True, escape='"', multiLine=True)
+    placed = written.select(F.col("_metadata.file_name").alias("file"), F.col("Linha").cast("int").alias("no"))
+    files = placed.groupBy("file").agg(F.min("no").alias("first"), F.max("no").alias("last"), F.count("*").alias("rows")).orderBy("file").collect()
+    assert max(f["rows"] for f in files) <= 40 and sum(f["rows"] for f in files) == 1000
+    assert all(a["last"] < b["first"] for a, b in zip(files, files[1:]))
+
+
 @pytest.mark.parametrize(
     "name, expected",
     [("cards.ods", "cards-processado"), ("v1.2.csv", "v1.2-processado"), ("bare", "bare-processado"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.parsing import moment, ts_bound, ts_literal
 from ..plans.joins import lookup_join
 from ..plans.lineage import settle
-from ..plans.ordering import head, number_head, number_sorted, with_ordinal
+from ..plans.ordering import head, number_by, number_head, number_sorted
 from ..schemas import HOLDING_SNAPSHOTS
 from .keyed import next_id
 
@@ -112,7 +112,7 @@ class Snapshot(NamedTuple):
 
 def numbered_holdings(holdings: DataFrame, name: str, ordered: bool = True) -> DataFrame:
     """Holdings numbered 1..n in a column, by id if ``ordered`` and as they lie otherwise."""
-    return with_ordinal(holdings, [F.col("id")], name) if ordered else number_sorted(holdings, name)
+    return number_by(holdings, ["id"], name) if ordered else number_sorted(holdings, name)
 
 
 def create_snapshot(

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lineage import settle
+from .lineage import parts_of, scratch_path, settle, settle_compact, write_compact
 
 # Up to this many rows a single task may hold and sort the head of a table.
 HEAD_ROWS = 100_000
@@ -35,21 +35,61 @@ def number_sorted(
     rows that meet in one task are the partition counts, one per partition.
     """
     keep = df.columns if keep is None else keep
-    placed = df.select(
-        *keep,
+    return _counted(settle(_placed(df.select(*keep), 0)), name)
+
+
+def number_by(
+    df: DataFrame, keys: list[str], name: str = "ordinal", stored: bool = False
+) -> DataFrame:
+    """Number all rows 1..n in ascending order of some columns, nulls first, equal ones as they lie.
+
+    The rows are settled as they lie, then sorted and settled range by range, so that no more than the
+    shuffle of a range lies on disk. The bounds of the ranges are rows of the table itself. Rows that
+    are ``stored`` already, in a table that stays as it is, are read from there, equal ones in no order.
+    """
+    ties = [] if stored else ["_lies"]
+    rows = df if stored else settle_compact(df.withColumn("_lies", F.monotonically_increasing_id()))
+    parts, path = parts_of(rows), scratch_path(df.sparkSession, "settled")
+    for number, inside in enumerate(_ranges(rows, keys, parts)):
+        placed = _placed(rows.filter(inside).orderBy(*keys, *ties).drop(*ties), number)
+        write_compact(placed, path, "append")
+    return _counted(df.sparkSession.read.schema(placed.schema).parquet(path), name)
+
+
+def _ranges(rows: DataFrame, keys: list[str], parts: int) -> list[Column]:
+    """Conditions of about equal ranges of the keys in order, which take every row once."""
+    own, fences = F.struct(*keys), []
+    if parts > 1:
+        drawn = rows.select(*keys).orderBy(F.xxhash64(*keys)).limit(PROBE_ROWS).orderBy(*keys).collect()
+        for row in dict.fromkeys(drawn[i * len(drawn) // parts] for i in range(1, parts)):
+            fence = [F.lit(row[k]).cast(rows.schema[k].dataType).alias(k) for k in keys]
+            fences.append(own < F.struct(*fence))
+    below, above = [*fences, F.lit(True)], [F.lit(True), *[~fence for fence in fences]]
+    return [low & high for low, high in zip(above, below)]
+
+
+def _placed(df: DataFrame, run: int) -> DataFrame:
+    """Rows with the run that sorted them, their partition in it and their place in that."""
+    return df.select(
+        *df.columns,
+        F.lit(run).alias("_run"),
         F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().bitwiseAND(_ROW_BITS).alias("_place"),
     )
-    placed = settle(placed)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _counted(placed: DataFrame, name: str) -> DataFrame:
+    """Settled rows by number: those of all partitions before their own, and their place in it."""
+    own = ["_run", "_part"]
+    before = Window.orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        placed.groupBy("_part")
+        placed.groupBy(*own)
         .agg(F.count("*").alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+        .select(*own, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
-    numbered = placed.join(F.broadcast(starts), "_part")
+    numbered = placed.join(F.broadcast(starts), own)
     ordinal = F.col("_start") + F.col("_place") + 1
-    return numbered.select(*keep, ordinal.alias(name))
+    return numbered.withColumn(name, ordinal).drop("_start", "_place", *own)
 
 
 def number_head(

@@ -7,6 +7,7 @@ from pyspark.sql.types import DecimalType, StructField, StructType, TimestampNTZ
 
 from ..operators.snapshots import IDENTITY_KEY, identity_key, total_value_by_snapshot
 from ..plans.joins import lookup_join
+from ..plans.lineage import shuffles_dropped
 from ..schemas import TABLES
 
 
@@ -53,7 +54,8 @@ def append_snapshot(rows: DataFrame, root: str) -> None:
     """
     stamped = rows.to(TABLES["holding_snapshots"]).write.mode("overwrite")
     stamped = stamped.option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_ts")
-    stamped.parquet(f"{root}/holding_snapshots")
+    with shuffles_dropped(rows.sparkSession):
+        stamped.option("compression", "zstd").parquet(f"{root}/holding_snapshots")
 
 
 def stored_totals(spark: SparkSession, root: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Plan shapes: hot keys are split, broadcasts are measured, filters reach the files."""
 
+import time
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from curioledger.functions.cards import number_key
 from curioledger.operators import holdings, imports, keyed, lookups, snapshots
+from curioledger.plans import lineage, ordering
+from curioledger.plans.lineage import settle, settle_compact
 from curioledger.schemas import GRID, HOLDINGS
 from curioledger.sources import tables
 from curioledger.workload.queries import all_queries
@@ -249,3 +252,34 @@ def test_holdings_are_numbered_once_for_several_snapshots(make):
     own = snapshots.create_snapshot(held, nothing, "2025-01-01T00:00:00")
     assert sorted(given.rows.collect()) == sorted(own.rows.collect())
     assert rows_of(given.rows.orderBy("id"), "id", "source_card_id") == [(1, 3), (2, 7)]
+
+
+def test_numbers_do_not_depend_on_the_ranges(spark, make, monkeypatch):
+    """Rows numbered range by range: nulls first, equal keys once each, no shuffle file left."""
+    third = F.col("id") % 3
+    rows = spark.range(3000, numPartitions=5).select(
+        F.when(third > 0, third.cast("string")).alias("sheet"), (F.col("id") * 7919 % 1000).alias("row_no"), "id"
+    )
+    rows = rows.unionByName(rows.filter("id < 100")).unionByName(rows.limit(1).selectExpr("sheet", "null as row_no", "id"))
+    rows = settle(rows)
+    expected = rows.orderBy("sheet", "row_no").select("sheet", "row_no").collect()
+    for most in (10_000, 700, 40):
+        monkeypatch.setattr(lineage, "PART_ROWS", most)
+        for stored in (False, True):
+            numbered = ordering.number_by(rows, ["sheet", "row_no"], "no", stored)
+            found = numbered.orderBy("no").collect()
+            assert [r.no for r in found] == list(range(1, 3102))
+            assert [(r.sheet, r.row_no) for r in found] == [tuple(r) for r in expected]
+            assert sorted(r.id for r in found) == sorted(r.id for r in rows.collect())
+    lying = spark.range(500, numPartitions=4).withColumn("key", F.lit(None).cast("long"))
+    assert [r.id for r in ordering.number_by(lying, ["key"], "no").orderBy("no").collect()] == list(range(500))
+
+
+def test_a_compact_table_leaves_no_shuffle_behind(spark):
+    before = shuffle_files()
+    kept = settle_compact(spark.range(10_000).orderBy(F.xxhash64("id")))
+    deadline = time.time() + 20
+    while shuffle_files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffle_files() - before and kept.count() == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")

@@ -62,13 +62,18 @@ def _at(snapshots: DataFrame, ts) -> DataFrame:
     return snapshots.filter(F.col("snapshot_ts") == ts_literal(ts))
 
 
-def snapshot_rows(snapshots: DataFrame, ts) -> DataFrame:
-    """Rows of exactly one snapshot by card name; empty when it does not exist."""
-    return _at(snapshots, ts).orderBy("card_name", "id")
+def snapshot_rows(snapshots: DataFrame, ts, place: str | None = None) -> DataFrame:
+    """Rows of exactly one snapshot by card name; empty when it does not exist.
+
+    ``place`` names a column for a row's place in that order, 1 first; the rows then come in no order.
+    It is for a stored table, which is read and sorted range by range.
+    """
+    rows, order = _at(snapshots, ts), ["card_name", "id"]
+    return rows.orderBy(*order) if place is None else number_by(rows, order, place, stored=True)
 
 
-def snapshot_projection(rows: DataFrame) -> DataFrame:
-    """The columns shown to a reader; ``id`` is the snapshot row's own."""
+def snapshot_projection(rows: DataFrame, *more: str) -> DataFrame:
+    """The columns shown to a reader, and ``more`` ones; ``id`` is the snapshot row's own."""
     return rows.select(
         "id",
         "source_card_id",
@@ -83,6 +88,7 @@ def snapshot_projection(rows: DataFrame) -> DataFrame:
         "price",
         "comment",
         "location",
+        *more,
     )
 
 

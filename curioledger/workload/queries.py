@@ -252,9 +252,9 @@ def price_movers_bucketed(v: Views):
 def stored_snapshot_rows(v: Views):
     """One partition out of the stored table, and the totals of a range of partitions."""
     stored = _stored_ledger(v, AT, FROM)
-    rows = snapshots.snapshot_projection(snapshots.snapshot_rows(stored, AT))
+    rows = snapshots.snapshot_projection(snapshots.snapshot_rows(stored, AT, "place"), "place")
     totals = snapshots.total_value_by_snapshot(stored, None, FROM)
-    return _tagged("part", rows=_numbered(rows), totals=totals)
+    return _tagged("part", rows=rows, totals=totals)
 
 
 @query

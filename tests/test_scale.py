@@ -283,3 +283,15 @@ def test_a_compact_table_leaves_no_shuffle_behind(spark):
         time.sleep(0.2)
     assert not shuffle_files() - before and kept.count() == 10_000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
+def test_places_of_a_stored_snapshot_are_its_order(spark, make, folder, monkeypatch):
+    at = ts("2025-01-01T00:00:00")
+    rows = [{"id": n, "card_name": None if n % 7 == 0 else f"c{n % 5}", "snapshot_ts": at} for n in range(1, 200)]
+    tables.append_snapshot(make.snapshots(*rows), folder)
+    stored = tables.scan_table(spark, folder, "holding_snapshots")
+    expected = rows_of(snapshots.snapshot_rows(stored, at), "id")
+    for most in (1000, 50):
+        monkeypatch.setattr(lineage, "PART_ROWS", most)
+        placed = snapshots.snapshot_projection(snapshots.snapshot_rows(stored, at, "place"), "place")
+        assert rows_of(placed.orderBy("place"), "place", "id") == [(n, *r) for n, r in enumerate(expected, 1)]

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.cards import name_key, number_key
 from ..functions.parsing import cell_decimal, cell_text, foil_flag, manual_flag, parse_quantity, pick_price
 from ..functions.text import blank_to_null, cell_trim, is_blank, norm
-from ..plans.joins import lookup_join
-from ..plans.lineage import settle
+from ..plans.joins import flag_members, lookup_join
+from ..plans.lineage import settle, settle_by_parts
 from ..plans.ordering import with_ordinal
 from ..schemas import GRID, GRID_COLUMNS, HOLDINGS, NUMBER_COLUMNS
 from .catalog import project_sets
@@ -48,10 +48,12 @@ def _is_data_row():
 def matching_sheets(grid: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Rows of the sheets named, by default those with the expected header row.
 
-    Sheets may be few and long, so the rows of each are dealt out by their numbers.
+    Rows are told where they lie while the sheets are few; where they are many, the rows of each are
+    dealt out by their numbers.
     """
     names = matching_names(grid) if names is None else names
-    return lookup_join(grid, names, "sheet", "sheet", "left_semi", spread="row_no")
+    flagged = flag_members(grid, names, "sheet", "_imported", spread="row_no")
+    return flagged.filter("_imported").drop("_imported")
 
 
 def data_rows(grid: DataFrame) -> DataFrame:
@@ -149,6 +151,18 @@ def resolve_grid(
     return enrich(build_match_keys(resolve_set(rows, sets)), feed)
 
 
+def resolve_by_parts(
+    grid: DataFrame, sets: DataFrame, feed: DataFrame | None, names: DataFrame | None = None
+) -> DataFrame:
+    """What :func:`resolve_grid` returns, settled, for a settled grid of any size.
+
+    Rows are resolved one by one, so the grid is taken in parts and the shuffles of one part alone lie
+    on disk; the sheets are those of the whole grid.
+    """
+    names = matching_names(grid) if names is None else names
+    return settle_by_parts(grid, "row_no", lambda mine: resolve_grid(mine(grid), sets, feed, names))
+
+
 def unresolved_rows(resolved: DataFrame) -> DataFrame:
     """Rows without a card; null texts show as empty."""
     texts = {"number": "number", "card": "card", "set": "set_text", "foil": "foil_text"}
@@ -240,8 +254,8 @@ def enriched_grid(
     passed over; the grid is not joined to them.
     """
     names = matching_names(grid) if names is None else names
-    flagged = lookup_join(grid, names.withColumn("_imported", F.lit(True)), "sheet", "sheet", spread="row_no")
-    imported = F.coalesce("_imported", F.lit(False)) & _is_data_row()
+    flagged = flag_members(grid, names, "sheet", "_imported", spread="row_no")
+    imported = F.col("_imported") & _is_data_row()
     passed_over = flagged.filter(~imported).select(GRID.names)
 
     automatic = ~F.col("manual")

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 # Tasks that the rows of one key are dealt over where the keys are few.
 SPREAD = 64
 
+# Keys at most that are looked up inside the plan instead of by a shuffle.
+FEW = 64
+
 
 def lookup_join(
     rows: DataFrame,
@@ -40,3 +43,21 @@ def lookup_join(
         return rows.join(keyed, matched, how).drop("_deal", "_side_deal", "_side_key")
     joined = rows.join(keyed, matched, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop("_side_key")
+
+
+def flag_members(
+    rows: DataFrame, members: DataFrame, key: str, flag: str, spread: str
+) -> DataFrame:
+    """Add ``flag``: whether a row's key is among those of ``members``, which are distinct.
+
+    Up to ``FEW`` members are computed inside the plan and looked up where the rows lie. Only where
+    there are more does the other branch get rows: it joins them by :func:`lookup_join`. A null key is
+    never a member.
+    """
+    known = members.filter(F.col(key).isNotNull()).select(key)
+    listed = known.limit(FEW + 1).agg(F.collect_list(key).alias("_listed"))
+    few = listed.select(F.when(F.size("_listed") <= FEW, F.col("_listed"))).scalar()
+    found = F.coalesce(F.array_contains(few, F.col(key)), F.lit(False))
+    here = rows.filter(few.isNotNull()).withColumn(flag, found)
+    joined = lookup_join(rows.filter(few.isNull()), known.withColumn("_member", F.lit(True)), key, key, spread=spread)
+    return here.unionByName(joined.withColumn(flag, F.coalesce("_member", F.lit(False))).drop("_member"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import parsing, text
 from ..functions.cards import face_count, line_total, object_key, png_url, split_faces
 from ..operators import catalog, grid, holdings, imports, keyed, lookups, media, snapshots
-from ..plans.lineage import scratch_path, settle
+from ..plans.lineage import scratch_path, settle, settle_compact
 from ..plans.ordering import number_sorted, with_ordinal
 from ..schemas import HOLDING_SNAPSHOTS
 from ..sources import feeds, reports, tables
@@ -446,11 +446,10 @@ def insert_import(v: Views):
 
 
 def _enriched(v: Views):
-    raw = v.grid()
+    raw = settle_compact(v.grid())
     names = imports.matching_names(raw)
-    return imports.enriched_grid(
-        raw, imports.resolve_grid(raw, v.sets(), v.cards_feed(), names), names
-    )
+    resolved = imports.resolve_by_parts(raw, v.sets(), v.cards_feed(), names)
+    return imports.enriched_grid(raw, resolved, names)
 
 
 @query

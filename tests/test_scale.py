@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from curioledger.functions.cards import number_key
 from curioledger.operators import holdings, imports, keyed, lookups, snapshots
-from curioledger.plans import lineage, ordering
+from curioledger.plans import joins, lineage, ordering
 from curioledger.plans.lineage import settle, settle_compact
 from curioledger.schemas import GRID, HOLDINGS
 from curioledger.sources import tables
@@ -285,6 +285,40 @@ def test_a_compact_table_leaves_no_shuffle_behind(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
 
 
+@pytest.mark.parametrize("few", [64, 1])
+def test_rows_of_few_sheets_are_not_shuffled(spark, make, few, monkeypatch):
+    monkeypatch.setattr(joins, "FEW", few)
+    rows = make.grid(*[{"sheet": s, "row_no": n} for s in ("A", "B", "C", None) for n in range(50)])
+    members = spark.createDataFrame([("A",), ("B",), (None,)], "sheet string")
+    flagged = joins.flag_members(rows, members, "sheet", "hit", spread="row_no")
+    held = flagged.groupBy("sheet", "hit").count().collect()
+    assert {(r.sheet, r.hit, r["count"]) for r in held} == {
+        ("A", True, 50), ("B", True, 50), ("C", False, 50), (None, False, 50)
+    }
+    kept = settle(flagged)
+    assert kept.filter("hit").count() == 100
+    flagged.collect()
+    # The other branch alone shuffles, and it is empty where the members are few.
+    assert ("Join" in plan_of(flagged).split("Initial Plan")[0]) == (few == 1)
+
+
+def parts_agree(monkeypatch, build):
+    results = []
+    for most in (10_000_000, 700):
+        monkeypatch.setattr(lineage, "PART_ROWS", most)
+        results.append([sorted(map(str, df.collect())) for df in build()])
+    assert results[0] == results[1]
+    return results[0]
+
+
+def test_an_import_by_parts_is_that_of_the_whole(spark, monkeypatch):
+    v = Views(spark, SMALL)
+    grid = settle(v.grid())
+    whole = imports.resolve_grid(grid, v.sets(), v.cards_feed())
+    found = parts_agree(monkeypatch, lambda: [imports.resolve_by_parts(grid, v.sets(), v.cards_feed())])
+    assert found[0] == sorted(map(str, whole.collect())) and len(found[0]) > 3000
+
+
 def test_places_of_a_stored_snapshot_are_its_order(spark, make, folder, monkeypatch):
     at = ts("2025-01-01T00:00:00")
     rows = [{"id": n, "card_name": None if n % 7 == 0 else f"c{n % 5}", "snapshot_ts": at} for n in range(1, 200)]

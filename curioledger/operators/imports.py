@@ -10,7 +10,7 @@ from ..functions.parsing import cell_decimal, cell_text, foil_flag, manual_flag,
 from ..functions.text import blank_to_null, cell_trim, is_blank, norm
 from ..plans.joins import flag_members, lookup_join
 from ..plans.lineage import settle, settle_by_parts
-from ..plans.ordering import with_ordinal
+from ..plans.ordering import number_by
 from ..schemas import GRID, GRID_COLUMNS, HOLDINGS, NUMBER_COLUMNS
 from .catalog import project_sets
 from .keyed import next_id
@@ -238,9 +238,12 @@ def persist_import(resolved: DataFrame) -> DataFrame:
     )
 
 
-def insert_import(holdings: DataFrame, stored: DataFrame) -> DataFrame:
-    """Holdings plus the stored rows, numbered in grid order after the highest id in use."""
-    numbered = with_ordinal(stored, [F.col("sheet"), F.col("row_no")], "_no")
+def insert_import(holdings: DataFrame, rows: DataFrame, stored: bool = False) -> DataFrame:
+    """Holdings plus the rows to store, numbered in grid order after the highest id in use.
+
+    ``stored`` tells that the rows come from a settled table by no more than a filter.
+    """
+    numbered = number_by(rows, ["sheet", "row_no"], "_no", stored)
     added = numbered.withColumn("id", next_id(holdings) + F.col("_no"))
     return holdings.select(HOLDINGS.names).unionByName(added.select(HOLDINGS.names))
 

@@ -442,7 +442,9 @@ def persist_import(v: Views):
 
 @query
 def insert_import(v: Views):
-    return imports.insert_import(v.holdings(), imports.persist_import(_resolved(v)))
+    raw = settle_compact(v.grid())
+    resolved = imports.resolve_by_parts(raw, v.sets(), v.cards_feed())
+    return imports.insert_import(v.holdings(), imports.persist_import(resolved), stored=True)
 
 
 def _enriched(v: Views):

@@ -329,3 +329,13 @@ def test_places_of_a_stored_snapshot_are_its_order(spark, make, folder, monkeypa
         monkeypatch.setattr(lineage, "PART_ROWS", most)
         placed = snapshots.snapshot_projection(snapshots.snapshot_rows(stored, at, "place"), "place")
         assert rows_of(placed.orderBy("place"), "place", "id") == [(n, *r) for n, r in enumerate(expected, 1)]
+
+
+def test_imported_rows_are_numbered_in_grid_order_by_parts(spark, monkeypatch):
+    v = Views(spark, SMALL)
+    resolved = settle(imports.resolve_grid(v.grid(), v.sets(), v.cards_feed()))
+    rows, held = imports.persist_import(resolved), v.holdings()
+    columns = ("id", "card_name", "set_code", "quantity")
+    whole = sorted(rows_of(imports.insert_import(held, rows), *columns), key=str)
+    monkeypatch.setattr(lineage, "PART_ROWS", 700)
+    assert sorted(rows_of(imports.insert_import(held, rows, stored=True), *columns), key=str) == whole

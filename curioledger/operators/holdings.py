@@ -7,6 +7,7 @@ from ..functions.cards import name_key, row_key
 from ..functions.parsing import pick_price
 from ..functions.text import cell_trim, is_blank
 from ..plans.joins import lookup_join
+from ..plans.lineage import settle_by_parts
 from ..schemas import HOLDINGS
 from .keyed import missing_keys, next_id
 from .lookups import match_feed
@@ -189,7 +190,26 @@ def refresh_prices(
     holdings: DataFrame, feed: DataFrame, ids: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Holdings after the refresh, and the ids that failed with the reason."""
-    refreshed = refresh_status(holdings, feed, ids)
+    return _told(holdings, refresh_status(holdings, feed, ids), ids)
+
+
+def refresh_prices_by_parts(
+    holdings: DataFrame, feed: DataFrame, ids: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """What :func:`refresh_prices` returns, for settled holdings and asked ids of any size.
+
+    Every row is refreshed once and settled, and both results are read from there. Holdings and ids
+    are taken in parts by id, so that the shuffles of one part alone lie on disk.
+    """
+    refreshed = settle_by_parts(
+        holdings, "id", lambda mine: refresh_status(mine(holdings), feed, mine(ids))
+    )
+    return _told(holdings, refreshed, ids)
+
+
+def _told(
+    holdings: DataFrame, refreshed: DataFrame, ids: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
     failed = refreshed.filter(F.col("status") != "ok").select(
         "id", F.col("status").alias("reason")
     )

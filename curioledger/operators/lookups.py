@@ -38,7 +38,8 @@ def expand_feed_keys(
 
     Keys and places in the feed are aggregated alone, combined before the shuffle, so a key with
     very many copies costs one narrow row per task; what a card carries is fetched once, by place.
-    ``asked`` is a bitmap of the keys wanted, other keys may then be missing.
+    ``asked`` is a bitmap of the keys wanted, other keys may then be missing. Neither side of that is
+    ever broadcast: the size of a feed's files says little of that of its rows.
     """
     keyed = exploded_keys(feed)
     keyed = keyed if asked is None else asked_keys(keyed, asked)
@@ -46,7 +47,7 @@ def expand_feed_keys(
     fields = CARD_FIELDS if fields is None else fields
     columns = [F.col(c) if isinstance(c, str) else c for c in fields.values()]
     carried = feed.select("feed_seq", *[c.alias(name) for name, c in zip(fields, columns)])
-    cards = first.join(carried, F.col("_seq") == F.col("feed_seq"))
+    cards = first.join(carried.hint("merge"), F.col("_seq") == F.col("feed_seq"))
     return cards.select("match_key", *fields)
 
 

@@ -626,7 +626,8 @@ def refresh_prices(v: Views):
 
 @query
 def refresh_chosen_prices(v: Views):
-    refreshed, failed = holdings.refresh_prices(v.holdings(), v.cards_feed(), v.keys())
+    held = settle_compact(v.holdings())
+    refreshed, failed = holdings.refresh_prices_by_parts(held, v.cards_feed(), v.keys())
     return _tagged("part", holdings=refreshed, failed=failed)
 
 

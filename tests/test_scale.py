@@ -275,6 +275,10 @@ def test_numbers_do_not_depend_on_the_ranges(spark, make, monkeypatch):
     assert [r.id for r in ordering.number_by(lying, ["key"], "no").orderBy("no").collect()] == list(range(500))
 
 
+def shuffle_files():
+    return set(Path("/tmp").glob("blockmgr-*/*/shuffle_*.data"))
+
+
 def test_a_compact_table_leaves_no_shuffle_behind(spark):
     before = shuffle_files()
     kept = settle_compact(spark.range(10_000).orderBy(F.xxhash64("id")))
@@ -319,6 +323,21 @@ def test_an_import_by_parts_is_that_of_the_whole(spark, monkeypatch):
     assert found[0] == sorted(map(str, whole.collect())) and len(found[0]) > 3000
 
 
+def test_a_refresh_by_parts_is_that_of_the_whole(spark, monkeypatch):
+    v = Views(spark, SMALL)
+    held, feed, ids = settle(v.holdings()), v.cards_feed(), v.keys()
+    whole = [sorted(map(str, df.collect())) for df in holdings.refresh_prices(held, feed, ids)]
+    found = parts_agree(monkeypatch, lambda: holdings.refresh_prices_by_parts(held, feed, ids))
+    assert found == whole and all(found)
+
+
+def test_a_feed_is_not_broadcast_by_the_size_of_its_files(spark):
+    v = Views(spark, SMALL)
+    refreshed, failed = holdings.refresh_prices_by_parts(settle(v.holdings()), v.cards_feed(), v.keys())
+    assert "FileScan parquet [p_" not in plan_of(refreshed) + plan_of(failed)
+    assert "BroadcastExchange" not in plan_of(lookups.expand_feed_keys(v.cards_feed()))
+
+
 def test_places_of_a_stored_snapshot_are_its_order(spark, make, folder, monkeypatch):
     at = ts("2025-01-01T00:00:00")
     rows = [{"id": n, "card_name": None if n % 7 == 0 else f"c{n % 5}", "snapshot_ts": at} for n in range(1, 200)]
